@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import fingerprint, mixing
+from tidelog.llm import fingerprint, language, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machines = language.fit(docs.where(~language.held_out()).select("text", "lang"))
+    return language.predict(docs, machines).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "family")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.joined(F.col("spans")).alias("spans"), F.size("credentials").cast("long").alias("n_credentials"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -32,6 +43,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_languages": op2_languages,
+    "op4_secrets": op4_secrets,
     "op5_fingerprints": op5_fingerprints,
     "op8_mix_sources": op8_mix_sources,
 }
