@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import fingerprint, flac, language, mixing, packing, secrets
+from tidelog.llm import fingerprint, flac, jaccard, language, mixing, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, machines).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "family")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.joined(F.col("spans")).alias("spans"), F.size("credentials").cast("long").alias("n_credentials"))
@@ -57,6 +61,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_languages": op2_languages,
+    "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
