@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import fingerprint, flac, jaccard, language, mixing, packing, secrets
+from tidelog.llm import fingerprint, flac, html, jaccard, language, mixing, packing, secrets, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,19 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    # a page shows the document whose number ends its path; that document's label is the URL's
+    number = F.regexp_extract(urlrules.path(F.col("url")), r"(\d{1,18})(?:\.[a-z]+)?/?$", 1)
+    labelled = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).join(labels, "doc_id")
+    bad = labelled.select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return urlrules.judge(pages, urlrules.mine(bad))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_languages": op2_languages,
@@ -66,4 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op8_mix_sources": op8_mix_sources,
+    "op9_html": op9_html,
+    "op10_urls": op10_urls,
 }
