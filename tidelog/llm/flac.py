@@ -612,6 +612,7 @@ def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
     """All columns but the media, and what reading it back gives: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = [x.split()[0] for x in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -624,7 +625,7 @@ def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
                     rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(s), hashlib.sha256(s).hexdigest(), features(x, s)))
                 rest = [i for i in range(part.num_columns) if i != at]
                 columns = [part.column(i) for i in rest] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, [part.schema.names[i] for i in rest] + [f.name for f in T.StructType.fromDDL(added)])
+                yield pa.RecordBatch.from_arrays(columns, [*(part.schema.names[i] for i in rest), *names])
 
     schema = T.StructType([f for f in df.schema.fields if f.name != media_col] + T.StructType.fromDDL(added).fields)
     return df.mapInArrow(run, schema)
