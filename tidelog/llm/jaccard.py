@@ -7,9 +7,11 @@ sorting, and only columns that two rows share survive. For a pair, the products
 the pair is discarded if that count and what lies behind the prefixes cannot reach the size-derived bound t/(1+t) (n_a + n_b). For
 the rest the remaining columns decide exactly.
 
-Groups of copies would square, so pairs are drawn in rounds: each column first pairs its rows with few hubs, linked rows become one component, and
-later rounds look only at pairs across components. The last round takes every remaining pair of every column, so no component is
-missed and the pairs within a component need no look.
+Groups of copies would square, so pairs are not drawn from columns. In each column and size class the row with the largest share of shared
+columns is the hub, and the rows of that class and its neighbours are its group. Round one pairs rows with hubs only, and linked rows become one
+component. Two rows that could link meet in some group, and unless they are in one component by then, at least one of them is outside the hub's:
+round two multiplies, group by group, the rows outside with all rows, in blocks, so no link between components is missed and pairs
+within a component need no look.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a text with fewer than k words has one n-gram, the whole
 sequence; a null text or one without words has the empty set and links with nothing. Repeated rows and rows that share an id are
@@ -43,7 +45,10 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         for i in range(hi - lo):
             a, b = int(words.first[i]), int(words.first[i + 1])
             if b - a >= k:
-                yield np.unique(grams[a : b - k + 1])
+                found = np.sort(grams[a : b - k + 1])
+                new = np.ones(len(found), bool)
+                np.not_equal(found[1:], found[:-1], out=new[1:])
+                yield found[new]
             else:
                 yield windows(h[a:b], b - a) if b > a else grams[:0]
 
@@ -52,8 +57,8 @@ def vertex(grams: np.ndarray) -> int:
     """One value for equal sets (signed 64 bits)."""
     if not len(grams):
         return 0
-    total = np.array([np.bitwise_xor.reduce(mix64(grams + _U(7))), np.add.reduce(mix64(grams ^ _U(0x5DEECE66D)))], _U)
-    return int(mix64(total[:1] + total[1:] + _U(len(grams))).view(np.int64)[0])
+    mixed = (int(np.add.reduce(grams)) + 0x9E3779B97F4A7C15 * int(np.bitwise_xor.reduce(grams)) + len(grams)) % 2**64
+    return int(mix64(np.array([mixed], _U)).view(np.int64)[0])
 
 
 def _first_pass(k: int):
@@ -158,8 +163,9 @@ def _shared(hot: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = pa.array([g.tobytes() for g in shingle_sets(column_bytes(batch.column(1)), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["doc_id", "grams"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                found = list(shingle_sets(column_bytes(part.column(1)), k))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vertex(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], ["rep", "vertex", "grams"])
 
     return run
 
@@ -167,14 +173,41 @@ def _sets(k: int):
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, keep = batch.column(0), batch.column(1), []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                keep = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                    both = np.concatenate((x, y))
+                    both.sort(kind="stable")
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _product(percent: int):
+    """One block of a group: overlap counts over the shared columns of its rows outside the hub's component with all its rows; pairs that pass the bounds."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        reps, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
+        lists = [np.asarray(x, np.int64) for x in table.column("toks").to_pylist()]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        start = np.concatenate(([0], np.cumsum(sizes)))
+        names, flat = np.unique(np.concatenate(lists), return_inverse=True)
+        flag = np.zeros(len(names), np.int32)
+        behind = _need(n, percent) - 1
+        a, b = [], []
+        for i in np.flatnonzero(table.column("outside").to_numpy(zero_copy_only=False)):
+            mine = flat[start[i] : start[i + 1]]
+            flag[mine] = 1
+            overlap = np.add.reduceat(flag[flat], start[:-1])
+            flag[mine] = 0
+            able = (comp != comp[i]) & ((overlap + np.maximum(behind, behind[i])) * (100 + percent) >= percent * (n + n[i])) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])) & (overlap > 0)
+            a.append(np.minimum(reps[able], reps[i]))
+            b.append(np.maximum(reps[able], reps[i]))
+        found = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(found[:, 0].copy(), pa.int64()), "b": pa.array(found[:, 1].copy(), pa.int64())})
 
     return run
 
@@ -185,83 +218,79 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 class JaccardJoin:
-    """The join's tables: docs (doc_id, n, vertex) and groups (vertex, rep, comp)."""
+    """The join's tables: docs (doc_id, n, vertex), groups (vertex, rep, comp) and links (a, b: smallest ids of linked sets, enough of them to connect all)."""
 
-    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 400_000, hub_rounds: int = 3):
+    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 400_000, group_rows: int = 4096):
         spark = docs.sparkSession
-        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        first = settle(base.mapInArrow(_first_pass(k), "doc_id long, n long, vertex long, chunk int, counts binary"), "jaccard-first")
+        self.k, self.percent = k, percent
+        self.base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        first = settle(self.base.mapInArrow(_first_pass(k), "doc_id long, n long, vertex long, chunk int, counts binary"), "jaccard-first")
         self.docs = first.where("chunk is null").select("doc_id", "n", "vertex")
         counts = _sketch(first)
         total = int(counts.sum())
         hot = min((1 << 20) - 1, max(100_000, 8 * total // SKETCH))
         blocks = max(1, -(-total * (100 - percent) // 100 // block_rows))
-        post = base.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast(counts), blocks, hot), "block long, rows binary")
+        post = self.base.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast(counts), blocks, hot), "block long, rows binary")
         found = settle(post.groupBy("block").applyInArrow(_shared(hot), "tok long, vertex long, n long, pos long"), "jaccard-shared")
         reps = self.docs.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("rep"))
-        rows = found.groupBy("vertex").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("tok")).alias("toks"))
-        rows = settle(rows.join(reps.where("rep is not null"), "vertex").select("vertex", "rep", "n", "toks"), "jaccard-rows")
-        cells = settle(found.join(rows.select("vertex", "rep"), "vertex").select("tok", "rep", "n", "pos"), "jaccard-cells")
-        wanted = rows.select(F.col("rep").alias("doc_id"))
-        texts = base.join(small(wanted, wanted.count()), "doc_id", "left_semi")
-        sets = settle(texts.mapInArrow(_sets(k), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "jaccard-sets")
-        labels, links = None, None
-        for r in range(hub_rounds + 1):
-            pairs = self._pairs(cells, labels, percent, r if r < hub_rounds else None)
-            new = self._verified(pairs, rows, sets, percent, f"jaccard-links-{r}")
-            links = new if links is None else links.unionAll(new)
-            labels = settle(components(links), "jaccard-labels")
-            if r < hub_rounds and self._open(cells, labels) == 0:
-                break
-        self.links, self.labels = links, labels
+        rows = found.groupBy("vertex").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
+        self.rows = settle(rows.join(reps.where("rep is not null"), "vertex").select("vertex", "rep", "n", "toks"), "jaccard-rows")
+        ids = self.docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+        self.repeated = ids[0] > ids[1]
+        members = settle(self._members(found), "jaccard-members")
+        pairs = members.where((F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("rep") != F.col("hub")))
+        links = self._verified(self._able(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))), "jaccard-links-1")
+        labels = settle(components(links), "jaccard-labels")
+        more = self._verified(self._products(members, labels, group_rows), "jaccard-links-2")
+        self.links = links.unionAll(more)
+        labels = settle(components(self.links), "jaccard-labels") if more.head(1) else labels
         known = reps.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
         self.groups = known.select("vertex", "rep", F.coalesce("comp", "rep").alias("comp"))
 
-    @staticmethod
-    def _labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return cells.withColumn("comp", F.col("rep"))
-        named = cells.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = named.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("tok")
-        return named.join(mixed, "tok", "left_semi")
-
-    def _open(self, cells: DataFrame, labels: DataFrame) -> int:
-        return self._labelled(cells, labels).limit(1).count()
-
-    def _pairs(self, cells: DataFrame, labels: DataFrame | None, percent: int, salt: int | None) -> DataFrame:
-        """Distinct pairs (a, b), a < b, across components that meet in a column and pass the bounds on sizes and positions."""
-        rows = self._labelled(cells, labels)
-        if labels is not None:
-            rows = settle(rows, "jaccard-open")
-        left = [F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "comp")]
-        if salt is None:
-            other = rows.select("tok", *left)
-            meet = (F.col("x_rep") < F.col("rep")) & (F.col("x_comp") != F.col("comp"))
-        else:
-            # rows of a column fall into size classes within which the size bound can hold; each class and its neighbour pair with the class's hub
-            step = np.log(100 / percent)
-            rows = rows.withColumn("size", F.floor(F.log(F.col("n")) / F.lit(float(step))))
-            draw = F.xxhash64("rep", F.pmod("tok", F.lit(4)), F.lit(salt))
-            other = rows.groupBy("tok", "size").agg(F.min_by(F.struct("rep", "n", "pos", "comp"), draw).alias("h"))
-            other = other.select("tok", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), *[F.col(f"h.{c}").alias(f"x_{c}") for c in ("rep", "n", "pos", "comp")])
-            meet = F.col("x_comp") != F.col("comp")
-        fits = (F.least("n", "x_n") * 100 >= F.greatest("n", "x_n") * percent) & ((F.least("pos", "x_pos") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("x_n") - F.col("x_pos") - 1)) * (100 + percent) >= percent * (F.col("n") + F.col("x_n")))
-        on = ["tok"] if salt is None else ["tok", "size"]
-        same = rows["tok"] == other["tok"]
-        for c in on[1:]:
-            same = same & (rows[c] == other[c])
-        return rows.join(other, same & meet & fits).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
-
-    @staticmethod
-    def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-        side = lambda c: rows.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("toks").alias(f"toks_{c}"))
-        counted = pairs.join(side("a"), "a").join(side("b"), "b")
-        overlap = F.size(F.array_intersect("toks_a", "toks_b"))
-        behind = F.ceil(F.greatest("n_a", "n_b") * (percent / 100)) - 1
-        able = counted.where((overlap + behind) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-        grams = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"grams_{c}"))
-        full = settle(able, name + "-able").join(grams("a"), "a").join(grams("b"), "b").select("a", "b", "grams_a", "grams_b")
-        return settle(full.mapInArrow(_linked(percent), "a long, b long"), name)
+    def _members(self, found: DataFrame) -> DataFrame:
+        """hub, hub_n, rep, n: the rows of each hub's group."""
+        step = float(np.log(100 / self.percent))
+        cells = found.join(self.rows.select("vertex", "rep", (F.size("toks") / F.col("n")).alias("share")), "vertex")
+        cells = cells.select("tok", "rep", "n", "share", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).alias("size"))
+        hubs = cells.groupBy("tok", "size").agg(F.max(F.struct("share", (-F.col("rep")).alias("last"), "n")).alias("h"), F.count(F.lit(1)).alias("rows"))
+        hubs = hubs.select("tok", (-F.col("h.last")).alias("hub"), F.col("h.n").alias("hub_n"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+        return cells.join(hubs, ["tok", "size"]).select("hub", "hub_n", "rep", "n").distinct()
+
+    def _side(self, c: str) -> DataFrame:
+        return self.rows.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("toks").alias(f"toks_{c}"))
+
+    def _able(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose overlap over the shared columns and what lies behind the prefixes can reach the bound."""
+        counted = pairs.distinct().join(self._side("a"), "a").join(self._side("b"), "b")
+        behind = F.ceil(F.greatest("n_a", "n_b") * F.lit(self.percent) / F.lit(100)) - 1
+        reach = (F.size(F.array_intersect("toks_a", "toks_b")) + behind) * (100 + self.percent)
+        return counted.where(reach >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+    def _products(self, members: DataFrame, labels: DataFrame, group_rows: int) -> DataFrame:
+        """Able pairs across components from the groups that have rows outside their hub's component. A group's inner rows are dealt over blocks and its outer rows go to each."""
+        comp = lambda c, name: labels.select(F.col("node").alias(c), F.col("comp").alias(name))
+        named = members.join(comp("rep", "comp"), "rep", "left").join(comp("hub", "hub_comp"), "hub", "left")
+        named = named.select("hub", "rep", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("comp", "rep") != F.coalesce("hub_comp", "hub")).alias("outside"))
+        named = settle(named, "jaccard-named")
+        sizes = named.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.count_if("outside").alias("out")).where("out > 0 and rows > 1")
+        sizes = sizes.select("hub", F.ceil(F.col("rows") / F.lit(group_rows)).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        dealt = named.join(sizes, "hub").withColumn("own", own).withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+        dealt = dealt.join(self.rows.select("rep", "n", "toks"), "rep").select("hub", "block", "rep", "n", "comp", "outside", "toks")
+        return dealt.groupBy("hub", "block").applyInArrow(_product(self.percent), "a long, b long").distinct()
+
+    def _verified(self, able: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs whose whole sets reach the threshold."""
+        able = settle(able, name + "-able")
+        nodes = able.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(self.rows.select("rep", "vertex"), "rep")
+        nodes = settle(nodes, name + "-nodes")
+        wanted = nodes.select(F.col("rep").alias("doc_id"))
+        texts = self.base.join(small(wanted, nodes.count()), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets(self.k), "rep long, vertex long, grams binary").join(nodes, ["rep", "vertex"], "left_semi")
+        sets = settle((sets.dropDuplicates(["rep"]) if self.repeated else sets).select("rep", "grams"), name + "-sets")
+        grams = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"grams_{c}"))
+        full = able.join(grams("a"), "a").join(grams("b"), "b").select("a", "b", "grams_a", "grams_b")
+        return settle(full.mapInArrow(_linked(self.percent), "a long, b long"), name)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,10 @@ SPACES = bytes([32, *range(9, 14)])
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_RNG = np.random.default_rng(20_240_229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes up to which a word is hashed in lockstep with others.
+LONG = 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -24,7 +25,7 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `limit` bytes together; a longer text is alone."""
     lo = size = 0
     for i, t in enumerate(texts):
@@ -63,19 +64,26 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of random byte values from prefix sums modulo 2^64."""
-        n = len(self.buf)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers = np.full(n, _P, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * powers, out=sums[1:])
-        back = np.full(n, _P_INV, np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        return mix64((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word, taken in chunks of eight bytes."""
+        n = self.end - self.start
+        h = mix64(n.astype(np.uint64) * _STEP)
+        if not len(n):
+            return h
+        padded = np.concatenate((self.buf, np.zeros(8, np.uint8)))
+        chunks = np.ndarray((len(self.buf) + 1,), "<u8", padded, 0, (1,))
+        of, at, left = slice(None), self.start, n
+        for _ in range(LONG // 8):
+            value = chunks[at] & _MASK[np.minimum(left, 8)]
+            h[of] = mix64((h[of] ^ value) * _P)
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                return h
+            of = more if isinstance(of, slice) else of[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in of:  # words longer than LONG bytes
+            raw = self.buf[self.start[i] : self.end[i]].tobytes()
+            h[i] = np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)[0]
+        return h
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
