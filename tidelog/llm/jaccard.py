@@ -20,6 +20,7 @@ equal rows of the incidence. N-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from tidelog.llm.components import components
 from tidelog.llm.textops import LOWER, Words, column_bytes, mix64, pieces, windows
 from tidelog.session import settle
 
-SKETCH = 1 << 18
-CHUNK = 1 << 12
+SKETCH = 1 << 22
+CHUNK = 1 << 16
 _U = np.uint64
 
 
@@ -63,7 +64,7 @@ def vertex(grams: np.ndarray) -> int:
 
 def _first_pass(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint32)
         seen = False
         names = ["doc_id", "n", "vertex", "chunk", "counts"]
         for batch in batches:
@@ -72,34 +73,34 @@ def _first_pass(k: int):
             for grams in shingle_sets(column_bytes(batch.column(1)), k):
                 n.append(len(grams))
                 v.append(vertex(grams))
-                counts += np.bincount((grams & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(grams) > SKETCH // 16 else 0
-                if len(grams) <= SKETCH // 16:
-                    np.add.at(counts, (grams & _U(SKETCH - 1)).astype(np.int64), 1)
+                counts[(grams & _U(SKETCH - 1)).astype(np.int64)] += np.uint32(1)  # two n-grams of a text in one bucket count once
             nothing = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(v, pa.int64()), nothing, pa.nulls(len(n), pa.binary())], names)
         if seen:
-            part = counts.reshape(-1, CHUNK)
+            part = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)  # any counts give a valid order
             m = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in part], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in part], pa.binary())], names)
 
     return run
 
 
 def _add_chunks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
+    total = np.zeros(CHUNK, np.uint64)
     for x in table.column("counts").to_pylist():
-        total += np.frombuffer(x, "<i8")
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        raw = zlib.decompress(x)
+        total += np.frombuffer(raw, np.uint8 if len(raw) == CHUNK else "<u4")
+    total = np.minimum(total, 2**32 - 1).astype("<u4")
+    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
     """Document counts of n-grams by bucket, added up in two steps; SKETCH numbers whatever the corpus."""
-    parts = first.where("chunk is not null").select("chunk", "counts", (F.rand(7) * 64).cast("int").alias("salt"))
+    parts = first.where("chunk is not null").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("salt"))
     parts = parts.groupBy("chunk", "salt").applyInArrow(_add_chunks, "chunk int, counts binary")
-    rows = parts.groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary").collect()
-    out = np.zeros(SKETCH, np.int64)
+    rows = parts.groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary").toLocalIterator()
+    out = np.zeros(SKETCH, np.uint32)
     for r in rows:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), "<i8")
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u4")
     return out
 
 
@@ -227,7 +228,7 @@ class JaccardJoin:
         first = settle(self.base.mapInArrow(_first_pass(k), "doc_id long, n long, vertex long, chunk int, counts binary"), "jaccard-first")
         self.docs = first.where("chunk is null").select("doc_id", "n", "vertex")
         counts = _sketch(first)
-        total = int(counts.sum())
+        total = int(counts.sum(dtype=np.int64))
         hot = min((1 << 20) - 1, max(100_000, 8 * total // SKETCH))
         blocks = max(1, -(-total * (100 - percent) // 100 // block_rows))
         post = self.base.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast(counts), blocks, hot), "block long, rows binary")
