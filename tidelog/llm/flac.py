@@ -488,7 +488,7 @@ def _decode_frames(data: bytes, start: np.ndarray, end: np.ndarray, numbers: np.
         x[i] = np.where(on, (v ^ 128) - 128, x[i])
         pos = pos + np.where(on, 8, 0)
     x[:, constant] = x[0, constant]
-    coef, shift = np.zeros((max(most, 1), n), np.int64), np.zeros(n, np.int64)
+    coef, shift = np.zeros((max(most, 4), n), np.int64), np.zeros(n, np.int64)
     for p in range(1, 5):
         coef[:p, fixed & (order == p)] = np.array(FIXED[p])[:, None]
     if lpc.any():

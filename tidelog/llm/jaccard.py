@@ -228,7 +228,8 @@ class JaccardJoin:
         first = settle(self.base.mapInArrow(_first_pass(k), "doc_id long, n long, vertex long, chunk int, counts binary"), "jaccard-first")
         self.docs = first.where("chunk is null").select("doc_id", "n", "vertex")
         counts = _sketch(first)
-        total = int(counts.sum(dtype=np.int64))
+        ids = self.docs.agg(F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+        self.repeated, total = ids["ids"] > ids["different"], ids["total"]
         hot = min((1 << 20) - 1, max(100_000, 8 * total // SKETCH))
         blocks = max(1, -(-total * (100 - percent) // 100 // block_rows))
         post = self.base.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast(counts), blocks, hot), "block long, rows binary")
@@ -236,8 +237,6 @@ class JaccardJoin:
         reps = self.docs.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("rep"))
         rows = found.groupBy("vertex").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
         self.rows = settle(rows.join(reps.where("rep is not null"), "vertex").select("vertex", "rep", "n", "toks"), "jaccard-rows")
-        ids = self.docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-        self.repeated = ids[0] > ids[1]
         members = settle(self._members(found), "jaccard-members")
         pairs = members.where((F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("rep") != F.col("hub")))
         links = self._verified(self._able(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))), "jaccard-links-1")

@@ -116,6 +116,8 @@ def passages(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
         best[less] = other[less]
         at[less] = j
     start = np.flatnonzero(words.doc[:n] == words.doc[size - 1 :])
+    if not len(start):
+        return start.astype(_U), start, start, start
     place = at[start] + start
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
