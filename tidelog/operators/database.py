@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tidelog.functions import pages
 from tidelog.schema import ANY, Encoding, InvalidInput, NewEvent, exact
 from tidelog.sources.store import EventStore
-from tidelog.sources.wal import Cursor, Delta, transactions
+from tidelog.sources.wal import Cursor, Delta, tail
 
 CHUNK = 512 << 10
 _PAGES = pa.schema([("db", pa.string()), ("txid", pa.int64()), ("frame_idx", pa.int32()), ("pgno", pa.int64()), ("data", pa.binary())])
@@ -70,8 +70,8 @@ class Database:
         self.cursor = Cursor()
         image, self.txid, self.header = self._image(None)
         snapshot = store.latest_snapshot(name)
-        tail = store.stream_version(name)
-        self.tail = tail if tail is not None else (snapshot["through_version"] if snapshot else None)
+        version = store.stream_version(name)
+        self.tail = version if version is not None else (snapshot["through_version"] if snapshot else None)
         if self.txid:
             write_image(image, path, *self.header)
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
@@ -86,8 +86,7 @@ class Database:
     def sync(self, coalesce: bool = False) -> int:
         """Ship committed transactions (folded into one if coalesce); how many events. The cursor moves only after the append."""
         try:
-            with open(self.path + "-wal", "rb") as f:
-                found, cursor = transactions(f.read(), self.cursor)
+            found, cursor = tail(self.path + "-wal", self.cursor)
         except FileNotFoundError:
             return 0
         if not found:

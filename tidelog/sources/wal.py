@@ -57,6 +57,20 @@ def transactions(data: bytes, cursor: Cursor) -> tuple[list[Delta], Cursor]:
     return out, Cursor(salts, done)
 
 
+def tail(path: str, cursor: Cursor) -> tuple[list[Delta], Cursor]:
+    """transactions() of a log file, reading its header and what lies past the cursor only."""
+    with open(path, "rb") as f:
+        first = f.read(HEADER)
+        head = header(first)
+        if head is None:
+            return [], cursor
+        size, salts = head
+        skip = cursor.frame if cursor.salts == salts else 0
+        f.seek(HEADER + skip * (FRAME + size))
+        found, end = transactions(first + f.read(), Cursor(salts, 0))
+    return found, Cursor(salts, skip + end.frame)
+
+
 def frames_df(spark: SparkSession, path: str) -> DataFrame:
     """db (the file), txid (its number in the file), frame_idx, pgno, page_size, db_size, data of all committed frames of the logs at path."""
 
