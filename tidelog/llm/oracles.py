@@ -84,4 +84,29 @@ select doc_id, n_chars, sha256(edited) as edited_sha256,
 from lanes
 """
 
-ORACLES: dict[str, str] = {"op5_fingerprints": OP5, "op8_mix_sources": OP8}
+OP3 = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from words, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from words union select r.a, e.b from reach r join edges e on e.a = r.b),
+comp as (select a as doc_id, min(b) as component_id from reach group by a)
+select w.doc_id, coalesce(n, 0) as n_shingles, component_id from words w left join sizes s on s.doc_id = w.doc_id join comp c on c.doc_id = w.doc_id
+"""
+
+OP7 = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from words, unnest(range(1, len(w) - 11)) as t(i)),
+least_id as (select g, min(doc_id) as m from win group by g),
+gone as (select distinct doc_id, p from (select win.doc_id, i from win join least_id using (g) where m < win.doc_id), unnest(range(i, i + 13)) as t(p)),
+each as (select doc_id, p, w[p] as word from words, unnest(range(1, len(w) + 1)) as t(p)),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.p) as text, count(*) as n from each e left join gone g on g.doc_id = e.doc_id and g.p = e.p where g.p is null group by e.doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from words w left join kept k on k.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_jaccard": OP3, "op5_fingerprints": OP5, "op7_substrings": OP7, "op8_mix_sources": OP8}
