@@ -86,22 +86,21 @@ def test_predicates_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(version,3)" in plan and "EqualTo(stream,s)" in plan and "event_type" not in plan.split("ReadSchema")[1]
 
 
-class Text:
-    def __init__(self, start=""):
-        self.text = start
-
-    def apply(self, event):
-        self.text += event.data
+def test_python_folds_resume_from_snapshots(spark):
+    class Text:
+        def __init__(self, start=""):
+            self.text = start
 
-    def snapshot(self):
-        return self.text.encode()
+        def apply(self, event):
+            self.text += event.data
 
-    @classmethod
-    def restore(cls, data):
-        return cls(data.decode())
+        def snapshot(self):
+            return self.text.encode()
 
+        @classmethod
+        def restore(cls, data):
+            return cls(data.decode())
 
-def test_python_folds_resume_from_snapshots(spark):
     rows = [(s, v, v, "e", f"{s}{v} ", v, v, v) for s in "ab" for v in range(5)]
     ev = spark.createDataFrame(rows, EVENTS)
     assert {r["stream"]: bytes(r["state"]) for r in fold.python_fold(ev, Text).collect()} == {s: "".join(f"{s}{v} " for v in range(5)).encode() for s in "ab"}
