@@ -26,3 +26,39 @@ def test_compactions_are_announced(spark, tmp_path):
     seen = []
     drain(follow_compactions(spark, store.log.root), str(tmp_path / "c"), lambda df, _: seen.extend(r["stream"] for r in df.collect()))
     assert seen == ["s"]
+
+
+def test_wal_stream_goes_on_and_starts_over(spark, tmp_path):
+    import sqlite3
+
+    from tidelog.streaming.follow import follow_wal
+
+    c = sqlite3.connect(tmp_path / "a.db", isolation_level=None)
+    c.execute("pragma journal_mode=wal")
+    c.execute("create table t(v)")
+    seen = []
+    go = lambda: drain(follow_wal(spark, str(tmp_path / "a.db-wal")), str(tmp_path / "c"), lambda df, _: seen.extend((r["salt1"], r["frame_idx"]) for r in df.collect()))
+    go()
+    first = len(seen)
+    assert first >= 2
+    c.execute("insert into t values (1)")
+    go()
+    assert [k for _, k in sorted(seen)] == list(range(first + 1))
+    c.execute("pragma wal_checkpoint(truncate)")
+    c.execute("insert into t values (2)")
+    go()
+    assert len({s for s, _ in seen}) == 2 and len(seen) == first + 2
+    c.close()
+
+
+def test_many_volumes_fold_in_parallel(spark):
+    from tidelog.functions.files import fold_volumes
+
+    names = "vol version ts_ms op path offset inline from to".split()
+    rows = []
+    for v in ("x", "y"):
+        rows += [(v, 0, 5, "mkdir", "/a", None, None, None, None), (v, 1, 6, "write", "/a/f", 2, b"hi", None, None), (v, 2, 7, "rename", None, None, None, "/a", "/b")]
+    rows += [("y", 3, 8, "remove", "/b/f", None, None, None, None)]
+    df = spark.createDataFrame(rows, "vol string, version long, ts_ms long, op string, path string, offset long, inline binary, from string, to string").select(*[f"`{n}`" for n in names])
+    got = {(r["vol"], r["path"]): r["content"] and bytes(r["content"]) for r in fold_volumes(df).collect()}
+    assert got == {("x", "/b"): None, ("x", "/b/f"): b"\0\0hi", ("y", "/b"): None}

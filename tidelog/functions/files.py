@@ -98,3 +98,30 @@ def merge_segments(entries: DataFrame) -> DataFrame:
     graves = entries.where("tombstone").groupBy("vol", F.col("path").alias("__grave")).agg(F.max("seg_ord").alias("__at"))
     dead = newest.select("vol", "path", "seg_ord", F.explode(above).alias("__grave")).join(graves, ["vol", "__grave"]).where("__at > seg_ord").select("vol", "path").distinct()
     return newest.join(dead, ["vol", "path"], "left_anti")
+
+
+DELTAS = "op string, path string, offset long, inline binary, from string, to string, target string, mode long, uid long, gid long, mtime_ms long, name string, value binary"
+NODES = "vol string, path string, kind string, size long, mode long, uid long, gid long, mtime_ms long, target string, content binary"
+
+
+def fold_volumes(deltas: DataFrame) -> DataFrame:
+    """Nodes of many volumes from their deltas (vol, version, ts_ms and DELTAS): one ordered fold per volume, volumes in parallel.
+
+    Renames and removals of subtrees do not commute, so one volume's fold is serial; segments keep it short.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from tidelog.functions.fsimage import FsImage
+
+        image = FsImage()
+        for d in pdf.sort_values("version").to_dict("records"):
+            clean = {k: bytes(v) if isinstance(v, bytearray) else v for k, v in d.items() if v is not None and v == v}
+            for k in ("offset", "mode", "uid", "gid", "mtime_ms"):
+                if k in clean:
+                    clean[k] = int(clean[k])
+            image.apply(clean, int(clean.get("ts_ms", 0)))
+        rows = [(pdf["vol"].iloc[0], p, n.kind, n.size, n.mode, n.uid, n.gid, n.mtime_ms, n.target, n.inline) for p, n in sorted(image.nodes.items())]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+
+    return deltas.groupBy("vol").applyInPandas(run, NODES)

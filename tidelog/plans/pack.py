@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -417,3 +418,18 @@ def conversation_fold(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("version"), F.concat("role", F.lit(":"), "text").alias("line"))
     joined = fold.ordered_fold(rows, F.lit(None).cast("string"), lambda s, x: F.concat_ws("\n", s, x["line"]), ["line"])
     return joined.select("stream", F.md5("state").alias("state"), "version")
+
+
+@query("follow_available_now", "select cast(conv_id as varchar) as stream, turn as version, text as data from conversations where turn >= 2")
+def follow_available_now(spark, d):
+    """A follower from version 2 on over conversations as streams, drained once; the result is what it forwarded."""
+    from tidelog.session import shared_dir
+    from tidelog.streaming.follow import follow_table
+
+    schema = table(spark, d, "conversations").schema
+    raw = spark.readStream.schema(schema).parquet(f"{d}/conversation[s].parquet")  # a pattern, as the table may be one file
+    rows = raw.select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("version"), F.lit(0).cast("long").alias("global_seq"), F.col("role").alias("event_type"), F.col("text").cast("binary").alias("data"), F.lit(0).cast("long").alias("ts_ms"), F.lit(0).cast("long").alias("commit_pos"))
+    at = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    q = follow_table(rows, 2).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("stream", "version", F.col("data").cast("string").alias("data"))

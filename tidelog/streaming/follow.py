@@ -135,3 +135,77 @@ def sync_on_commit(spark: SparkSession, root: str, checkpoint: str, action: Call
             print(f"sync failed, will retry: {e}")
 
     return run(follow_log(spark, root), checkpoint, each, poll_ms)
+
+
+def follow_table(events: DataFrame, start: int = 0) -> DataFrame:
+    """follow_streams over any streaming DataFrame with stream, version, global_seq, event_type, data, ts_ms, commit_pos."""
+    return events.groupBy("stream").applyInPandasWithState(_forward(start), _SEEN, "cursor long", "append", GroupStateTimeout.NoTimeout)
+
+
+class WalSource(DataSource):
+    """format("tidelog-wal").option("path", file): committed pages of a SQLite write-ahead log; the offset is its salts and next frame."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidelog-wal"
+
+    def schema(self) -> str:
+        return "salt1 long, salt2 long, frame_idx long, pgno long, page_size long, db_size long, data binary"
+
+    def streamReader(self, schema: object) -> DataSourceStreamReader:
+        return _WalReader(self.options["path"])
+
+
+class _WalReader(DataSourceStreamReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def _head(self) -> tuple[int, tuple[int, int]] | None:
+        from tidelog.sources.wal import HEADER, header
+
+        try:
+            with open(self.path, "rb") as f:
+                return header(f.read(HEADER))
+        except FileNotFoundError:
+            return None
+
+    def initialOffset(self) -> dict:
+        return {"salt1": 0, "salt2": 0, "frame": 0}
+
+    def latestOffset(self) -> dict:
+        from tidelog.sources.wal import Cursor, transactions
+
+        head = self._head()
+        if head is None:
+            return self.initialOffset()
+        with open(self.path, "rb") as f:
+            _, end = transactions(f.read(), Cursor())
+        return {"salt1": head[1][0], "salt2": head[1][1], "frame": end.frame}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        same = (start["salt1"], start["salt2"]) == (end["salt1"], end["salt2"])
+        return [_Frames(self.path, start["frame"] if same else 0, end["frame"], (end["salt1"], end["salt2"]))]
+
+    def read(self, partition: _Frames) -> Iterator[tuple]:
+        from tidelog.sources.wal import FRAME, HEADER
+
+        head = self._head()
+        if head is None or head[1] != partition.salts:
+            return
+        size = head[0]
+        with open(self.path, "rb") as f:
+            f.seek(HEADER + partition.lo * (FRAME + size))
+            for k in range(partition.lo, partition.hi):
+                raw = f.read(FRAME + size)
+                yield (*partition.salts, k, int.from_bytes(raw[:4], "big"), size, int.from_bytes(raw[4:8], "big"), raw[FRAME:])
+
+
+class _Frames(InputPartition):
+    def __init__(self, path: str, lo: int, hi: int, salts: tuple[int, int]):
+        self.path, self.lo, self.hi, self.salts = path, lo, hi, salts
+
+
+def follow_wal(spark: SparkSession, path: str) -> DataFrame:
+    """A streaming DataFrame of a WAL file's committed frames; a reset of the log (other salts) starts it over, an uncommitted end waits."""
+    spark.dataSource.register(WalSource)
+    return spark.readStream.format("tidelog-wal").option("path", path).load()
