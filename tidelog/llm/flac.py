@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.textops import streamed
+
 BLOCK, RATE, PRECISION, ORDER, SHIFT = 192, 8000, 8, 4, 6
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 SEEK_EVERY = 64
@@ -595,7 +597,7 @@ def encode(df: DataFrame, payload_col: str = "payload", media_col: str = "media"
                 yield part.set_column(at, media_col, pa.array(encode_many([x or b"" for x in part.column(at).to_pylist()]), pa.binary()))
 
     schema = T.StructType([T.StructField(media_col, T.BinaryType()) if f.name == payload_col else f for f in df.schema.fields])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(streamed(run), schema)
 
 
 def features(x: np.ndarray, stream: bytes) -> str:
@@ -628,7 +630,7 @@ def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [*(part.schema.names[i] for i in rest), *names])
 
     schema = T.StructType([f for f in df.schema.fields if f.name != media_col] + T.StructType.fromDDL(added).fields)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(streamed(run), schema)
 
 
 def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", block: int = 4096) -> DataFrame:
@@ -645,4 +647,4 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                     rows += [(part.column(0)[i].as_py(), k, lo, len(y := x[lo : lo + block]), y.astype(wide).tobytes()) for k, lo in enumerate(range(0, len(x), block))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(streamed(run), "doc_id long, block long, sample_offset long, n_samples long, pcm binary")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.textops import streamed
+
 #: Tags without content, with raw content, of blocks, of containers, of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas".split())
@@ -211,7 +213,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, path, votes: the winning path of each host (most votes, then score, then by name)."""
-    votes = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(_votes, "host string, path string, score double")
+    votes = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(streamed(_votes), "host string, path string, score double")
     counted = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.round(F.sum("score"), 3).alias("score"))
     best = counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best"))
     return best.select("host", F.col("best.path").alias("path"), F.col("best.votes").alias("votes"))
@@ -236,4 +238,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         salts = 64
         spread = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, path string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(streamed(_texts), "page_id long, url string, text string, n_chars long, path string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.textops import LOWER, Words, column_bytes, mix64, pieces, windows
+from tidelog.llm.textops import LOWER, Words, column_bytes, give_back, mix64, pieces, streamed, windows
 from tidelog.session import settle
 
 SKETCH = 1 << 22
@@ -156,6 +156,7 @@ def _shared(hot: int):
         start = np.flatnonzero(np.concatenate(([True], rows["tok"][1:] != rows["tok"][:-1])))
         count = np.repeat(np.diff(np.append(start, len(rows))), np.diff(np.append(start, len(rows))))
         rows = rows[(count > 1) | ((rows["tok"] >> _U(44)) >= _U(hot))]
+        give_back()
         return pa.table({"tok": pa.array(rows["tok"].view("<i8").copy(), pa.int64()), "vertex": pa.array(rows["vertex"].copy(), pa.int64()), "n": pa.array(rows["n"].astype(np.int64), pa.int64()), "pos": pa.array(rows["pos"].astype(np.int64), pa.int64())})
 
     return run
@@ -225,14 +226,14 @@ class JaccardJoin:
         spark = docs.sparkSession
         self.k, self.percent = k, percent
         self.base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        first = settle(self.base.mapInArrow(_first_pass(k), "doc_id long, n long, vertex long, chunk int, counts binary"), "jaccard-first")
+        first = settle(self.base.mapInArrow(streamed(_first_pass(k)), "doc_id long, n long, vertex long, chunk int, counts binary"), "jaccard-first")
         self.docs = first.where("chunk is null").select("doc_id", "n", "vertex")
         counts = _sketch(first)
         ids = self.docs.agg(F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
         self.repeated, total = ids["ids"] > ids["different"], ids["total"]
         hot = min((1 << 20) - 1, max(100_000, 8 * total // SKETCH))
         blocks = max(1, -(-total * (100 - percent) // 100 // block_rows))
-        post = self.base.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast(counts), blocks, hot), "block long, rows binary")
+        post = self.base.mapInArrow(streamed(_postings(k, percent, spark.sparkContext.broadcast(counts), blocks, hot)), "block long, rows binary")
         found = settle(post.groupBy("block").applyInArrow(_shared(hot), "tok long, vertex long, n long, pos long"), "jaccard-shared")
         reps = self.docs.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("rep"))
         rows = found.groupBy("vertex").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
@@ -286,11 +287,11 @@ class JaccardJoin:
         nodes = settle(nodes, name + "-nodes")
         wanted = nodes.select(F.col("rep").alias("doc_id"))
         texts = self.base.join(small(wanted, nodes.count()), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.k), "rep long, vertex long, grams binary").join(nodes, ["rep", "vertex"], "left_semi")
+        sets = texts.mapInArrow(streamed(_sets(self.k)), "rep long, vertex long, grams binary").join(nodes, ["rep", "vertex"], "left_semi")
         sets = settle((sets.dropDuplicates(["rep"]) if self.repeated else sets).select("rep", "grams"), name + "-sets")
         grams = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"grams_{c}"))
         full = able.join(grams("a"), "a").join(grams("b"), "b").select("a", "b", "grams_a", "grams_b")
-        return settle(full.mapInArrow(_linked(self.percent), "a long, b long"), name)
+        return settle(full.mapInArrow(streamed(_linked(self.percent)), "a long, b long"), name)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""

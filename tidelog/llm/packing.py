@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.session import settle
+from tidelog.llm.textops import streamed
 
 #: Text on which both tokenizer libraries agree by their tables of letters, digits and spaces; any other goes to `tokenizers`.
 _COMMON = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]*")
@@ -94,7 +96,7 @@ def tokenise(docs: DataFrame, path: str, size: int = 1024, end: int = 2, id_col:
                 columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)] + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if keep_ids else []))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(streamed(run), schema)
 
 
 Pattern = tuple[tuple[int, ...], int]
@@ -283,10 +285,8 @@ def place(pieces: DataFrame, size: int = 1024, bucket_rows: int = 20_000) -> Dat
             rest = [c for c in batch.schema.names if c != "__rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(sequence), pa.array(offset)], [*rest, "sequence_id", "offset"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(streamed(run), schema)
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.textops import streamed
+
 #: The kinds in their order.
 KINDS = ("assign", "access", "hex", "token", "account", "endpoint")
 #: The base patterns.
@@ -121,7 +123,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 yield _scanned(part, scope)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(streamed(run), SCHEMA)
 
 
 def _scanned(part: pa.RecordBatch, scope: int) -> pa.RecordBatch:
@@ -169,4 +171,4 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None
                     part = part.set_column(c, part.schema.field(c), pa.array(kept, part.schema.field(c).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(streamed(run), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.textops import Words, column_bytes, mix64, pieces, windows
+from tidelog.llm.textops import Words, column_bytes, mix64, pieces, streamed, windows
 from tidelog.session import settle
 
 GRAM = 5
@@ -319,13 +319,13 @@ def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     base = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = base.mapInArrow(_anchors(words, blocks), "block long, known boolean, rows binary")
+    packed = base.mapInArrow(streamed(_anchors(words, blocks)), "block long, known boolean, rows binary")
     shared = packed.groupBy("block", "known").applyInArrow(_shared_anchors, "rid long, anchors binary")
     shared = settle(shared.groupBy("rid").agg(F.collect_list("anchors").alias("anchors")), "substrings-anchors")
     few = shared.select("rid")
     n = few.count()
     held = base.join(F.broadcast(few), "rid", "left_semi") if n <= most else base
-    meeting = held.join(shared, "rid").select("rid", "doc_id", "text", "anchors").mapInArrow(_meetings(words, blocks), "block long, known boolean, rows binary")
+    meeting = held.join(shared, "rid").select("rid", "doc_id", "text", "anchors").mapInArrow(streamed(_meetings(words, blocks)), "block long, known boolean, rows binary")
     spans = meeting.groupBy("block", "known").applyInArrow(_resolved(words), "rid long, spans binary")
     spans = settle(spans.groupBy("rid").agg(F.collect_list("spans").alias("spans")), "substrings-spans")
     hit = spans.select("rid")
@@ -334,8 +334,8 @@ def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", tex
         marked = F.broadcast(hit)
         whole = base.join(marked, "rid", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
         parts = base.join(marked, "rid", "left_semi").join(spans, "rid").select("doc_id", "text", "spans")
-        return whole.mapInArrow(_cut, schema).unionAll(parts.mapInArrow(_cut, schema))
-    return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)
+        return whole.mapInArrow(streamed(_cut), schema).unionAll(parts.mapInArrow(streamed(_cut), schema))
+    return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(streamed(_cut), schema)
 
 
 def against(docs: DataFrame, reference: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", ref_col: str = "text", shard_words: int = 100_000, most_words: int = 2_000_000) -> DataFrame:
@@ -376,7 +376,7 @@ def against(docs: DataFrame, reference: DataFrame, words: int = 13, id_col: str
                 rows.append((len(found), int(mask.sum()), b" ".join([w for w, x in zip(found, mask.tolist(), strict=True) if not x]).decode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(streamed(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(rows: DataFrame) -> DataFrame:

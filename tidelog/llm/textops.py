@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: ASCII white space; all other bytes belong to words.
 SPACES = bytes([32, *range(9, 14)])
@@ -20,6 +23,34 @@ LONG = 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Bytes of an Arrow batch, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
+def streamed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with batches of about BATCH_BYTES (a setting of the session), and with its memory given back to the system
+    when a task ends, for idle Python workers stay beside the tasks that follow."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
