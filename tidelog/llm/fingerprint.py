@@ -84,17 +84,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.withColumn("fingerprint", digest(F.col("lanes"), F.col("sketch")))
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 20_000) -> DataFrame:
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 20_000, most_ranges: int = 10_000) -> DataFrame:
     """Every row beside the next one in id order (after the last: the first), its edited text and their fingerprints.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next. Rows are dealt into
     id ranges once; the first row of a range also goes, as a ghost, to the range before, where it is the next of the last.
-    The range bounds are ids of the table, some rows / bucket_rows of them.
+    The range bounds are ids of the table, one for bucket_rows rows, but most_ranges at most (beyond, ranges grow and their sort spills).
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = base.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"))
     n = ids.count()
-    buckets = max(1, -(-n // bucket_rows))
+    buckets = max(1, min(most_ranges, -(-n // bucket_rows)))
     found = ids.select(F.min("k").alias("lo"), F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [0.5], 10 * max(1_000, buckets)).alias("q")).first()
     bounds = sorted({found["lo"], *(found["q"] or [] if buckets > 1 else [])}) if n else [0]
     at = F.lit(bounds).cast("array<bigint>")

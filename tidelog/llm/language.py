@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.textops import column_bytes, pieces
+from tidelog.llm.textops import column_bytes, pieces, streamed
 
 #: Families of languages; a language that is not named is a family of its own.
 FAMILIES = {
@@ -183,7 +183,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 1024, max_langs: int = 64) -> Machines:
-    """Machines from a sample of at most max_rows rows, drawn by hash of the text as evenly over the max_langs most frequent languages as there are rows."""
+    """Machines from a sample of about max_rows distinct texts (twice as many at most), drawn by hash of the text, equally from each of the max_langs most frequent languages."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
@@ -193,7 +193,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    found = rows.where(draw < share).mapInArrow(_features, "lang string, at array<int>, value array<float>").limit(2 * max_rows).toArrow()
+    drawn = rows.where(draw < share).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))  # of equal texts one
+    found = drawn.orderBy("h", "lang").limit(2 * max_rows).select("lang", "text").mapInArrow(streamed(_features), "lang string, at array<int>, value array<float>").toArrow()
     langs = found.column("lang").to_pylist()
     parts = [(np.array(a, np.int32), np.array(v, np.float64)) for a, v in zip(found.column("at").to_pylist(), found.column("value").to_pylist(), strict=True)]
     order = sorted(range(len(langs)), key=lambda i: (langs[i], parts[i][0].tolist(), parts[i][1].tolist()))
@@ -208,7 +209,7 @@ def predict(docs: DataFrame, machines: Machines, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(held.value, batch.column(1))], ["doc_id", "lang_pred", "score", "family"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, family string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(streamed(run), "doc_id long, lang_pred string, score double, family string")
 
 
 def _judged(machines: Machines, column: pa.Array) -> list[pa.Array]:
@@ -229,7 +230,7 @@ def keep_identified(docs: DataFrame, machines: Machines, text_col: str = "text",
             lang, score, _ = _judged(held.value, batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([a != UNDETERMINED and b >= min_score for a, b in zip(lang.to_pylist(), score.to_pylist(), strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(streamed(run), docs.schema)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

@@ -106,8 +106,6 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     plan = mix(docs, id_col, text_col, source_col, **options)
     last = F.max(F.when(F.col("taken") == (F.col("epochs") + 1) * F.col("size"), F.col("key")))
     cut = plan.where("size > 0").groupBy("src").agg(F.max("epochs").alias("__epochs"), last.alias("__last")).withColumnRenamed("src", "__src")
-    key = sized(docs, id_col, text_col, source_col, seed).schema  # fails early on a missing column
-    assert key
     src = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
     at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     times = F.col("__epochs") + F.when(at <= F.col("__last"), 1).otherwise(0)
