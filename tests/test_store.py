@@ -304,3 +304,21 @@ def test_bulk_append(store, spark):
     assert [r["version"] for r in store.read_stream("s1").collect()] == list(range(11))
     seqs = [r["global_seq"] for r in store.events_df().collect()]
     assert sorted(seqs) == list(range(1, 32))
+
+
+def test_merging_vacuum_and_kept_control_tables(store, spark, monkeypatch):
+    monkeypatch.setattr("tidelog.sources.store.CHECKPOINT_EVERY", 4)
+    for i in range(6):
+        store.append(f"m{i % 2}", ANY, raw("m", i))
+    store.append_at("m0", 1, ANY, raw("z", 1))
+    store.fork("m0", 1, "mf")
+    store.trim("m1", 2, 0)
+    before = texts(store.read_stream("m0"))
+    assert store.merge_files() == 7 and store.merge_files() == 0
+    assert texts(store.read_stream("m0")) == before == ["m-0", "z-1", "m-4"]
+    assert store.purge_below("m1", 1) == 1
+    assert store.vacuum() == 8 and store.vacuum() == 0
+    assert store.log.load().position >= 8
+    again = EventStore(spark, store.log.root)
+    assert again.state == store.state
+    assert texts(again.read_history("mf")) == ["m-0", "z-1"] and texts(again.read_stream("m1")) == ["m-3"]

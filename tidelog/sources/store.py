@@ -16,6 +16,10 @@ from tidelog.operators import visible
 from tidelog.sources.commitlog import CommitLog, State
 
 
+#: Commits between kept copies of the control tables.
+CHECKPOINT_EVERY = 256
+
+
 def _id(ms: int) -> str:
     return f"{ms:012x}{uuid.uuid4().hex[:14]}"
 
@@ -106,7 +110,8 @@ class EventStoreReader(_Reads):
     """A read-only handle: it sees the commits there were at open or at the last refresh."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.log, self.state = spark, CommitLog(spark, root), State()
+        self.spark, self.log = spark, CommitLog(spark, root)
+        self.state = self.log.load()
         self.refresh()
 
     def _sync(self) -> State:
@@ -141,7 +146,8 @@ class Transaction:
 
 class EventStore(_Reads):
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None):
-        self.spark, self.log, self.state = spark, CommitLog(spark, root), State()
+        self.spark, self.log = spark, CommitLog(spark, root)
+        self.state = self.log.load()
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.pending: list[tuple] = []
         self.overlay: State | None = None
@@ -165,7 +171,8 @@ class EventStore(_Reads):
             state = super()._sync()
             commit, result = build(state)
             if self.log.publish(state.position, commit):
-                super()._sync()
+                if super()._sync().position % CHECKPOINT_EVERY == 0:
+                    self.log.save(self.state)
                 return result
         raise S.VersionConflict(stream, "no other writer", state.position)
 
@@ -339,6 +346,25 @@ class EventStore(_Reads):
         self.flush()
         return self._commit(build)
 
+    def merge_files(self, least: int = 2) -> int:
+        """Rewrite the files of single appends as one sorted table, as many small files make reads slow; how many were merged. Shadowed versions stay."""
+
+        def build(state: State) -> tuple[dict, object]:
+            names = [n for n, held in state.files.items() if held is not None]
+            if len(names) < least:
+                return {}, 0
+            name = f"data/{uuid.uuid4().hex}.parquet"
+            df = self.spark.read.schema(S.EVENTS).parquet(*[f"{self.log.root}/{n}" for n in names])
+            df.repartitionByRange("stream", "version").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{name}", compression="zstd")
+            return {"files": [[name, None]], "removed": names}, len(names)
+
+        self.flush()
+        return self._commit(build)
+
+    def vacuum(self) -> int:
+        """Delete data files that purges and merges have replaced."""
+        return self.log.vacuum(self._sync())
+
     def delete_stream(self, stream: str) -> None:
         self.flush()
         if stream in super()._sync().tails:
