@@ -15,20 +15,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     shuffle) and a join, and its edges are written to the shared folder.
     """
     edges = settle(links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(), "components-edges")
-    seen = _mark(edges)
     for _ in range(rounds):
+        if _stars(edges):
+            return edges.groupBy("hi").agg(F.min("lo").alias("comp")).select(F.col("hi").alias("node"), "comp").unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("lo < hi")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select("m", F.explode(F.array("hi", "lo")).alias("v")).where("v > m")
         edges = settle(small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "components-edges")
-        now = _mark(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.groupBy("hi").agg(F.min("lo").alias("comp")).select(F.col("hi").alias("node"), "comp").unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a component's smallest node: no node has two, and none is at both ends."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("hi"), F.lit(0).alias("lo")).unionAll(edges.select(F.col("lo"), F.lit(0), F.lit(1)))
+    bad = ends.groupBy("node").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo")).where("hi > 1 or (hi > 0 and lo > 0)")
+    return bad.isEmpty()

@@ -245,7 +245,7 @@ class JaccardJoin:
         more = self._verified(self._products(members, labels, group_rows), "jaccard-links-2")
         self.links = links.unionAll(more)
         labels = settle(components(self.links), "jaccard-labels") if more.head(1) else labels
-        known = reps.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+        known = reps.join(small(labels.select(F.col("node").alias("rep"), "comp"), labels.count()), "rep", "left")
         self.groups = known.select("vertex", "rep", F.coalesce("comp", "rep").alias("comp"))
 
     def _members(self, found: DataFrame) -> DataFrame:
@@ -269,7 +269,8 @@ class JaccardJoin:
 
     def _products(self, members: DataFrame, labels: DataFrame, group_rows: int) -> DataFrame:
         """Able pairs across components from the groups that have rows outside their hub's component. A group's inner rows are dealt over blocks and its outer rows go to each."""
-        comp = lambda c, name: labels.select(F.col("node").alias(c), F.col("comp").alias(name))
+        n = labels.count()
+        comp = lambda c, name: small(labels.select(F.col("node").alias(c), F.col("comp").alias(name)), n)
         named = members.join(comp("rep", "comp"), "rep", "left").join(comp("hub", "hub_comp"), "hub", "left")
         named = named.select("hub", "rep", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("comp", "rep") != F.coalesce("hub_comp", "hub")).alias("outside"))
         named = settle(named, "jaccard-named")
@@ -286,8 +287,9 @@ class JaccardJoin:
         nodes = able.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(self.rows.select("rep", "vertex"), "rep")
         nodes = settle(nodes, name + "-nodes")
         wanted = nodes.select(F.col("rep").alias("doc_id"))
-        texts = self.base.join(small(wanted, nodes.count()), "doc_id", "left_semi")
-        sets = texts.mapInArrow(streamed(_sets(self.k)), "rep long, vertex long, grams binary").join(nodes, ["rep", "vertex"], "left_semi")
+        n = nodes.count()
+        texts = self.base.join(small(wanted, n), "doc_id", "left_semi")
+        sets = texts.mapInArrow(streamed(_sets(self.k)), "rep long, vertex long, grams binary").join(small(nodes, n), ["rep", "vertex"], "left_semi")
         sets = settle((sets.dropDuplicates(["rep"]) if self.repeated else sets).select("rep", "grams"), name + "-sets")
         grams = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"grams_{c}"))
         full = able.join(grams("a"), "a").join(grams("b"), "b").select("a", "b", "grams_a", "grams_b")
