@@ -484,3 +484,37 @@ def test_url_rules_and_mining(spark):
     out = urlrules.judge(spark.createDataFrame([(1, "http://casino.example.net/en/9"), (2, "http://other.example.net/en/9"), (3, None)], "page_id long, url string"), mined)
     assert {r["page_id"]: r["verdict"] for r in out.collect()} == {1: "block", 2: "allow", 3: "allow"}
     assert urlrules.judge(df.limit(0), mined).count() == 0
+
+
+def test_components(spark):
+    from tidelog.llm.components import components
+
+    rng = random.Random(1)
+    nodes = list(range(120))
+    rng.shuffle(nodes)
+    edges = [(nodes[i], nodes[i + 1]) for i in range(39)] + [(nodes[40], nodes[i]) for i in range(41, 80)] + [(rng.choice(nodes[80:]), rng.choice(nodes[80:])) for _ in range(30)] + [(5, 5)]
+    comp = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in nodes:
+        for a, b in edges:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == comp
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_language_sample_is_not_drowned_by_copies(spark):
+    rows = [(i, "the same english text again and again", "en", None) for i in range(600)]
+    rows += [(1000 + i, f"{LANGS[lang]} {i}", lang, None) for i in range(30) for lang in ("en", "de")]
+    m = language.fit(docs(spark, rows), max_rows=64)
+    assert m.predict([LANGS["de"].encode(), LANGS["en"].encode()])[0][0] == "de"
+
+
+def test_html_corner_cases():
+    text = lambda h: html.Page(h).text(None)
+    assert text("<p>a<!-->b<p>c < d &lt;i&gt; &#x41;&nbsp;&nbsp;z") == "ab\n\nc < d <i> A z"
+    assert text("<ul><li>one<ul><li>in</ul><li>two</ul><table><tr><td>x<td>y</table>") == "one\n\nin\n\ntwo\n\nx\n\ny"
+    assert text('<div class="site-header">h</div><div id="top-menu">m</div><p hidden>no</p><div class="reader-comments"><p>c</p></div><p>yes') == "yes"
+    assert text("<SCRIPT>var a='</p>';</SCRIPT ><STYLE>p{}</STYLE><P>x</P>") == "x"
+    assert text('<a title="a > b" href=x>link</a> text') == "link text"
+    assert text("<article><header><h1>T</h1></header><p>b</article><header>site</header>") == "T\n\nb"
