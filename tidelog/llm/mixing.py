@@ -72,7 +72,7 @@ def mix(
     share: tuple[int, int] = (3, 2),
     epochs: int = 2,
     seed: str = "mix",
-    bucket_rows: int = 50_000,
+    bucket_rows: int = 10_000,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, epochs (whole ones), key, src: how many words of each row the mix takes.
 
