@@ -66,19 +66,28 @@ def guarded(events: DataFrame, trims: DataFrame, rollbacks: DataFrame, deletes:
     return not_deleted(not_rolled_back(trimmed(events, trims), rollbacks), deletes, forks)
 
 
+def fork_depth(forks: DataFrame, max_depth: int = 64) -> int:
+    """How many forks the longest chain has; a chain beyond max_depth is taken for a cycle. Reads the control table only."""
+    up = forks.select(F.col("child").alias("__at"), F.col("parent").alias("__next"))
+    level = forks.select(F.col("parent").alias("__at"))
+    for depth in range(max_depth + 1):
+        if level.isEmpty():
+            return depth
+        level = level.join(up, "__at").select(F.col("__next").alias("__at")).distinct()
+    raise InvalidInput("the fork chain is a cycle")
+
+
 def lineage(forks: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
     """root, seg, hi, depth: the streams whose events make up each root's history, with the versions below hi that count.
 
-    One join per level of forking; the loop ends at the deepest one. A chain beyond max_depth is taken for a cycle.
+    One join per level of forking; how many levels there are is found from the forks alone, so the plan over the roots runs once.
     """
     level = roots.select("root", F.col("root").alias("seg"), F.lit(TAIL).alias("hi"), F.lit(0).alias("depth"))
     out, up = level, forks.select(F.col("child").alias("seg"), F.col("parent").alias("__parent"), F.col("at_version").alias("__at"))
-    for _ in range(max_depth):
+    for _ in range(fork_depth(forks, max_depth)):
         level = level.join(up, "seg").select("root", F.col("__parent").alias("seg"), F.least("hi", F.col("__at") + 1).alias("hi"), (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            return out
         out = out.unionAll(level)
-    raise InvalidInput("the fork chain is a cycle")
+    return out
 
 
 def history(guarded_events: DataFrame, chain: DataFrame, lo: int = 0, hi: int = TAIL) -> DataFrame:
