@@ -518,3 +518,21 @@ def test_html_corner_cases():
     assert text("<SCRIPT>var a='</p>';</SCRIPT ><STYLE>p{}</STYLE><P>x</P>") == "x"
     assert text('<a title="a > b" href=x>link</a> text') == "link text"
     assert text("<article><header><h1>T</h1></header><p>b</article><header>site</header>") == "T\n\nb"
+
+
+def test_html_keeps_the_whole_article():
+    body = "<p>" + "the body of the text " * 40 + "</p>"
+    whole = lambda h: [w in html.Page(h).text(None) for w in ("Head", "lead words", "the body", "closing words")]
+    assert all(whole(f"<body><p>aside</p><main><h1>Head</h1><p>lead words</p><div class=body>{body}</div><div class=end><p>closing words</div></main>"))
+    assert all(whole(f"<body><div class=w><h1>Head</h1><p>lead words</p><div class=body>{body}</div><div class=end><p>closing words</div></div>"))
+    assert all(whole(f"<body><div class=w><h1><a href=/>Head</a></h1><p>lead words</p><article>{body}<section><p>closing words</section></article></div>"))
+    page = html.Page(f"<body><div class=links><a href=/>one</a></div><div class=w><h1>Head</h1>{body}</div>")
+    assert page.name(page.vote()[0]) == "body>div.w"
+
+
+def test_html_other_template_on_the_host(spark):
+    body = "the body of the text " * 40
+    rows = [(i, f"http://h.org/{i}", f"<body><div class=c><h1>T</h1><p>{body}</div>") for i in range(5)]
+    rows.append((9, "http://h.org/9", f"<body><div class=c><p>small</div><div class=other><h1>Head</h1><p>{body}</div>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == f"small\n\nHead\n\n{body.strip()}" and got[0] == f"T\n\n{body.strip()}"

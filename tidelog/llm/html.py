@@ -1,10 +1,12 @@
 """Main text of web pages by consensus host paths.
 
 A page is cut into blocks of text, each inside a chain of containers. Boilerplate (menus, headers, footers, side bars, notices,
-adverts, forms, comments) is known by tags, roles and class words and carries no weight. The deepest container that still holds
-most of the remaining text is the page's vote, named by its generalised path of tags and classes (digits become #).
+adverts, forms, comments) is known by tags, roles and class words and carries no weight. The page's vote is the lowest container that
+holds all remaining text but blocks of links; where most of the text is in one article or main element, all that is in it, and the
+page's title. It is named by its generalised path of tags and classes (digits become #).
 Votes are counted per host in Spark, partly before the shuffle, so a host with a third of all pages costs no more than others; every page is then extracted
-again from the elements on its host's winning path, or from its own vote if the page has no such element.
+again from the elements on its host's winning path, and from its own vote too if these elements hold clearly less than that or not the
+title (a class such as post or entry on them is trusted: then what is outside, however long, is not the article).
 
 Defined results: a null html is empty and gives an empty text; a null url, or one without ://, belongs to the host ''; broken, unclosed
 and cut-off markup is read as far as it goes; repeated rows vote and are extracted each for itself.
@@ -48,10 +50,10 @@ _DEPTH = 12
 
 
 class _Open:
-    __slots__ = ("boiler", "container", "inside", "path", "tag")
+    __slots__ = ("boiler", "container", "inside", "path", "tag", "title")
 
-    def __init__(self, tag: str, path: tuple[str, ...], boiler: bool, inside: bool, container: int | None):
-        self.tag, self.path, self.boiler, self.inside, self.container = tag, path, boiler, inside, container
+    def __init__(self, tag: str, path: tuple[str, ...], boiler: bool, inside: bool, container: int | None, title: bool = False):
+        self.tag, self.path, self.boiler, self.inside, self.container, self.title = tag, path, boiler, inside, container, title
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -68,12 +70,14 @@ def _is_boiler(tag: str, at: dict[str, str], inside: bool) -> bool:
 
 
 class Page:
-    """blocks: (text, weight, ids of the containers around it) of all text that is no boilerplate; paths, parents: of each container."""
+    """blocks: (text, weight, id of the container around it) of all text that is no boilerplate; titles: which blocks are in an h1; paths, parents, semantic (article or main): of each container."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int]] = []
         self.paths: list[tuple[str, ...]] = [("",)]
         self.parents: list[int] = [-1]
+        self.semantic: list[bool] = [False]
+        self.titles: set[int] = set()
         self._text: list[str] = []
         self._linked = 0
         self._read(html)
@@ -82,6 +86,8 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text and not top.boiler:
+                if top.title:
+                    self.titles.add(len(self.blocks))
                 self.blocks.append((text, max(1, len(text) - 2 * self._linked), top.container or 0))
             self._text, self._linked = [], 0
 
@@ -137,8 +143,9 @@ class Page:
                 container = len(self.paths)
                 self.paths.append(path)
                 self.parents.append(top.container or 0)
+                self.semantic.append(tag in ("article", "main"))
             inside = top.inside or tag in ("article", "main")
-            stack.append(_Open(tag, path, top.boiler or _is_boiler(tag, names, inside), inside, container))
+            stack.append(_Open(tag, path, top.boiler or _is_boiler(tag, names, inside), inside, container, top.title or tag == "h1"))
         self._flush(stack[-1])
 
     def _imply(self, stack: list[_Open], tag: str) -> None:
@@ -163,7 +170,7 @@ class Page:
                 return
 
     def vote(self, share: float = 0.7) -> tuple[int, float]:
-        """The deepest container that holds `share` of the weight, and how much of it."""
+        """The lowest container of all blocks but blocks of links, and how much of the weight it holds. If `share` of the weight is in one article or main, only the blocks in it count, and the title."""
         weight = [0] * len(self.paths)
         for _, w, c in self.blocks:
             weight[c] += w
@@ -173,20 +180,46 @@ class Page:
         for c in range(1, len(weight)):
             if total and weight[c] >= share * total and self.parents[c] == best:
                 best = c
+        scope, at = 0, best
+        while at > 0:
+            scope, at = at if self.semantic[at] else scope, self.parents[at]
+        inside = self._within({scope})
+        needed = {c for k, (_, _, c) in enumerate(self.blocks) if inside[c] and self._counts(k)}
+        titles = {self.blocks[k][2] for k in self.titles}
+        if not any(inside[c] for c in titles):
+            needed |= titles
+        best = self._common(needed) if needed else best
         return best, weight[best] / total if total else 0.0
 
+    def _counts(self, k: int) -> bool:
+        """Whether a block is more than links."""
+        text, weight, _ = self.blocks[k]
+        return weight > 1 or len(text) == 1 or k in self.titles
+
+    def _common(self, containers: set[int]) -> int:
+        """The lowest container around all of them."""
+        best, *rest = containers
+        for c in rest:
+            while c != best:
+                best, c = (self.parents[best], c) if best > c else (best, self.parents[c])
+        return best
+
     def name(self, container: int) -> str:
         return ">".join(self.paths[container])
 
-    def text(self, path: str | None) -> str:
-        """The blocks inside the elements on the path, or inside the page's own vote if it has none."""
+    def text(self, path: str | None, enough: float = 0.9) -> str:
+        """The blocks inside the elements on the path; also those of the page's own vote if the former hold less than `enough` of its weight, or not its title, and are not named an article by their class."""
         chosen = {c for c in range(1, len(self.paths)) if self.name(c) == path} if path is not None else set()
         inside = self._within(chosen)
-        kept = [t for t, _, c in self.blocks if inside[c]] if chosen else []
-        if not kept:
-            inside = self._within({self.vote()[0]})
-            kept = [t for t, _, c in self.blocks if inside[c]]
-        return "\n\n".join(kept)
+        kept = {k for k, (_, _, c) in enumerate(self.blocks) if inside[c]}
+        if not kept or not set(_WORD.findall(path.rpartition(">")[2].lower())) & ARTICLE_WORDS - {"article"}:
+            best = self.vote()[0]
+            inside = self._within({c for c in range(len(self.paths)) if c == best or (best and self.paths[c] == self.paths[best])})
+            own = {k for k, (_, _, c) in enumerate(self.blocks) if inside[c]}
+            heavy = lambda of: sum(self.blocks[k][1] for k in of if self._counts(k))
+            if not kept or heavy(kept) < enough * heavy(own) or (own & self.titles and not kept & self.titles):
+                kept |= own
+        return "\n\n".join(t for k, (t, _, _) in enumerate(self.blocks) if k in kept)
 
     def _within(self, chosen: set[int]) -> list[bool]:
         inside = [False] * len(self.paths)
