@@ -536,3 +536,25 @@ def test_html_other_template_on_the_host(spark):
     rows.append((9, "http://h.org/9", f"<body><div class=c><p>small</div><div class=other><h1>Head</h1><p>{body}</div>"))
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == f"small\n\nHead\n\n{body.strip()}" and got[0] == f"T\n\n{body.strip()}"
+
+
+def test_html_wrappers_of_the_article_are_not_boilerplate():
+    body = "<p>" + "the body of the text " * 40 + "</p>"
+    text = lambda h: html.Page(h).text(None)
+    want = "Head\n\n" + ("the body of the text " * 40).strip()
+    for wrap in ('div class="content no-sidebar"', 'div class="elementor-widget-container"', "form method=post", 'div class="page with-header"'):
+        for inner in ("article", "main", "div"):
+            page = f"<body><nav>menu</nav><{wrap}><{inner}><h1>Head</h1>{body}</{inner}><div class=sidebar>side</div><div class=comments><article class=comment>first</article></div></{wrap.split()[0]}><footer>foot</footer>"
+            assert text(page) == want, (wrap, inner)
+    assert text(f'<body><div class="elementor-widget a-widget"><h1>Head</h1></div><div class="elementor-widget b-widget">{body}</div><div class=widget>w</div>') == want
+    assert text(f'<body style="visibility:hidden"><h1>Head</h1>{body}') == want
+    assert text('<body><nav>menu</nav><aside><p>all there is</aside>') == "all there is"
+    assert text("<body><nav>menu</nav>") == ""
+    assert text("<div class=ad>" * 3000 + "deep") == "deep"
+    assert text(f'<article><h1>Head</h1></article><div class="related"><article>{body}</article></div><div class=ad>{body}</div>') == "Head"
+
+
+def test_html_attributes_by_name():
+    text = lambda h: html.Page(h).text(None)
+    assert text('<p>one <a href="/hidden-gems">two</a> <a href=/?id=search>three</a> <i data-hidden=1 title="a class=nav">four</i> five') == "one two three four five"
+    assert text("<p>one <span hidden>no</span><span class=share>no</span> two <button>no</button>three") == "one two three"

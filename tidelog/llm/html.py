@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 A page is cut into blocks of text, each inside a chain of containers. Boilerplate (menus, headers, footers, side bars, notices,
-adverts, forms, comments) is known by tags, roles and class words and carries no weight. The page's vote is the lowest container that
+adverts, forms, comments) is known by tags, roles and class words and carries no weight; the verdict on an element is taken when the page
+is read, and is lifted where it would condemn the article itself (see Page._lift). The page's vote is the lowest container that
 holds all remaining text but blocks of links; where most of the text is in one article or main element, all that is in it, and the
 page's title. It is named by its generalised path of tags and classes (digits become #).
 Votes are counted per host in Spark, partly before the shuffle, so a host with a third of all pages costs no more than others; every page is then extracted
@@ -31,6 +32,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article main section div td body".split())
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 BOILER_TAGS = frozenset("nav aside footer form button select dialog menu head fieldset".split())
+#: Of these the ones that are never the article, and the words that no class of a wrapper of the article has.
+NEVER_TAGS = frozenset("nav select button menu head".split())
+NEVER_ROLES = frozenset("navigation menu menubar".split())
+LATE_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses related recommended outbrain taboola cookie cookies consent gdpr".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BOILER_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer sidebar widget ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond responses form search pagination pager toolbar skip outbrain taboola".split()
@@ -42,7 +47,7 @@ _TOKEN = re.compile(
     r"""<!---?>|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?|["']""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -50,23 +55,45 @@ _DEPTH = 12
 
 
 class _Open:
-    __slots__ = ("boiler", "container", "inside", "path", "tag", "title")
+    __slots__ = ("container", "inside", "mark", "path", "tag", "title")
 
-    def __init__(self, tag: str, path: tuple[str, ...], boiler: bool, inside: bool, container: int | None, title: bool = False):
-        self.tag, self.path, self.boiler, self.inside, self.container, self.title = tag, path, boiler, inside, container, title
+    def __init__(self, tag: str, path: tuple[str, ...], mark: int, inside: bool, container: int | None, title: bool = False):
+        self.tag, self.path, self.mark, self.inside, self.container, self.title = tag, path, mark, inside, container, title
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
-
-
-def _is_boiler(tag: str, at: dict[str, str], inside: bool) -> bool:
-    if tag in BOILER_TAGS or at.get("role", "").lower() in BOILER_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")):
-        return True
-    words = set(_WORD.findall(_CAMEL.sub(" ", f"{at.get('class', '')} {at.get('id', '')}").lower())) if "class" in at or "id" in at else set()
-    if words & BOILER_WORDS and tag not in ("body", "html", "article", "main"):
-        return True
-    return (tag == "header" or "header" in words) and not inside and not words & ARTICLE_WORDS and tag not in ("body", "html")
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw) if raw and not raw.isspace() else ():
+        if m[1]:
+            value = m[2] or ""
+            found.setdefault(m[1].lower(), value[1:-1] if value[:1] in ('"', "'") else value)  # the first of a name counts
+    return found
+
+
+def _words(name: str) -> set[str]:
+    return set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+
+
+def _boiler(tag: str, at: dict[str, str], inside: bool) -> tuple[int, frozenset[str]] | None:
+    """How surely an element is boilerplate, if it is: 0 a class or id only has such a word in it, or a form; 1 one is such a word; 2 by tag, role or hidden; 3 navigation. And the names that say so."""
+    role = at.get("role", "").lower()
+    if tag in NEVER_TAGS or role in NEVER_ROLES:
+        return 3, frozenset()
+    names = f"{at.get('class', '')} {at.get('id', '')}".split() if "class" in at or "id" in at else []
+    words = {n: _words(n) for n in names}
+    every = set().union(*words.values())
+    named = tag not in ("body", "html", "article", "main")
+    said = frozenset(n for n, w in words.items() if named and w & BOILER_WORDS)
+    header = (tag == "header" or "header" in every) and not inside and not every & ARTICLE_WORDS and tag not in ("body", "html")
+    if header:
+        said |= {n for n, w in words.items() if "header" in w}
+    soft = tag in ("form", "fieldset") or role == "form"
+    hard = (tag in BOILER_TAGS or role in BOILER_ROLES) and not soft
+    if hard or (header and tag == "header") or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")) or (named and every & LATE_WORDS):
+        return 2, said
+    if said:
+        return int(any(len(words[n]) == 1 for n in said)), said
+    return (0, said) if soft else None
 
 
 class Page:
@@ -80,24 +107,102 @@ class Page:
         self.titles: set[int] = set()
         self._text: list[str] = []
         self._linked = 0
+        self._para = 0
+        self._pieces: list[tuple[str, int, int, int, bool, int]] = []  # text, linked, container, mark, title, paragraph
+        self._marks: list[tuple[int, int, frozenset[str]]] = [(-1, 0, frozenset())]  # parent, kind, names of each element that looks like boilerplate; 0: none
+        self._articles: list[tuple[int, int, bool]] = []  # container, mark, whether main
         self._read(html)
+        self._settle(self._lift())
 
-    def _flush(self, top: _Open) -> None:
+    def _flush(self, top: _Open, breaks: bool = True) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
-            if text and not top.boiler:
-                if top.title:
-                    self.titles.add(len(self.blocks))
-                self.blocks.append((text, max(1, len(text) - 2 * self._linked), top.container or 0))
+            if top.mark >= 0:
+                self._pieces.append(("".join(self._text), self._linked, top.container or 0, top.mark, top.title, self._para))
             self._text, self._linked = [], 0
+        self._para += breaks
+
+    def _settle(self, free: set[int]) -> None:
+        """Blocks from the pieces of free marks; a paragraph goes on after an inline element that is left out."""
+        last: list = ["", 0, 0, False, -1]
+        for text, linked, container, mark, title, para in self._pieces:
+            if mark not in free:
+                continue
+            if last[2] == container and last[4] == para:
+                last[0], last[1], last[3] = last[0] + text, last[1] + linked, last[3] or title
+            else:
+                self._block(*last[:4])
+                last = [text, linked, container, title, para]
+        self._block(*last[:4])
+
+    def _block(self, raw: str, linked: int, container: int, title: bool) -> None:
+        if text := " ".join(raw.split()):
+            if title:
+                self.titles.add(len(self.blocks))
+            self.blocks.append((text, max(1, len(text) - 2 * linked), container))
+
+    def _lift(self) -> set[int]:
+        """The marks that are no boilerplate, 0 among them. Lifted are, with all marks around it: the mark around the page's article or main,
+        the one around most of the text where no article says better, and, if nothing else is left, the one with most of the text."""
+        marks, free = self._marks, {0}
+        if len(marks) == 1:
+            return free
+        own = [0] * len(marks)
+        weigh = [max(1, len(p[0]) - 2 * p[1]) if p[0] and not p[0].isspace() else 0 for p in self._pieces]
+        for p, w in zip(self._pieces, weigh, strict=True):
+            own[p[3]] += w
+        held = own[:]
+        for m in range(len(marks) - 1, 0, -1):  # children come after their parents
+            held[marks[m][0]] += held[m]
+        total = held[0]
+        if own[0] == total:
+            return free
+
+        kind = [0] * len(marks)  # the surest of a mark and those around it
+        for m in range(1, len(marks)):
+            kind[m] = max(kind[marks[m][0]], marks[m][1])
+
+        def lift(m: int) -> None:
+            while m not in free:
+                free.add(m)
+                m = marks[m][0]
+
+        at_mark = {c: m for c, m, _ in self._articles}
+        near = [0] * len(self.paths)  # the article or main around each container
+        for c in range(1, len(near)):
+            near[c] = c if c in at_mark else near[self.parents[c]]
+        inside = dict.fromkeys(at_mark, 0)  # weight in each article, without boilerplate in it
+        for p, w in zip(self._pieces, weigh, strict=True):
+            if at_mark.get(near[p[2]]) == p[3]:
+                inside[near[p[2]]] += w
+        for c in sorted(at_mark, reverse=True):
+            if at_mark.get(around := near[self.parents[c]]) == at_mark[c]:
+                inside[around] += inside[c]
+        found = [(inside[c], -c, m, main) for c, m, main in self._articles if inside[c]]
+        if found:
+            weight, _, m, main = max(found)
+            clear, half = [x for x in found if x[2] == 0], 2 * weight >= total
+            alone = all(x[3] for x in clear)  # no article is outside, a main may be
+            if (half or alone, alone, not clear and (main or half))[kind[m]]:
+                lift(m)
+        sure, names = any(x[2] in free for x in found), set()
+        for m in range(1, len(marks)):
+            if m not in free and kind[m] <= (0 if sure else 1) and held[m] >= (0.8 if sure else 0.5) * total:
+                lift(m)
+                names |= marks[m][2]
+        for m in range(1, len(marks)):  # a name that wraps the article says nothing about other elements either
+            if marks[m][1] == 0 and marks[m][2] & names and marks[m][0] in free:
+                free.add(m)
+        if not any(own[m] for m in free):
+            lift(max((m for m in range(1, len(marks)) if own[m]), key=lambda m: (-kind[m], own[m], -m)))
+        return free
 
     def _read(self, html: str) -> None:
-        stack = [_Open("", (), False, False, 0)]
+        stack = [_Open("", (), 0, False, 0)]
         at, size, links = 0, len(html), 0
         while at < size:
             m = _TOKEN.search(html, at)
             end = m.start() if m else size
-            if end > at and not stack[-1].boiler:
+            if end > at and stack[-1].mark >= 0:
                 text = html[at:end]
                 text = unescape(text) if "&" in text else text
                 self._text.append(text)
@@ -108,7 +213,7 @@ class Page:
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
-                if m[0].startswith("<![CDATA[") and not stack[-1].boiler:
+                if m[0].startswith("<![CDATA[") and stack[-1].mark >= 0:
                     self._text.append(m[0][9:].removesuffix("]]>"))
                 continue
             closing, raw = bool(m[1] or m[4]), m[3] if m[2] else m[6] or ""
@@ -124,7 +229,8 @@ class Page:
                 continue
             if tag in VOID:
                 if tag == "br":
-                    self._text.append(" ")
+                    if stack[-1].mark >= 0:
+                        self._text.append(" ")
                 elif tag == "hr":
                     self._flush(stack[-1])
                 continue
@@ -145,7 +251,15 @@ class Page:
                 self.parents.append(top.container or 0)
                 self.semantic.append(tag in ("article", "main"))
             inside = top.inside or tag in ("article", "main")
-            stack.append(_Open(tag, path, top.boiler or _is_boiler(tag, names, inside), inside, container, top.title or tag == "h1"))
+            mark = top.mark
+            if mark >= 0 and (verdict := _boiler(tag, names, inside)):
+                self._flush(top, False)
+                mark = -1 if verdict[0] == 3 else len(self._marks)
+                if mark > 0:
+                    self._marks.append((top.mark, *verdict))
+            if mark >= 0 and (tag == "main" or (tag == "article" and not _words(f"{names.get('class', '')} {names.get('id', '')}") & BOILER_WORDS)):
+                self._articles.append((container, mark, tag == "main"))
+            stack.append(_Open(tag, path, mark, inside, container, top.title or tag == "h1"))
         self._flush(stack[-1])
 
     def _imply(self, stack: list[_Open], tag: str) -> None:
@@ -162,8 +276,8 @@ class Page:
             self._flush(stack[-1])
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
-                if stack[k].boiler != stack[k - 1].boiler:
-                    self._flush(stack[-1])
+                if stack[-1].mark != stack[k - 1].mark:
+                    self._flush(stack[-1], False)
                 del stack[k:]
                 return
             if tag not in BLOCK and stack[k].tag in BLOCK:
