@@ -558,3 +558,12 @@ def test_html_attributes_by_name():
     text = lambda h: html.Page(h).text(None)
     assert text('<p>one <a href="/hidden-gems">two</a> <a href=/?id=search>three</a> <i data-hidden=1 title="a class=nav">four</i> five') == "one two three four five"
     assert text("<p>one <span hidden>no</span><span class=share>no</span> two <button>no</button>three") == "one two three"
+
+
+def test_language_sample_has_every_language(spark):
+    made = lambda k, i: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("qa", "zo", "xi")) + f" {i}"
+    rows = [(i * 100 + k, made(k, i), f"x{k}", None) for k in range(70) for i in range(3) for _ in range(10 if k < 35 else 1)]
+    rows += [(1, "123", "nolet", None), (2, None, "nolet", None)]
+    m = language.fit(docs(spark, rows))
+    assert {x for _, langs in m.families.values() for x in langs} == {f"x{k}" for k in range(70)}
+    assert [x[0] for x in m.predict([made(k, 7).encode() for k in range(70)])] == [f"x{k}" for k in range(70)]

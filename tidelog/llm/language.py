@@ -3,10 +3,10 @@
 Texts become relative frequencies of hashed byte trigrams (ASCII letters lower-cased, everything else in ASCII a space). A
 first set of linear support vector machines, one per family, picks the language family; within it one machine per pair of
 languages votes, ties going to the larger sum of margins. All machines are L2-loss SVMs trained on the driver from a sample of
-labelled rows that is bounded by `max_rows` (in all) and `max_langs`; prediction reads whole texts, streams them through numpy in
-pieces and needs no shuffle.
+labelled rows, bounded by `max_rows` or `least` texts of each language; every language is learned. Prediction reads whole texts, streams
+them through numpy in pieces and needs no shuffle.
 
-Defined results: a null text or one without a letter is `und` with score 0; rows without a lang are not learned from; with no labelled row
+Defined results: a null text or one without a letter is `und` with score 0; rows without a lang or a letter are not learned from; with no labelled row
 every text is `und`; with one language every text with a letter is that language. Equal texts get equal predictions.
 """
 
@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.textops import column_bytes, pieces, streamed
@@ -182,19 +182,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "at", "value"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 1024, max_langs: int = 64) -> Machines:
-    """Machines from a sample of about max_rows distinct texts (twice as many at most), drawn by hash of the text, equally from each of the max_langs most frequent languages."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 1024, least: int = 8) -> Machines:
+    """Machines from the distinct texts with the smallest hashes of each language: max_rows over the number of languages, `least` if that is more, or all if it has fewer."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()
     if not counts:
         return Machines(np.zeros((BUCKETS, 0)), np.zeros(0))
-    each = max(1, max_rows // len(counts))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    drawn = rows.where(draw < share).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))  # of equal texts one
-    found = drawn.orderBy("h", "lang").limit(2 * max_rows).select("lang", "text").mapInArrow(streamed(_features), "lang string, at array<int>, value array<float>").toArrow()
+    each = max(least, max_rows // len(counts))
+    # so many are drawn that each language has `each` among them, for the counts are near; then the smallest are kept
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], (2 * each + 32) / max(1, r["texts"])) for r in counts], "lang string, share double")
+    draw = F.pmod("h", F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).groupBy("lang", "h").agg(F.first("text").alias("text"))  # of equal texts one
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "h"))).where(F.col("place") <= each)
+    found = drawn.select("lang", "text").mapInArrow(streamed(_features), "lang string, at array<int>, value array<float>").toArrow()
     langs = found.column("lang").to_pylist()
     parts = [(np.array(a, np.int32), np.array(v, np.float64)) for a, v in zip(found.column("at").to_pylist(), found.column("value").to_pylist(), strict=True)]
     order = sorted(range(len(langs)), key=lambda i: (langs[i], parts[i][0].tolist(), parts[i][1].tolist()))
@@ -203,7 +203,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
 
 def predict(docs: DataFrame, machines: Machines, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, family of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(machines)  # BUCKETS x machines floats, bounded by max_langs
+    held = docs.sparkSession.sparkContext.broadcast(machines)  # BUCKETS x machines floats, a machine per family and pair in it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
