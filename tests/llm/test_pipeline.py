@@ -110,3 +110,8 @@ def test_redaction_sets_lengths(spark):
     out = corpus_pipeline.stage_secrets(spark, frame(spark, [(1, "a secret=abcdefgh", "en", "s"), (2, None, None, None)]), "")
     assert {r["doc_id"]: r["n_chars"] for r in out.collect()} == {1: len("a [secret]"), 2: 0}
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py" and F is not None
+
+
+def test_language_keeps_lettered_texts_without_labels(spark):
+    rows = [(1, "some words", None, "s"), (2, "12 34", None, "s"), (3, None, None, "s"), (4, "漢字", None, "s")]
+    assert sorted(r[0] for r in as_rows(corpus_pipeline.stage_language(spark, frame(spark, rows), ""))) == [1, 4]

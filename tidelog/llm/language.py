@@ -222,12 +222,16 @@ def _judged(machines: Machines, column: pa.Array) -> list[pa.Array]:
 
 
 def keep_identified(docs: DataFrame, machines: Machines, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """All columns of the rows whose language is determined with at least min_score."""
+    """All columns of the rows whose language is determined with at least min_score; without machines (no labelled row), of those with a letter."""
     held = docs.sparkSession.sparkContext.broadcast(machines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, _ = _judged(held.value, batch.column(batch.schema.get_field_index(text_col)))
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            if not held.value.families:
+                yield batch.filter(pa.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in column_bytes(texts)], pa.bool_()))
+                continue
+            lang, score, _ = _judged(held.value, texts)
             yield batch.filter(pa.array([a != UNDETERMINED and b >= min_score for a, b in zip(lang.to_pylist(), score.to_pylist(), strict=True)]))
 
     return docs.mapInArrow(streamed(run), docs.schema)
