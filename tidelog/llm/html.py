@@ -30,7 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg canvas".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body".split())
-CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 BOILER_TAGS = frozenset("nav aside footer form button select dialog menu head fieldset".split())
 #: Of these the ones that are never the article, and the words that no class of a wrapper of the article has.
 NEVER_TAGS = frozenset("nav select button menu head".split())
@@ -51,14 +51,15 @@ _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_DEPTH = 12
 
 
 class _Open:
-    __slots__ = ("container", "inside", "mark", "path", "tag", "title")
+    """An open element; block: where on the stack the block element nearest to it is, itself included."""
 
-    def __init__(self, tag: str, path: tuple[str, ...], mark: int, inside: bool, container: int | None, title: bool = False):
-        self.tag, self.path, self.mark, self.inside, self.container, self.title = tag, path, mark, inside, container, title
+    __slots__ = ("block", "container", "inside", "mark", "path", "tag", "title")
+
+    def __init__(self, tag: str, path: int, mark: int, inside: bool, container: int | None, title: bool = False, block: int = 0):
+        self.tag, self.path, self.mark, self.inside, self.container, self.title, self.block = tag, path, mark, inside, container, title, block
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -97,11 +98,16 @@ def _boiler(tag: str, at: dict[str, str], inside: bool) -> tuple[int, frozenset[
 
 
 class Page:
-    """blocks: (text, weight, id of the container around it) of all text that is no boilerplate; titles: which blocks are in an h1; paths, parents, semantic (article or main): of each container."""
+    """blocks: (text, weight, id of the container around it) of all text that is no boilerplate; titles: which blocks are in an h1; paths, parents, semantic (article or main): of each container.
+
+    Paths are numbers: a path is its last step after another path, and equal paths have equal numbers, however deep they are."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int]] = []
-        self.paths: list[tuple[str, ...]] = [("",)]
+        self.paths: list[int] = [0]
+        self._steps: list[tuple[int, str]] = [(-1, "")]  # of each path: the path before its last step, and that step
+        self._known: dict[tuple[int, str], int] = {}
+        self._held: dict[str, list[int]] = {}  # where on the stack the open elements of each tag are
         self.parents: list[int] = [-1]
         self.semantic: list[bool] = [False]
         self.titles: set[int] = set()
@@ -197,7 +203,7 @@ class Page:
         return free
 
     def _read(self, html: str) -> None:
-        stack = [_Open("", (), 0, False, 0)]
+        stack = [_Open("", 0, 0, False, 0)]
         at, size, links = 0, len(html), 0
         while at < size:
             m = _TOKEN.search(html, at)
@@ -244,7 +250,7 @@ class Page:
             path, container = top.path, top.container
             if tag in BLOCK and tag not in ("p", "html"):
                 classes = ".".join(re.sub(r"\d+", "#", c) for c in names.get("class", "").split())
-                path = (*top.path, f"{tag}.{classes}" if classes else tag)[-_DEPTH:]
+                path = self._step(path, f"{tag}.{classes}".replace(">", "") if classes else tag)
             if tag in CONTAINER:
                 container = len(self.paths)
                 self.paths.append(path)
@@ -259,29 +265,35 @@ class Page:
                     self._marks.append((top.mark, *verdict))
             if mark >= 0 and (tag == "main" or (tag == "article" and not _words(f"{names.get('class', '')} {names.get('id', '')}") & BOILER_WORDS)):
                 self._articles.append((container, mark, tag == "main"))
-            stack.append(_Open(tag, path, mark, inside, container, top.title or tag == "h1"))
+            self._held.setdefault(tag, []).append(len(stack))
+            stack.append(_Open(tag, path, mark, inside, container, top.title or tag == "h1", len(stack) if tag in BLOCK else top.block))
         self._flush(stack[-1])
 
+    def _step(self, path: int, step: str) -> int:
+        found = self._known.setdefault((path, step), len(self._steps))
+        if found == len(self._steps):
+            self._steps.append((path, step))
+        return found
+
+    def _drop(self, stack: list[_Open], k: int) -> None:
+        while len(stack) > k:
+            self._held[stack.pop().tag].pop()
+
     def _imply(self, stack: list[_Open], tag: str) -> None:
-        for k in range(len(stack) - 1, max(0, len(stack) - 8), -1):
-            held = stack[k].tag
-            if tag in CLOSES.get(held, ()):
-                del stack[k:]
-                return
-            if held in BLOCK and held not in ("p",):
-                return
+        """A block tag ends the paragraph or item around it, whatever inline elements are open in there."""
+        k = stack[-1].block
+        if k and tag in CLOSES.get(stack[k].tag, ()):
+            self._drop(stack, k)
 
     def _close(self, stack: list[_Open], tag: str) -> None:
         if tag in BLOCK:
             self._flush(stack[-1])
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                if stack[-1].mark != stack[k - 1].mark:
-                    self._flush(stack[-1], False)
-                del stack[k:]
-                return
-            if tag not in BLOCK and stack[k].tag in BLOCK:
-                return
+        held = self._held.get(tag)
+        if not held or (tag not in BLOCK and held[-1] < stack[-1].block):
+            return
+        if stack[-1].mark != stack[held[-1] - 1].mark:
+            self._flush(stack[-1], False)
+        self._drop(stack, held[-1])
 
     def vote(self, share: float = 0.7) -> tuple[int, float]:
         """The lowest container of all blocks but blocks of links, and how much of the weight it holds. If `share` of the weight is in one article or main, only the blocks in it count, and the title."""
@@ -319,11 +331,25 @@ class Page:
         return best
 
     def name(self, container: int) -> str:
-        return ">".join(self.paths[container])
+        steps, at = [], self.paths[container]
+        while at:
+            at, step = self._steps[at]
+            steps.append(step)
+        return ">".join(reversed(steps))
+
+    def _path(self, name: str) -> int | None:
+        """The number of the path of that name, if the page has it."""
+        at: int | None = 0
+        for step in name.split(">") if name else ():
+            at = self._known.get((at, step))
+            if at is None:
+                return None
+        return at
 
     def text(self, path: str | None, enough: float = 0.9) -> str:
         """The blocks inside the elements on the path; also those of the page's own vote if the former hold less than `enough` of its weight, or not its title, and are not named an article by their class."""
-        chosen = {c for c in range(1, len(self.paths)) if self.name(c) == path} if path is not None else set()
+        wanted = self._path(path) if path is not None else None
+        chosen = {c for c in range(1, len(self.paths)) if self.paths[c] == wanted}
         inside = self._within(chosen)
         kept = {k for k, (_, _, c) in enumerate(self.blocks) if inside[c]}
         if not kept or not set(_WORD.findall(path.rpartition(">")[2].lower())) & ARTICLE_WORDS - {"article"}:
