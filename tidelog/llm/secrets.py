@@ -3,12 +3,14 @@
 Base spans (fixed patterns): assignments of a value to a secret-like name, access identifiers, long hex runs. The linker adds
 weak candidates: names of accounts, opaque mixed-case tokens and endpoints mean nothing alone, so each is reported only if
 the parts that complete it lie within its scope (the interval of `scope` code points around it). Parts are kept as sorted
-intervals per class and joined by bisection, so a text of n parts takes O(n log n).
+intervals per class and joined by bisection, so a text of n parts takes O(n log n); no pattern starts twice in one run of letters.
 
     weak token    needs an identifier (access or account)
     account name  needs a secret that is not weak itself, or a weak token and an endpoint
     endpoint      needs an identifier and a secret
 
+A secret never overlaps the identifier that it completes: an access identifier that is the value of an assignment is one part, not two.
+
 Defined results: a null text is an empty one and has no spans; offsets are code points, ends exclusive; repeated rows and equal
 ids are scanned row by row; an empty table gives an empty result. Whole texts are scanned.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,23 +37,35 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: The weak parts.
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 ACCOUNT = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?![\d.])""", re.ASCII)
+URL = re.compile(r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]++)""", re.ASCII)
+ADDRESS = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d++)?(?![\d.])", re.ASCII)
 
 Span = tuple[int, int]
 
 
 class Intervals:
-    """Sorted, disjoint intervals that answer which of them is nearest to another one within its scope."""
+    """Sorted, disjoint intervals that answer which of them lie within the scope of another one, apart from it."""
 
     def __init__(self, spans: list[Span], scope: int):
         self.spans, self.scope = sorted(spans), scope
-        self.starts = [s for s, _ in self.spans]
+        self.starts, self.ends = [s for s, _ in self.spans], [e for _, e in self.spans]
 
     def near(self, span: Span) -> Span | None:
-        lo, hi = span[0] - self.scope, span[1] + self.scope
-        i = bisect_left(self.starts, span[0])
-        found = [x for x in self.spans[max(0, i - 1) : i + 2] if x != span and x[0] < hi and x[1] > lo]
-        return min(found, key=lambda x: max(x[0] - span[1], span[0] - x[1], 0), default=None)
+        """The nearest one that does not overlap the span; of two as near the earlier."""
+        left, right = bisect_right(self.ends, span[0]) - 1, bisect_left(self.starts, span[1])
+        found = [self.spans[i] for i in (left, right) if 0 <= i < len(self.spans)]
+        found = [x for x in found if x[0] < span[1] + self.scope and x[1] > span[0] - self.scope]
+        return min(found, key=lambda x: max(x[0] - span[1], span[0] - x[1]), default=None)
+
+    def ends_of(self, span: Span) -> set[Span]:
+        """The first and the last one in the scope, overlapping ones included."""
+        lo, hi = bisect_right(self.ends, span[0] - self.scope), bisect_left(self.starts, span[1] + self.scope)
+        return {self.spans[lo], self.spans[hi - 1]} if lo < hi else set()
+
+
+def _complete(span: Span, ids: Intervals, secrets: tuple[Intervals, ...]) -> bool:
+    """Whether an identifier and a secret that do not overlap are in the scope: if the outermost ones of disjoint intervals all overlap, so do those between."""
+    return any(a[1] <= b[0] or b[1] <= a[0] for s in secrets for a in ids.ends_of(span) for b in s.ends_of(span))
 
 
 def _mixed(word: str) -> bool:
@@ -82,14 +96,15 @@ def find(text: str, scope: int = 200) -> tuple[dict[str, list[Span]], list[tuple
     if not base and not tokens:
         return out, []
     accounts = _apart([m.span() for m in ACCOUNT.finditer(text)], [*base, *tokens]) if named else []
-    endpoints = _apart([m.span() for m in ENDPOINT.finditer(text)], [*base, *tokens, *accounts])
+    urls = [m.span(1) for m in URL.finditer(text)] if "://" in text else []
+    endpoints = _apart([*urls, *_apart([m.span() for m in ADDRESS.finditer(text)], urls)], [*base, *tokens, *accounts])
     strong_ids, all_ids = Intervals(access, scope), Intervals([*access, *accounts], scope)
     strong = Intervals(_merged([*assign, *hexes]), scope)
     weak, places = Intervals(tokens, scope), Intervals(endpoints, scope)
     secret = lambda x: strong.near(x) or weak.near(x)
     out["token"] = [x for x in tokens if strong_ids.near(x) or all_ids.near(x)]
     out["account"] = [x for x in accounts if strong.near(x) or (weak.near(x) and places.near(x))]
-    out["endpoint"] = [x for x in endpoints if all_ids.near(x) and secret(x)]
+    out["endpoint"] = [x for x in endpoints if _complete(x, all_ids, (strong, weak))]
     linked = [(x, s, places.near(x)) for x in [*access, *out["account"]] if (s := secret(x))]
     return out, sorted(linked, key=lambda x: x[0])
 
