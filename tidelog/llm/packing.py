@@ -1,11 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion.
 
 Only lengths matter for packing, so the driver sees no document: it gets the histogram of piece lengths (at most `size` rows,
-whatever the corpus) and solves that. Bin completion takes the largest open length and fills the rest of its sequence by branch and bound:
-undominated fillings are enumerated from large to small lengths, a branch is cut where its waste bound (from the sums that
-the open lengths can still reach) is no better than the incumbent, which starts as the best-fit filling. A filling is applied
-as often as the counts allow, so the plan has a few thousand patterns at most. Small instances are also searched across
-sequences. The best of these and of plain best-fit decreasing is the plan.
+whatever the corpus) and solves that. Bin completion takes the largest open length, enumerates the undominated fillings of the rest of its
+sequence and branches over them, sequence by sequence, on the histogram; a branch is cut where its waste passes what the best plan
+so far leaves to waste. Best-fit plans are the incumbents (see Completion). `solve` gives the plan, the lower bound and whether the plan is proven least.
 
 Pieces are then numbered within their length (running counts inside buckets plus the counts of the buckets before, so no task
 sees a whole length) and find their sequence and offset by bisection in the plan.
@@ -19,9 +17,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,144 +102,217 @@ def tokenise(docs: DataFrame, path: str, size: int = 1024, end: int = 2, id_col:
 Pattern = tuple[tuple[int, ...], int]
 
 
-def _reach(lengths: list[int], room: int) -> int:
-    """Bit s is set if some of the lengths, each as often as needed, sum to s."""
-    bits, full = 1, (1 << room + 1) - 1
+@dataclass
+class Plan:
+    """patterns: (lengths of a sequence, how often); bound: the fewest sequences that there can be; proven: whether none has fewer sequences."""
+
+    patterns: list[Pattern]
+    bound: int
+    proven: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(t for _, t in self.patterns)
+
+
+def least_sequences(histogram: dict[int, int], size: int) -> int:
+    """A lower bound: pieces of more than size - k fill a sequence against pieces of k or more, those above half of it one each, and the rest must fit in what these leave."""
+    best = -(-sum(n * c for n, c in histogram.items()) // size)
+    for k in [n for n in histogram if 2 * n <= size]:
+        alone = sum(c for n, c in histogram.items() if n > size - k)
+        half = [(n, c) for n, c in histogram.items() if size - k >= n and 2 * n > size]
+        rest = sum(n * c for n, c in histogram.items() if 2 * n <= size and n >= k)
+        room = sum((size - n) * c for n, c in half)
+        best = max(best, alone + sum(c for _, c in half) + max(0, -(-(rest - room) // size)))
+    return max(best, sum(c for n, c in histogram.items() if 2 * n > size))
+
+
+def _reaches(lengths: list[int], room: int) -> list[int]:
+    """For each i a number whose bit s is set if some of the first i lengths (ascending), each as often as needed, sum to s."""
+    bits, full, out = 1, (1 << room + 1) - 1, [1]
     for n in lengths:
         step = n
         while step <= room:
             bits |= bits << step & full
             step *= 2
-    return bits
-
-
-def complete(room: int, counts: dict[int, int], lengths: list[int], reach: int, budget: int = 2_000) -> tuple[int, ...]:
-    """The filling of room by open lengths (ascending) with least waste, large ones first; `budget` nodes, then the incumbent."""
-    incumbent, left, at = [], room, bisect_right(lengths, room) - 1
-    used: dict[int, int] = {}
-    while at >= 0:  # best fit: the largest that still fits
-        n = lengths[at]
-        if n <= left and used.get(n, 0) < counts[n]:
-            incumbent.append(n)
-            used[n] = used.get(n, 0) + 1
-            left -= n
-        else:
-            at = min(at - 1, bisect_right(lengths, left) - 1)
-    best, nodes = left, 0
-    floor = lambda r: r - ((reach & ((1 << r + 1) - 1)).bit_length() - 1)  # noqa: E731  least waste in room r
-    bound = floor(room)
-    if best == bound:
-        return tuple(incumbent)
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, bisect_right(lengths, room) - 1, ())]
-    while stack and best > bound and nodes < budget:
-        left, at, chosen = stack.pop()
-        nodes += 1
-        if left < best:
-            best, incumbent = left, list(chosen)
-        if at < 0 or floor(left) >= best:
-            continue
-        n = lengths[at]
-        stack.append((left, at - 1, chosen))
-        if n <= left and (chosen.count(n) if chosen and chosen[-1] == n else 0) < counts[n]:
-            stack.append((left - n, min(at, bisect_right(lengths, left - n) - 1), (*chosen, n)))
-    return tuple(incumbent)
-
-
-def by_completion(histogram: dict[int, int], size: int) -> list[Pattern]:
-    """Patterns of bin completion over the whole histogram, each as often as counts allow."""
-    counts = {n: c for n, c in histogram.items() if c}
-    lengths, out = sorted(counts), []
-    reach, stale = 0, True
-    while lengths:
-        top = lengths[-1]
-        counts[top] -= 1
-        if stale:
-            reach, stale = _reach(lengths, size), False
-        fill = complete(size - top, counts, lengths, reach)
-        counts[top] += 1
-        pattern = (top, *fill)
-        need = {n: pattern.count(n) for n in set(pattern)}
-        times = min(counts[n] // k for n, k in need.items())
-        for n, k in need.items():
-            counts[n] -= k * times
-            if not counts[n]:
-                del counts[n]
-                lengths.remove(n)
-                stale = True
-        out.append((pattern, times))
+        out.append(bits)
     return out
 
 
-def by_best_fit(histogram: dict[int, int], size: int) -> list[Pattern]:
+def best_fit(histogram: dict[int, int], size: int) -> list[Pattern]:
     """Patterns of best-fit decreasing."""
     open_: dict[int, list[list]] = {}
+    rooms: list[int] = []  # the keys of open_, ascending
+
+    def hold(room: int, pattern: tuple[int, ...], times: int) -> None:
+        if room not in open_:
+            insort(rooms, room)
+        open_.setdefault(room, []).append([pattern, times])
+
     for n in sorted(histogram, reverse=True):
         c = histogram[n]
         while c:
-            room = min((r for r in open_ if r >= n), default=None)
-            if room is None:
+            at = bisect_left(rooms, n)
+            if at == len(rooms):
                 per = size // n
-                fresh, take = ([n] * per, c // per) if c >= per else ([n] * c, 1)
-                open_.setdefault(size - n * len(fresh), []).append([tuple(fresh), take])
-                c -= take * len(fresh)
+                count, take = (per, c // per) if c >= per else (c, 1)
+                hold(size - n * count, (n,) * count, take)
+                c -= take * count
                 continue
+            room = rooms[at]
             group = open_[room][-1]
             take = min(c, group[1])
             group[1] -= take
             if not group[1]:
                 open_[room].pop()
                 if not open_[room]:
-                    del open_[room]
-            open_.setdefault(room - n, []).append([(*group[0], n), take])
+                    del open_[room], rooms[at]
+            hold(room - n, (*group[0], n), take)
             c -= take
     return [(tuple(p), t) for groups in open_.values() for p, t in groups]
 
 
-def exact(histogram: dict[int, int], size: int, incumbent: list[Pattern], budget: int = 50_000) -> list[Pattern]:
-    """Bin completion across sequences for small instances: every undominated filling around the largest piece, pruned by the waste that the incumbent allows."""
-    least = -(-sum(n * c for n, c in histogram.items()) // size)
-    best, found, nodes = sum(t for _, t in incumbent), incumbent, 0
-
-    def fillings(room: int, items: tuple[int, ...]) -> list[tuple[int, ...]]:
-        out: set[tuple[int, ...]] = set()
-
-        def grow(at: int, left: int, chosen: tuple[int, ...]) -> None:
-            fits = [i for i in range(at, len(items)) if items[i] <= left and (i == at or items[i] != items[i - 1])]
-            if not fits:
-                out.add(chosen)
-            for i in fits:
-                grow(i + 1, left - items[i], (*chosen, items[i]))
-
-        grow(0, room, ())
-        kept = [f for f in out if not any(g != f and len(g) == len(f) and all(a >= b for a, b in zip(g, f, strict=True)) for g in out)]
-        return sorted(kept, key=lambda f: (-sum(f), len(f)))
-
-    def search(items: tuple[int, ...], done: list[tuple[int, ...]]) -> None:
-        nonlocal best, found, nodes
-        nodes += 1
-        if best <= least or nodes > budget:
-            return
-        if not items:
-            if len(done) < best:
-                best, found = len(done), [(p, 1) for p in done]
-            return
-        if len(done) + max(1, -(-sum(items) // size)) >= best:
-            return
-        for fill in fillings(size - items[0], items[1:]):
-            rest = list(items[1:])
-            for n in fill:
-                rest.remove(n)
-            search(tuple(rest), [*done, (items[0], *fill)])
-
-    search(tuple(sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True)), [])
-    return found
-
-
-def solve(histogram: dict[int, int], size: int, small: int = 16) -> list[Pattern]:
-    """The plan with the fewest sequences among bin completion, best-fit decreasing and, for up to `small` pieces, the search across sequences."""
-    plans = [by_completion(histogram, size), by_best_fit(histogram, size)]
-    plan = min(plans, key=lambda p: sum(t for _, t in p))
-    return exact(histogram, size, plan) if sum(histogram.values()) <= small else plan
+class Completion:
+    """Bin completion on a histogram of lengths.
+
+    A node of the search is what is still open. Its children are the fillings around the largest open length, those with least waste first: each as
+    often as the counts allow, and then once, so that every packing can be reached. Left out are fillings that waste more than the best plan so far leaves
+    to waste, and dominated ones: where an open length fits into the waste, or can take the place of one, two or three pieces that it is at least as long as.
+    The search allows no departure from the first child, then one, two and so on, until nothing is cut off (then the plan is proven), the lower
+    bound is met, or `budget` steps are spent. The incumbent is best-fit decreasing, of the whole and of what nodes leave open.
+    """
+
+    def __init__(self, histogram: dict[int, int], size: int, budget: int):
+        self.size, self.left = size, budget
+        self.bound = least_sequences(histogram, size)
+        self.best = best_fit(histogram, size)
+        self.fewest = sum(t for _, t in self.best)
+        self.total = sum(n * c for n, c in histogram.items())
+        self.proven = self.fewest <= self.bound
+        departures = 0
+        while not self.proven and self.left > 0:
+            self.cut = False
+            self._search(dict(histogram), departures)
+            self.proven = self.fewest <= self.bound or (not self.cut and self.left > 0)
+            departures = 2 * departures + 1
+
+    def _fillings(self, counts: dict[int, int], lengths: list[int], reaches: list[int], spare: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """(filling around the largest length, its waste) for a waste of up to spare, the least first, dominated ones left out."""
+        top = lengths[-1]
+        room = self.size - top
+        own = {top: 1}
+        for waste in range(min(spare, room) + 1):
+            if not reaches[-1] >> (room - waste) & 1:
+                continue
+            stack: list[tuple[int, int, tuple[int, ...]]] = [(room - waste, len(lengths), ())]
+            while stack:
+                self.left -= 1
+                if self.left <= 0:
+                    return
+                left, at, chosen = stack.pop()
+                if not left:
+                    if not self._dominated(chosen, waste, counts, lengths, top):
+                        yield (top, *chosen), waste
+                    continue
+                at = min(at, bisect_right(lengths, left))
+                if not at or not reaches[at] >> left & 1:
+                    continue
+                n = lengths[at - 1]
+                stack.append((left, at - 1, chosen))
+                held = own.get(n, 0)
+                for x in reversed(chosen):
+                    if x != n:
+                        break
+                    held += 1
+                if held < counts[n] and reaches[at] >> (left - n) & 1:
+                    stack.append((left - n, at, (*chosen, n)))
+
+    def _dominated(self, chosen: tuple[int, ...], waste: int, counts: dict[int, int], lengths: list[int], top: int) -> bool:
+        def free(lo: int, hi: int) -> bool:
+            """Whether a length from lo to hi is open beyond what the filling takes."""
+            i = bisect_left(lengths, lo)
+            while i < len(lengths) and lengths[i] <= hi:
+                if counts[lengths[i]] > chosen.count(lengths[i]) + (lengths[i] == top):
+                    return True
+                i += 1
+            return False
+
+        if waste and (free(1, waste) or any(free(n + 1, n + waste) for n in set(chosen))):
+            return True
+        return any(free(s, s + waste) for k in (2, 3) for s in {sum(x) for x in combinations(chosen[-8:], k)} if s <= top)
+
+    def _search(self, start: dict[int, int], departures: int) -> None:
+        """Depth first, with at most so many departures from the first child on a path."""
+        path: list[Pattern] = []
+        lengths = sorted(start)
+        nodes = [(start, lengths, _reaches(lengths, self.size), 0, 0, departures, None)]  # open, lengths, reaches, sequences, waste, departures left, children
+        while nodes:
+            counts, lengths, reaches, used, wasted, may, children = nodes[-1]
+            if children is None:
+                if self._done(counts, used, path):
+                    nodes.pop()
+                    path and path.pop()
+                    continue
+                children = self._children(counts, lengths, reaches, used, wasted)
+                nodes[-1] = (counts, lengths, reaches, used, wasted, may, children)
+            step = next(children, None)
+            if step is None or self.left <= 0 or self.fewest <= self.bound:
+                nodes.pop()
+                path and path.pop()
+                continue
+            (filling, times, waste), nth = step
+            if nth > may:
+                self.cut = True
+                nodes.pop()
+                path and path.pop()
+                continue
+            rest = dict(counts)
+            for n in filling:
+                rest[n] -= times
+            gone = [n for n in set(filling) if not rest[n]]
+            for n in gone:
+                del rest[n]
+            open_ = [n for n in lengths if n in rest] if gone else lengths
+            path.append((filling, times))
+            nodes.append((rest, open_, _reaches(open_, self.size) if gone else reaches, used + times, wasted + times * waste, may - nth, None))
+
+    def _done(self, counts: dict[int, int], used: int, path: list[Pattern]) -> bool:
+        """Whether the node needs no children. What it leaves open is packed by best fit now and then, always where little is left."""
+        open_ = sum(n * c for n, c in counts.items())
+        if used + -(-open_ // self.size) >= self.fewest:
+            return True
+        if len(counts) <= 64 or len(path) % 32 == 0:
+            self.left -= 4 * len(counts)
+            tail = best_fit(counts, self.size)
+            fewest = used + sum(t for _, t in tail)
+            if fewest < self.fewest:
+                self.fewest, self.best = fewest, [*path, *tail]
+        return self.fewest <= self.bound or not counts
+
+    def _children(self, counts: dict[int, int], lengths: list[int], reaches: list[int], used: int, wasted: int) -> Iterator[tuple[tuple[tuple[int, ...], int, int], int]]:
+        nth, again = 0, []
+        spare = lambda: (self.fewest - 1) * self.size - self.total - wasted
+        for filling, waste in self._fillings(counts, lengths, reaches, max(-1, spare())):
+            times = min(counts[n] // filling.count(n) for n in set(filling))
+            if times > 1:
+                again.append((filling, waste))
+                times = min(times, spare() // waste if waste else times)
+            if times and times * waste <= spare():
+                yield (filling, times, waste), nth
+                nth += 1
+        for filling, waste in again:
+            if waste <= spare():
+                yield (filling, 1, waste), nth
+                nth += 1
+
+
+def solve(histogram: dict[int, int], size: int, budget: int = 1_000_000) -> Plan:
+    """The plan of bin completion for a histogram of lengths; budget: steps of the search (about a microsecond each), at the end of which the best plan so far stands."""
+    histogram = {n: c for n, c in histogram.items() if c}
+    if not histogram:
+        return Plan([], 0, True)
+    found = Completion(histogram, size, budget)
+    return Plan(found.best, found.bound, found.proven)
 
 
 def _slots(plan: list[Pattern]) -> dict[str, np.ndarray]:
@@ -258,12 +331,12 @@ def _slots(plan: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "first", "per", "offset"), np.array(rows, np.int64).reshape(-1, 5).T, strict=True))
 
 
-def place(pieces: DataFrame, size: int = 1024, bucket_rows: int = 20_000) -> DataFrame:
+def place(pieces: DataFrame, size: int = 1024, bucket_rows: int = 20_000, budget: int = 1_000_000) -> DataFrame:
     """All columns of the pieces (doc_id, piece, length among them), sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # size rows at most
     if any(not 0 < n <= size for n in histogram):
         raise ValueError(f"lengths lie between 1 and {size}")
-    slots = _slots(solve(histogram, size))
+    slots = _slots(solve(histogram, size, budget).patterns)
     buckets = max(1, -(-sum(histogram.values()) // bucket_rows))
     rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
