@@ -549,15 +549,67 @@ def test_url_rules_and_mining(spark):
     df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in urlrules.judge(df, urlrules.mine(df.select("url", F.lit(None).cast("boolean").alias("bad")))).collect()}
     assert got == {i: _judge(u)[:3] for i, u in enumerate(urls)}
-    rng = random.Random(0)
-    rows = [(f"http://{'casino' if (b := rng.random() < 0.3) else rng.choice(['news', 'shop', 'wiki'])}.example.net/{rng.choice(['en', 'de'])}/{i}", b) for i in range(300)]
-    labelled = spark.createDataFrame(rows, "url string, bad boolean")
-    mined = urlrules.mine(labelled)
-    found = {(r["rule_id"], r["verdict"]) for r in mined.collect()}
-    assert ("s:casino", "block") in found and not any(v == "block" and "s:casino" not in k and "h:casino" not in k for k, v in found)
-    out = urlrules.judge(spark.createDataFrame([(1, "http://casino.example.net/en/9"), (2, "http://other.example.net/en/9"), (3, None)], "page_id long, url string"), mined)
-    assert {r["page_id"]: r["verdict"] for r in out.collect()} == {1: "block", 2: "allow", 3: "allow"}
-    assert urlrules.judge(df.limit(0), mined).count() == 0
+
+
+def _planted(n, seed=0):
+    """Labelled URLs: casino hosts are bad, so are pages with the eleventh token aff=x and a late path part; the rest of the tokens mean nothing."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        kind = rng.choice(["casino", "aff", "late", "plain", "plain", "plain"])
+        site = "casino" if kind == "casino" else rng.choice(["news", "shop", "wiki"])
+        query = f"id={i}&lang={rng.choice('ab')}&x=1&y=2&z={rng.choice('cd')}" + ("&aff=x" if kind == "aff" else "")
+        bad = kind != "plain" if rng.random() < 0.97 else kind == "plain"
+        rows.append((f"http://{site}.{rng.choice(['aa', 'bb'])}.example.net/{rng.choice(['en', 'de'])}/a/b/{'late' if kind == 'late' else 'soon'}/{i}?{query}", bad))
+    return rows
+
+
+def _tokens(url):
+    rest = url.split("://", 1)[1]
+    h, p, r = *_judge(url)[:2], lambda x: re.sub("[0-9]+", "#", x)
+    labels = h.split(".")
+    out = {"h:" + ".".join(labels[-k:]) for k in range(1, min(3, len(labels)) + 1)} | {"s:" + labels[0], "u:" + url.split("://")[0]}
+    out |= {f"p{min(i, 3)}:{x}" for i, x in enumerate(x for x in r(p).split("/") if x)}
+    return out | {"q:" + x for x in r(rest.split("?", 1)[1]).split("&")} if "?" in rest else out
+
+
+def test_mined_rules_hold_and_decide(spark):
+    rows = _planted(1200)
+    labelled = spark.createDataFrame([*rows, *rows[:50], (None, True), (rows[0][0], None)], "url string, bad boolean")
+    mined = {(r["rule_id"], r["verdict"]): r for r in urlrules.mine(labelled).collect()}
+    assert {("s:casino", "block"), ("q:aff=x", "block"), ("p3:late", "block")} <= set(mined)
+    fit = [(_tokens(u), b) for u, b in rows if zlib.crc32(u.encode()) % 3 != 1]
+    held = [(_tokens(u), b) for u, b in rows if zlib.crc32(u.encode()) % 3 == 1]
+    for (_, verdict), r in mined.items():  # figures by brute force
+        of = [b == (verdict == "block") for t, b in fit if t >= set(r["antecedent"])]
+        there = [b == (verdict == "block") for t, b in held if t >= set(r["antecedent"])]
+        assert r["confidence"] == pytest.approx(sum(of) / len(of)) and r["support"] == pytest.approx(sum(of) / len(fit)) and r["held_out"] == len(there)
+        assert 0.5 < r["precision"] < sum(there) / len(there)
+    for (k, v), r in mined.items():  # no rule has a shorter one in it that says the same as surely
+        assert not any(set(x["antecedent"]) < set(r["antecedent"]) and w == v and x["confidence"] >= r["confidence"] for (_, w), x in mined.items()), k
+    rules = urlrules.mine(labelled)
+    urls = [u for u, _ in _planted(300, 1)] + ["http://casino.x.com/de/1", None, "no url", "http://plain.x.org/"]
+    pages = spark.createDataFrame([(i if i % 7 else None, u, "h", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, confidence int")
+
+    def want(u):
+        own = _judge(u)[3]
+        fits = [(r["confidence"], len(r["antecedent"]), k, v) for (k, v), r in mined.items() if u and "://" in u and _tokens(u) >= set(r["antecedent"])]
+        return own or (max(fits)[3] if fits else "allow")
+
+    rows_of = lambda df: sorted((str(r["page_id"]), r["path"], r["verdict"]) for r in df.collect())
+    on, off = rows_of(urlrules.judge(pages, rules)), rows_of(urlrules.judge(pages, rules.limit(0)))
+    assert on == sorted((str(i if i % 7 else None), _judge(u)[1], want(u)) for i, u in enumerate(urls))
+    assert sum(a != b for a, b in zip(on, off, strict=True)) > 100
+    assert rows_of(urlrules.judge(pages, rules, most=0)) == on
+    filed, n = urlrules.index(rules)
+    sets = pages.select(urlrules.tokens(F.coalesce("url", F.lit(""))).alias("t"))
+    assert urlrules.looked_up(sets, filed, n, "t", most=0).count() == urlrules.looked_up(sets, filed, n, "t").count() > 0
+    assert urlrules.judge(pages.limit(0), rules).count() == 0
+
+
+def test_labels_that_say_nothing_give_no_rules(spark):
+    rng = random.Random(5)
+    labelled = spark.createDataFrame([(u, rng.random() < 0.25) for u, _ in _planted(900, 3)], "url string, bad boolean")
+    assert urlrules.mine(labelled).count() == 0
 
 
 def test_components(spark):
