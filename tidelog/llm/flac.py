@@ -7,7 +7,7 @@ reads the next residual of every frame, so there is no Python loop over samples.
 that walks the stream bit by bit; the two also check each other in the tests.
 
 Defined results: a null payload is empty; a frame whose CRC, number or length is wrong raises FlacError with the sample offset; an
-empty stream has no frames and gives no PCM block. Streams of any length are decoded in slices of frames.
+empty or null stream has no frames and gives no PCM block. Streams of any length are decoded in slices of frames.
 """
 
 from __future__ import annotations
@@ -588,16 +588,32 @@ def payload(text: Column, unit: int = BLOCK) -> Column:
 
 
 def encode(df: DataFrame, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
-    """All columns, with the payload (unsigned 8-bit samples, a multiple of BLOCK of them) replaced by its FLAC stream."""
+    """All columns, with the payload (unsigned 8-bit samples, a multiple of BLOCK of them) replaced by its FLAC stream; a column that has the stream's name already gives way to it."""
+    kept = [f for f in df.schema.fields if f.name not in (payload_col, media_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                at = part.schema.get_field_index(payload_col)
-                yield part.set_column(at, media_col, pa.array(encode_many([x or b"" for x in part.column(at).to_pylist()]), pa.binary()))
+                media = pa.array(encode_many([x or b"" for x in part.column(part.num_columns - 1).to_pylist()]), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), media], [*part.schema.names[:-1], media_col])
 
-    schema = T.StructType([T.StructField(media_col, T.BinaryType()) if f.name == payload_col else f for f in df.schema.fields])
-    return df.mapInArrow(streamed(run), schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(payload_col)).mapInArrow(streamed(run), T.StructType([*kept, T.StructField(media_col, T.BinaryType())]))
+
+
+def pcm(samples: np.ndarray, bits: int, block: int = 4096) -> list[tuple[int, int, bytes]]:
+    """(sample offset, samples, signed little-endian bytes) of each block of a channel; a sample's block is its number over `block`, so blocks can be sought."""
+    kind = np.dtype("<i1") if bits <= 8 else np.dtype("<i2") if bits <= 16 else np.dtype("<i4")
+    return [(lo, len(y := samples[lo : lo + block]), y.astype(kind).tobytes()) for lo in range(0, len(samples), block)]
+
+
+def pcm_range(blocks: list[tuple[int, int, bytes]], first: int, count: int) -> bytes:
+    """The bytes of count samples of 8 bits from first on, from the blocks that hold them."""
+    out = []
+    for lo, n, raw in blocks[first // blocks[0][1] :] if blocks else ():
+        if lo >= first + count:
+            break
+        out.append(raw[max(0, first - lo) : first + count - lo])
+    return b"".join(out)
 
 
 def features(x: np.ndarray, stream: bytes) -> str:
@@ -610,31 +626,41 @@ def features(x: np.ndarray, stream: bytes) -> str:
     return f"samples={len(x)};frames={len(x) // BLOCK};peak={peak};sum={total};power={power};crossings={crossings};change={change};coded={len(stream)}"
 
 
-def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns but the media, and what reading it back gives: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+#: Signed to unsigned samples and back.
+_UNSIGNED = bytes(b ^ 128 for b in range(256))
+
+
+def describe(df: DataFrame, media_col: str = "media", block: int = 4096) -> DataFrame:
+    """All columns but the media, and what reading it back gives: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_blocks.
+
+    The stream is decoded to PCM blocks; the payload is their samples in order and its tail is sought by sample offset. A null or empty media has no samples. Columns that have one of these names already give way.
+    """
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long"
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
     names = [x.split()[0] for x in added.split(", ")]
+    kept = [f for f in df.schema.fields if f.name not in (media_col, *names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                at = part.schema.get_field_index(media_col)
-                streams = part.column(at).to_pylist()
-                rows = []
-                for x, s in zip(decode_many(streams), streams, strict=True):
-                    back = (x.astype(np.int8).view(np.uint8) ^ 128).tobytes()
-                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(s), hashlib.sha256(s).hexdigest(), features(x, s)))
-                rest = [i for i in range(part.num_columns) if i != at]
-                columns = [part.column(i) for i in rest] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, [*(part.schema.names[i] for i in rest), *names])
-
-    schema = T.StructType([f for f in df.schema.fields if f.name != media_col] + T.StructType.fromDDL(added).fields)
-    return df.mapInArrow(streamed(run), schema)
+                streams = [s or b"" for s in part.column(part.num_columns - 1).to_pylist()]
+                found, rows = iter(decode_many([s for s in streams if s])), []
+                for s in streams:
+                    x = next(found) if s else np.zeros(0, np.int32)
+                    blocks, sha = pcm(x, 8, block), hashlib.sha256()
+                    for _, _, raw in blocks:
+                        sha.update(raw.translate(_UNSIGNED))
+                    tail = pcm_range(blocks, max(0, len(x) - 16), 16).translate(_UNSIGNED)
+                    rows.append((sum(n for _, n, _ in blocks), sha.hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), features(x, s), len(blocks)))
+                columns = [part.column(i) for i in range(part.num_columns - 1)] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], *names])
+
+    schema = T.StructType([*kept, *T.StructType.fromDDL(added).fields])
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(media_col)).mapInArrow(streamed(run), schema)
 
 
 def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", block: int = 4096) -> DataFrame:
-    """doc_id, block, sample_offset, n_samples, pcm (signed little-endian): a mono stream's verified samples in seekable blocks."""
+    """doc_id, block, sample_offset, n_samples, pcm (signed little-endian): a mono stream's verified samples in seekable blocks; a null or empty media has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -643,8 +669,7 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                 some = [i for i, s in enumerate(streams) if s]
                 rows: list[tuple] = []
                 for i, x in zip(some, decode_many([streams[i] for i in some]), strict=True):
-                    wide = np.dtype("<i1") if metadata(streams[i])[0]["bits"] <= 8 else np.dtype("<i2") if metadata(streams[i])[0]["bits"] <= 16 else np.dtype("<i4")
-                    rows += [(part.column(0)[i].as_py(), k, lo, len(y := x[lo : lo + block]), y.astype(wide).tobytes()) for k, lo in enumerate(range(0, len(x), block))]
+                    rows += [(part.column(0)[i].as_py(), k, *found) for k, found in enumerate(pcm(x, metadata(streams[i])[0]["bits"], block))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(streamed(run), "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
