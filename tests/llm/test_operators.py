@@ -113,6 +113,24 @@ def _rice(v, k):
     return "0" * (u >> k) + "1" + (format(u & (1 << k) - 1, f"0{k}b") if k else "")
 
 
+def test_media_columns_with_clashing_names_and_nulls(spark):
+    d = spark.createDataFrame([(1, bytearray(b"x" * 192), b"m", "f", 9), (2, None, None, None, None), (3, None, None, None, None)], "doc_id long, payload binary, media binary, feature string, payload_bytes int")
+    out = flac.describe(flac.encode(d))
+    assert sorted(out.columns) == sorted(["doc_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_blocks"])
+    got = {r["doc_id"]: (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["pcm_blocks"]) for r in out.collect()}
+    assert got[1] == (192, hashlib.sha256(b"x" * 192).hexdigest(), zlib.crc32(b"x" * 16), 1) and got[2] == got[3] == (0, hashlib.sha256(b"").hexdigest(), 0, 0)
+    assert [r["payload_bytes"] for r in flac.describe(d.select("doc_id", F.lit(None).cast("binary").alias("media"))).collect()] == [0, 0, 0]
+
+
+def test_pcm_blocks_can_be_sought():
+    x = np.arange(-120, 80, dtype=np.int32)
+    blocks = flac.pcm(x, 8, 64)
+    assert [(lo, n) for lo, n, _ in blocks] == [(0, 64), (64, 64), (128, 64), (192, 8)]
+    for first, count in ((0, 1), (60, 10), (190, 10), (199, 5), (128, 64), (10, 150)):
+        assert flac.pcm_range(blocks, first, count) == x[first : first + count].astype("i1").tobytes()
+    assert flac.pcm_range([], 0, 5) == b"" and [len(raw) for _, _, raw in flac.pcm(x, 16, 100)] == [200, 200]
+
+
 def test_pcm_blocks(spark):
     df = flac.encode(docs(spark, [(1, "a b c " * 200, "en", "s")]).select("doc_id", flac.payload(F.col("text")).alias("payload")))
     rows = flac.pcm_blocks(df, block=500).orderBy("block").collect()
@@ -486,6 +504,23 @@ def _targets(sizes, weights=(3, 1, 2)):
     return out
 
 
+def test_mix_of_rows_without_ids_and_of_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(None, f"w{i} " * rng.randint(1, 30), None, "a") for i in range(600)] + [(7, "same words here", None, "b")] * 300 + [(None, None, None, None)] * 3
+    rows += [(10 + i, "x " * 20, None, "c") for i in range(100)]
+    d = docs(spark, rows)
+    got = mixing.mix(d, bucket_rows=40).collect()
+    assert len(got) == len(rows)
+    for s in ("0a", "0b", "0c"):
+        mine = [r for r in got if r["src"] == s]
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"]) and all(r["taken"] <= 2 * r["size"] for r in mine)
+    assert len({r["key"] for r in got if r["src"] == "0a"}) == len({r[1] for r in rows[:600]})
+    out = mixing.apply_mix(d, bucket_rows=40)
+    target = {r["src"]: r["target"] for r in got}
+    words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert abs(words["a"] - target["0a"]) <= 31 and words["b"] <= target["0b"] and None not in words
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randint(0, 40), None, rng.choice(["a", "a", "a", "a", "b", "c", "Z", "🙂", None])) for i in range(400)]
@@ -680,6 +715,13 @@ def test_html_wrappers_of_the_article_are_not_boilerplate():
     assert text(f'<article><h1>Head</h1></article><div class="related"><article>{body}</article></div><div class=ad>{body}</div>') == "Head"
 
 
+def test_html_odd_tables(spark):
+    rows = [(None, None, None), (None, "http://a.org/x", "<p>one"), (1, "http://a.org/x", "<p>one"), (1, "http://a.org/x", "<p>one"), (2, "", "x" * 300_000), (3, "http://", "<p>" + "word " * 100_000)]
+    df = spark.createDataFrame([(*r, "h", "p", "t", 1) for r in rows], "page_id long, url string, html string, host string, path string, text string, n_chars int")
+    got = sorted((str(r["page_id"]), r["n_chars"]) for r in html.extract(df).collect())
+    assert got == sorted([("None", 0), ("None", 3), ("1", 3), ("1", 3), ("2", 300_000), ("3", 499_999)])
+
+
 def test_html_has_no_limits_of_depth():
     text = lambda h: html.Page(h).text(None)
     for n in (3, 9, 500):

@@ -6,14 +6,15 @@ the whole source without any task seeing a whole source. A source is cut where t
 its exact budget; a target above the source's size is met by whole epochs plus such a cut.
 
 Defined results: a null text or one without words has size 0 and nothing is taken of it; a null source
-is a source of its own, last in order; rows that share an id count each for itself (equal ids are ordered
-by size); an empty table gives an empty result. Only the three named columns are read, so further
-columns, whatever their names, do no harm.
+is a source of its own, last in order; rows that share an id count each for itself, and the key is drawn from id and
+text, so a source whose ids are all null is dealt over its buckets like any other; rows equal in source, id and text share a
+key, are counted as one row before they are sorted and then get the shares that single rows would get one after the other;
+an empty table gives an empty result. Only the three named columns are read, so further columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import settle
@@ -21,13 +22,24 @@ from tidelog.session import settle
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def _key(id_col: str, text_col: str, seed: str) -> Column:
+    """32 hex digits, uniform, the same for rows equal in id and text."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text(id_col), F.lit(":"), F.md5(text(text_col))))
+
+
+def _src(source_col: str) -> Column:
+    """A sort key of the source that puts null last."""
+    return F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """doc_id, src (a sort key that puts null last), size in words, key (32 hex digits, uniform)."""
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("src"),
+        _src(source_col).alias("src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
+        _key(id_col, text_col, seed).alias("key"),
     )
 
 
@@ -81,9 +93,9 @@ def mix(
     rows = settle(sized(docs, id_col, text_col, source_col, seed), "mix-sized")
     buckets = max(1, -(-rows.count() // bucket_rows))
     bucket = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
+    groups = rows.groupBy("src", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
     per = targets(rows, weights, share, epochs)
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = groups.groupBy("src", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("bucket_size"))
     ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
         sums.select("src", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("ahead"))
@@ -92,29 +104,28 @@ def mix(
         .withColumn("rest", F.floor("target").cast("long") - F.col("full") * F.col("source_size"))
     )
     within = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(cuts, ["src", "bucket"])
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("ahead") - F.col("inside")))
+    placed = groups.withColumn("inside", F.coalesce(F.sum(F.col("n") * F.col("size")).over(within), F.lit(0))).join(cuts, ["src", "bucket"])
+    # a group becomes its rows again, in two steps, for it may have very many
+    step = 4096
+    out = placed.withColumn("k", F.explode(F.expr(f"sequence(0L, (n - 1) div {step})"))).withColumn("j", F.explode(F.expr(f"sequence(k * {step}, least(n, (k + 1) * {step}) - 1)")))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("ahead") - F.col("inside") - F.col("j") * F.col("size")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + part).alias("taken"), F.col("full").alias("epochs"), "key", "src")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, all columns kept, each as often as the mix takes it.
 
-    Whole documents only: the one at a source's cut stays out of the last epoch. The cut travels as one key per source, so no text is shuffled.
+    Whole documents only: what is at a source's cut (one row, or rows equal in id and text) stays out of the last epoch. The cut travels as one key per source, so no text is shuffled.
     """
     seed = options.get("seed", "mix")
     plan = mix(docs, id_col, text_col, source_col, **options)
-    last = F.max(F.when(F.col("taken") == (F.col("epochs") + 1) * F.col("size"), F.col("key")))
-    cut = plan.where("size > 0").groupBy("src").agg(F.max("epochs").alias("__epochs"), last.alias("__last")).withColumnRenamed("src", "__src")
-    src = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
-    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    times = F.col("__epochs") + F.when(at <= F.col("__last"), 1).otherwise(0)
+    whole = plan.where("size > 0").groupBy("src", "key").agg(F.max("epochs").alias("epochs"), F.min(F.col("taken") == (F.col("epochs") + 1) * F.col("size")).alias("whole"))
+    cut = settle(whole.groupBy("src").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("whole"), F.col("key"))).alias("last")), "mix-cuts")
+    names = {c: f"__mix_{c}_{len(docs.columns)}" for c in ("src", "epochs", "last")}
+    while set(names.values()) & set(docs.columns):
+        names = {c: n + "_" for c, n in names.items()}
+    src, epochs, last = names.values()
+    times = F.col(epochs) + F.when(_key(id_col, text_col, seed) <= F.col(last), 1).otherwise(0)
     has_words = F.coalesce(F.col(text_col).rlike(WORDS), F.lit(False))
-    return (
-        docs.where(has_words)
-        .withColumn("__src", src)
-        .join(cut, "__src")
-        .withColumn("__copy", F.explode(F.expr("sequence(1L, __epochs + 1L)")))
-        .where(F.col("__copy") <= times)
-        .select(*[docs[c] for c in docs.columns])
-    )
+    joined = docs.where(has_words).withColumn(src, _src(source_col)).join(cut.withColumnsRenamed(names), src)
+    return joined.withColumn(src, F.explode(F.expr(f"sequence(1L, `{epochs}` + 1L)"))).where(F.col(src) <= times).select(*[f"`{c}`" for c in docs.columns])

@@ -8,7 +8,7 @@ OP8 = r"""
 with rows as (
   select doc_id, coalesce('0' || source, '1') as src,
          cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         md5('mix:' || coalesce(cast(doc_id as varchar), '')) as key
+         md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 per as (select src, cast(sum(size) as bigint) as source_size from rows group by src),
 weighed as (select *, [3, 1, 2][1 + (row_number() over (order by src) - 1) % 3] as w from per),
