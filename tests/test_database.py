@@ -91,3 +91,43 @@ def test_codec(deltas):
     assert [d for c in encode(numbered) for d in decode(c)] == numbered
     with pytest.raises(S.Encoding):
         decode(b"\x00")
+
+
+def test_old_page_events_are_replayed(store, tmp_path):
+    """Events that an older log wrote as JSON, one transaction each, before packed ones; a damaged one and other types carry nothing."""
+    import base64
+    import zlib
+
+    page = lambda c: c * 512
+    old = lambda txid, pages: S.NewEvent.json("tx", {"txid": txid, "page_size": 512, "db_size": 2, "pages": [{"pgno": p, "data": base64.b64encode(d).decode()} for p, d in pages]})
+    raw = zlib.compress(encode_raw(3, 512, [(2, page(b"n"))]))
+    store.append("old", S.ANY, [old(1, [(1, page(b"a")), (2, page(b"b"))]), S.NewEvent("tx", b"{broken"), S.NewEvent("note", b"x"), old(2, [(1, page(b"c"))]), S.NewEvent("txb", raw)])
+    db = Database.__new__(Database)
+    db.store, db.name = store, "old"
+    for target, want in ((1, page(b"a") + page(b"b")), (2, page(b"c") + page(b"b")), (3, page(b"c") + page(b"n"))):
+        assert db.restore_at(target, str(tmp_path / "x.db")) == target
+        assert (tmp_path / "x.db").read_bytes() == want
+
+
+def encode_raw(txid, size, pages):
+    import struct
+
+    return struct.pack(">QIII", txid, size, 2, len(pages)) + b"".join(struct.pack(">I", p) + d for p, d in pages)
+
+
+def test_envelopes_are_imported(spark):
+    import base64
+    import json
+
+    from tidelog.sources import envelope
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    one = {"id": "01", "type": "note", "version": 3, "seq": 9, "data": b64(b"\x00\xffx"), "metadata": [["k", b64(b"v")], ["k", b64(b"")]], "ts_ms": 5}
+    plain = {k: v for k, v in one.items() if k != "metadata"} | {"version": 4, "data": ""}
+    df = spark.createDataFrame([("s", json.dumps(x).encode()) for x in (one, plain)], "stream string, value binary")
+    rows = envelope.events(df).orderBy("version").collect()
+    assert (rows[0]["stream"], rows[0]["version"], rows[0]["global_seq"], rows[0]["id"], rows[0]["event_type"], bytes(rows[0]["data"]), rows[0]["ts_ms"]) == ("s", 3, 9, "01", "note", b"\x00\xffx", 5)
+    assert [(m["name"], bytes(m["value"])) for m in rows[0]["metadata"]] == [("k", b"v"), ("k", b"")] and rows[1]["metadata"] == [] and bytes(rows[1]["data"]) == b""
+    for bad in (b"\x01binary", b"{broken", b'{"id": "x"}'):
+        with pytest.raises(Exception, match="envelope"):
+            envelope.events(spark.createDataFrame([("s", bytearray(bad))], "stream string, value binary")).collect()

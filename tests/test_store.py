@@ -1,324 +1,366 @@
-"""Scenarios of the event store with literal values."""
+"""The event store: random runs against a plain model of its rules, and small cases of what a run does not reach."""
 
-import json
+import random
 import threading
 
 import pytest
 
 from tidelog import schema as S
-from tidelog.schema import ANY, NO_STREAM, NewEvent, exact
+from tidelog.schema import ANY, NO_STREAM, NewEvent, Settings, exact
+from tidelog.sources.commitlog import CommitLog
 from tidelog.sources.store import EventStore, EventStoreReader
 
 
-def raw(tag, *versions):
-    return [NewEvent("e", f"{tag}-{v}".encode()) for v in versions]
+class Model:
+    """The store's rules on lists: rows are (stream, version, global_seq, body) in order of commit."""
 
-
-def texts(df):
-    return [bytes(r["data"]).decode() for r in df.collect()]
-
-
-@pytest.fixture
-def store(spark):
-    return EventStore.open_in_memory(spark)
-
-
-class Account:
     def __init__(self):
-        self.owner, self.balance = "", 0
+        self.rows, self.tails, self.trims, self.deleted, self.forks, self.rolled, self.fences, self.seq = [], {}, {}, set(), {}, {}, {}, 0
 
-    def apply(self, event):
-        body = json.loads(bytes(event["data"]))
-        if "Opened" in body:
-            self.owner = body["Opened"]["owner"]
-        elif "Deposited" in body:
-            self.balance += body["Deposited"]["cents"]
-        elif "Withdrawn" in body:
-            self.balance -= body["Withdrawn"]["cents"]
-
-    def snapshot(self):
-        return json.dumps({"owner": self.owner, "balance": self.balance}).encode()
+    def append(self, stream, bodies, start=None):
+        first = self.tails.get(stream, -1) + 1 if start is None else start
+        for i, b in enumerate(bodies):
+            self.seq += 1
+            self.rows.append((stream, first + i, self.seq, b))
+        self.tails[stream] = max(self.tails.get(stream, -1), first + len(bodies) - 1)
 
-    @classmethod
-    def restore(cls, data):
-        new = cls()
-        new.owner, new.balance = json.loads(data).values()
-        return new
+    def pin(self, stream):
+        return max([at for c, (p, at) in self.forks.items() if p == stream and c not in self.deleted], default=-1)
 
+    def visible(self, stream):
+        newest = {v: (q, b) for s, v, q, b in self.rows if s == stream}
+        hidden = lambda v, q: v < self.trims.get(stream, 0) or any(s == stream and v >= f and q > t for (s, f), t in self.rolled.items()) or (stream in self.deleted and v > self.pin(stream))
+        return {v: b for v, (q, b) in sorted(newest.items()) if not hidden(v, q)}
 
-def opened(owner):
-    return NewEvent.json("opened", {"Opened": {"owner": owner}})
+    def history(self, stream):
+        chain, hi = [(stream, 2**63)], 2**63
+        while stream in self.forks:
+            stream, at = self.forks[stream]
+            hi = min(hi, at + 1)
+            chain.append((stream, hi))
+        return [(v, b) for name, end in reversed(chain) for v, b in self.visible(name).items() if v < end]
 
 
-def deposit(n):
-    return NewEvent.json("deposited", {"Deposited": {"cents": n}})
+def pairs(df):
+    return [(r["version"], bytes(r["data"]).decode()) for r in df.collect()]
 
 
-def withdraw(n):
-    return NewEvent.json("withdrawn", {"Withdrawn": {"cents": n}})
+def events(*bodies):
+    return [NewEvent("note", b.encode()) for b in bodies]
 
 
-def test_append_and_rehydrate(store):
-    info = store.append("a-1", NO_STREAM, [opened("ada"), deposit(100)])
-    assert (info.first_version, info.last_version) == (0, 1)
-    state, version = store.rehydrate(Account, "a-1")
-    assert (state.owner, state.balance, version) == ("ada", 100, 1)
+@pytest.fixture
+def store(spark):
+    return EventStore.open_in_memory(spark)
 
 
-def test_expected_versions(store):
-    store.append("s", ANY, raw("a", 0))
-    with pytest.raises(S.VersionConflict) as e:
-        store.append("s", exact(5), raw("a", 1))
-    assert e.value.actual == 0
+@pytest.mark.parametrize("seed", range(4))
+def test_random_runs_follow_the_model(spark, seed):
+    rng, store, model, n = random.Random(seed), EventStore.open_in_memory(spark), Model(), 0
+    names = ["oak", "elm", "fir", "yew"]
+    for step in range(45):
+        stream = rng.choice(names + list(model.forks))
+        tail = model.tails.get(stream)
+        kind = rng.choice(["append"] * 5 + ["lazy"] * 3 + ["at", "fork", "trim", "roll", "delete", "merge", "purge", "vacuum", "stale"])
+        n += 1
+        if kind in ("append", "lazy"):
+            bodies = [f"{n}.{i}" for i in range(rng.randint(1, 4))]
+            expected = rng.choice([ANY, NO_STREAM if tail is None else exact(tail)])
+            (store.append if kind == "append" else store.append_lazy)(stream, expected, events(*bodies))
+            model.append(stream, bodies)
+        elif kind == "at" and tail is not None:
+            start = rng.randint(0, tail)
+            store.append_at(stream, start, exact(tail), events(f"{n}!"))
+            model.append(stream, [f"{n}!"], start)
+        elif kind == "fork" and tail is not None and len(model.forks) < 5:
+            at, child = rng.randint(0, tail), f"fork{n}"
+            store.fork(stream, at, child)
+            model.forks[child], model.tails[child] = (stream, at), at
+        elif kind == "trim":
+            floor = rng.randint(0, 4)
+            assert store.trim_below(stream, floor) == max(model.trims.get(stream, 0), min(floor, tail + 1) if tail is not None else floor)
+            model.trims[stream] = store.state.trims[stream]
+        elif kind == "roll" and tail is not None:
+            at, txn = rng.randint(0, tail), rng.randint(0, model.seq)
+            store.trim(stream, at, txn)
+            model.rolled[stream, at] = txn
+        elif kind == "delete" and step > 25:
+            store.delete_stream(stream)
+            model.deleted |= {stream} & set(model.tails)
+        elif kind == "merge":
+            store.merge_files()
+        elif kind == "purge" and step > 20:
+            floor, pin = rng.randint(0, 3), model.pin(stream)
+            gone = {v for s, v, *_ in model.rows if s == stream and pin < v < floor}
+            assert store.purge_below(stream, floor) == len(gone)
+            model.rows = [r for r in model.rows if r[0] != stream or r[1] not in gone]
+        elif kind == "vacuum":
+            store.vacuum()
+        elif kind == "stale" and tail is not None:
+            with pytest.raises(S.VersionConflict) as e:
+                store.append(stream, exact(tail + 1), events("no"))
+            assert e.value.actual == tail
+    reader = EventStoreReader(spark, store.log.root)
+    for handle in (store, reader, EventStore(spark, store.log.root)):
+        for stream in model.tails:
+            assert pairs(handle.read_stream(stream)) == list(model.visible(stream).items()), stream
+            assert pairs(handle.read_history(stream)) == model.history(stream), stream
+    for stream, tail in model.tails.items():
+        assert store.stream_version(stream) == store.check_tail(stream)[0] == tail
+        assert reader.stream_version(stream) == max(model.visible(stream), default=None)
+        assert pairs(store.read_tail(stream, 2)) == [(v, b) for v, b in model.visible(stream).items() if v > tail - 2]
+        assert store.fold(stream, "", lambda s, e: s + bytes(e["data"]).decode()) == ("".join(b for _, b in model.history(stream)), next((v for v, _ in reversed(model.history(stream))), None))
+    assert store.list_streams() == sorted(set(model.tails) - model.deleted)
+    assert store.durable_sequence() == model.seq
+
+
+def test_what_a_writer_is_refused(store):
+    store.append("rim", NO_STREAM, events("x"))
+    for expected, actual in ((NO_STREAM, 0), (exact(3), 0)):
+        with pytest.raises(S.VersionConflict) as e:
+            store.append("rim", expected, events("y"))
+        assert (e.value.stream, e.value.actual) == ("rim", actual)
     with pytest.raises(S.VersionConflict):
-        store.append("s", NO_STREAM, raw("a", 1))
-    assert store.append("s", exact(0), raw("a", 1, 2)).last_version == 2
-    with pytest.raises(S.InvalidInput):
-        store.append("s", ANY, [])
-
-
-def test_compaction_and_backlog(store):
-    store.append("a-9", NO_STREAM, [opened("bob"), *[deposit(10)] * 10])
-    assert store.compaction_backlog("a-9") == 11
-    record = store.compact(Account, "a-9")
-    assert (record["through_version"], record["events_compacted"]) == (10, 11)
-    assert store.compaction_backlog("a-9") == 0
-    assert store.rehydrate(Account, "a-9")[0].balance == 100
-    store.append("a-9", exact(10), [withdraw(40)])
-    state, version = store.rehydrate(Account, "a-9")
-    assert (state.balance, version) == (60, 11)
-
-
-def test_fork_diverges(store):
-    store.append("main", NO_STREAM, [opened("ada"), deposit(100)])
-    store.fork("main", 1, "experiment")
-    store.append("experiment", exact(1), [withdraw(30)])
-    store.append("main", exact(1), [deposit(999)])
-    assert [r["version"] for r in store.read_stream("experiment").collect()] == [2]
-    assert store.read_history("experiment").count() == 3
-    assert store.rehydrate(Account, "experiment")[0].balance == 70
-    assert store.rehydrate(Account, "main")[0].balance == 1099
+        store.append_at("rim", 0, exact(7), events("y"))
+    big = b"." * (S.MAX_RECORD_BYTES + 1)
+    for refused in ([], [NewEvent("note", b"")] * (S.MAX_RECORDS + 1), [NewEvent("note", big)]):
+        with pytest.raises(S.InvalidInput):
+            store.append("rim", ANY, refused)
+    assert store.append("rim", ANY, [NewEvent("note", b"")] * S.MAX_RECORDS).last_version == S.MAX_RECORDS
+    for parent, at in (("rim", S.MAX_RECORDS + 1), ("nowhere", 0)):
+        with pytest.raises(S.InvalidInput):
+            store.fork(parent, at, "twig")
+    store.fork("rim", 0, "twig")
     with pytest.raises(S.VersionConflict):
-        store.fork("main", 1, "experiment")
-    with pytest.raises(S.InvalidInput):
-        store.fork("main", 42, "other")
+        store.fork("rim", 0, "twig")
+    before = store.state.position
+    store.delete_stream("nowhere")
+    assert store.state.position == before
 
 
-def test_snapshots_by_hand(store):
-    store.append("db-7", ANY, [NewEvent.json("e", n) for n in (4, 5, 6)])
-    store.compact_with("db-7", lambda rows: b"sum")
-    assert bytes.fromhex(store.latest_snapshot("db-7")["state"]) == b"sum"
-    store.publish_snapshot("db-7", 1, 2, b"s3://elsewhere")
-    assert bytes.fromhex(store.latest_snapshot("db-7")["state"]) == b"s3://elsewhere"  # the last published wins
-    assert store.fold("db-7", 0, lambda s, e: s + int(bytes(e["data"]))) == (15, 2)
-    assert len(store.compaction_records()) == 2
-    with pytest.raises(S.InvalidInput):
-        store.compact(Account, "none")
+def test_a_floor_beyond_the_tail_hides_no_later_write(store):
+    store.append("bay", ANY, events("a", "b", "c"))
+    assert store.trim_below("bay", 2**80) == 3 and pairs(store.read_stream("bay")) == []
+    store.append("bay", ANY, events("d"))
+    assert store.trim_below("bay", 1) == 3 and pairs(store.read_stream("bay")) == [(3, "d")]
 
 
-def test_job_journal(store):
-    store.append("j", ANY, [opened("x")])
-    assert store.job_status("unknown") is None
-    job = store.request_compaction("j")
-    assert store.job_status(job) == {"status": "pending"}
-    store.claim_compaction(job, "a")
-    assert store.job_status(job) == {"status": "claimed", "worker": "a"}
-    with pytest.raises(S.InvalidInput):
-        store.claim_compaction(job, "b")
-    store.compact_job(job, Account, "j")
-    assert store.job_status(job) == {"status": "completed"}
-    other = store.request_compaction("j")
-    store.fail_compaction(other, "out of disk")
-    assert store.job_status(other) == {"status": "failed", "error": "out of disk"}
-
-
-def test_rewrites_forks_and_rollbacks(store):
-    store.append("b0", ANY, raw("a", 0, 1, 2))
-    store.append("b0", ANY, raw("b", 3, 4))
-    last = store.durable_sequence()
-    store.append_at("b0", 3, exact(4), raw("c", 3, 4))
-    assert texts(store.read_stream("b0")) == ["a-0", "a-1", "a-2", "c-3", "c-4"]
-    store.append("b0", ANY, raw("d", 5))
-    store.fork("b0", 4, "child")
-    store.append("child", exact(4), raw("e", 5))
-    assert texts(store.read_history("child")) == ["a-0", "a-1", "a-2", "c-3", "c-4", "e-5"]
-    with pytest.raises(S.VersionConflict):
-        store.append_at("b0", 3, exact(1), raw("z", 3))
-    store.trim("b0", 3, last)
-    assert texts(store.read_stream("b0", 3)) == []
-    assert texts(store.read_stream("b0")) == ["a-0", "a-1", "a-2"]
-
-
-def test_deletes_wait_for_children(store):
-    store.append("base", ANY, raw("a", 0, 1, 2, 3))
-    store.fork("base", 2, "kid")
-    store.append("kid", ANY, raw("k", 3))
-    store.delete_stream("base")
-    assert texts(store.read_stream("base")) == ["a-0", "a-1", "a-2"]
-    assert texts(store.read_history("kid")) == ["a-0", "a-1", "a-2", "k-3"]
-    store.delete_stream("kid")
-    assert texts(store.read_stream("base")) == [] and texts(store.read_stream("kid")) == []
-    assert store.list_streams() == []
-    store.delete_stream("never")
-
-
-def test_trim_floor(store):
-    store.append("t", ANY, [NewEvent("r", f"r{n}".encode()) for n in range(5)])
-    store.trim_below("t", 2)
-    assert texts(store.read_stream("t")) == ["r2", "r3", "r4"]
-    store.trim_below("t", 1)
-    assert texts(store.read_stream("t")) == ["r2", "r3", "r4"]
-    store.trim_below("t", 2**64 - 1)
-    assert texts(store.read_stream("t")) == []
-    assert store.append("t", ANY, [NewEvent("r", b"r99")]).first_version == 5
-    assert texts(store.read_stream("t")) == ["r99"]
-
-
-def test_fences(store):
-    store.append_with_token("f", ANY, raw("a", 0), "w1")
-    store.fence("f", "w1")
+def test_fences_and_transactions(store):
+    put = lambda token: store.append_with_token("gate", ANY, events("t"), token)
+    put("red")  # no fence yet
+    store.fence("gate", "red")
+    put("red")
     with pytest.raises(S.FenceMismatch) as e:
-        store.append_with_token("f", ANY, raw("a", 1), "w2")
-    assert e.value.current == "w1"
-    store.fence("f", "w2")
-    store.append_with_token("f", ANY, raw("a", 1), "w2")
-    store.append("f", ANY, raw("a", 2))
-    store.fence("f", None)
-    store.append_with_token("f", ANY, raw("a", 3), "any")
-
-
-def test_caps(store):
-    with pytest.raises(S.InvalidInput):
-        store.append("c", ANY, [NewEvent("e", b"x")] * 1001)
-    with pytest.raises(S.InvalidInput):
-        store.append("c", ANY, [NewEvent("e", b"x" * (2 << 20))])
-    assert store.append("c", ANY, [NewEvent("e", b"x")] * 1000).last_version == 999
-
-
-def test_tail_and_pages(store):
-    store.append("p", ANY, [NewEvent("e", b"0123456789")] * 10)
-    assert [r["version"] for r in store.read_tail("p", 2).collect()] == [8, 9]
-    assert store.read_tail("p", 99).count() == 10 and store.read_tail("p", 0).count() == 0
-    rows, cursor = store.read_page("p", 0, S.PageLimit(3, 1 << 20))
-    assert (len(rows), cursor) == (3, 3)
-    rows, cursor = store.read_page("p", 3, S.PageLimit(100, 1 << 20))
-    assert (len(rows), cursor) == (7, None)
-    rows, cursor = store.read_page("p", 0, S.PageLimit(100, 1))
-    assert (len(rows), cursor) == (1, 1)
-
-
-def test_purge_keeps_pins(store):
-    store.append("q", ANY, [NewEvent.json("e", n) for n in range(8)])
-    store.fork("q", 2, "qc")
-    assert store.purge_below("q", 6) == 3
-    assert [r["version"] for r in store.read_stream("q").collect()] == [0, 1, 2, 6, 7]
-    assert [r["version"] for r in store.read_history("qc").collect()] == [0, 1, 2]
-    assert store.purge_below("q", 6) == 0
-
-
-def test_folds_across_forks(store):
-    add = lambda s, e: s + 1
-    store.append("p", ANY, raw("p", 0, 1, 2, 3, 4))
-    store.fork("p", 3, "c")
-    store.append("c", ANY, raw("c", 4, 5, 6))
-    store.append("p", ANY, raw("p", 5, 6))
-    assert store.fold("c", 0, add) == (7, 6)
-    assert store.fold("c", 0, add, 1, 3) == (2, 2)
-    assert store.fold("c", 0, add, 50) == (0, None)
-    assert [r["version"] for r in store.read_history("c", 2, 6).collect()] == [2, 3, 4, 5]
-
-
-def test_transactions(store):
-    store.append("x", ANY, raw("x", 0))
-    infos = store.transaction().append("a", NO_STREAM, raw("a", 0, 1)).append("b", ANY, raw("b", 0)).fence("c", "tok").commit()
-    assert [(i.first_version, i.last_version) for i in infos] == [(0, 1), (0, 0)]
+        put("blue")
+    assert (e.value.stream, e.value.current) == ("gate", "red")
+    store.append("gate", ANY, events("plain"))  # a write without a token passes
+    infos = store.transaction().append("left", NO_STREAM, events("l", "m")).append("left", exact(1), events("n")).fence("gate", "blue").append("right", ANY, events("r")).commit()
+    assert [(i.first_version, i.last_version) for i in infos] == [(0, 1), (2, 2), (0, 0)] and [i.start_seq for i in infos] == [4, 6, 7]
     with pytest.raises(S.FenceMismatch):
-        store.append_with_token("c", ANY, raw("c", 0), "other")
+        put("red")
+    tip = store.durable_sequence()
+    for bad in (store.transaction().append("new", ANY, events("x")).append("left", exact(9), events("y")), store.transaction().append("new", ANY, events("x")).append("left", ANY, [])):
+        with pytest.raises(S.StoreError):
+            bad.commit()
+    assert store.stream_version("new") is None and store.durable_sequence() == tip
+    store.fence("gate", None)
+    put("any")
+
+
+def test_lazy_appends_stand_alone(spark, store):
+    other = EventStore(spark, store.log.root)
+    first = store.append_lazy("p", NO_STREAM, events("p0"))
+    assert pairs(other.read_stream("p")) == [(0, "p0")]  # seen at once, by every handle
+    q = store.append_lazy("q", ANY, events("q0"))
+    other.append("p", exact(0), events("p1"))
     with pytest.raises(S.VersionConflict):
-        store.transaction().append("y", NO_STREAM, raw("y", 0, 1)).append("x", exact(5), raw("x", 1)).commit()
-    assert store.stream_version("y") is None
-
-
-def test_lazy_appends_share_a_commit(store, spark):
-    before = store.state.position
-    tickets = [store.append_lazy(f"l{i % 4}", ANY, raw("l", i)) for i in range(20)]
-    store.await_durable(tickets[-1])
-    assert store.state.position == before + 1
-    again = EventStore(spark, store.log.root)
-    assert [again.read_stream(f"l{i}").count() for i in range(4)] == [5] * 4
-
-
-def test_unindexed_appends_are_not_found_by_time(store):
-    store.append_with_token_lazy("u", ANY, raw("u", 0), None, index_ts=False)
-    assert store.seek_timestamp("u", 0) is None
-    store.append("u", ANY, raw("u", 1))
-    assert store.seek_timestamp("u", 0) == 1
-
-
-def test_time_seek_ignores_guards(spark):
-    now = [100]
+        store.append_lazy("p", exact(0), events("p1 too"))
+    assert pairs(other.read_stream("q")) == [(0, "q0")]  # the conflict takes nothing else with it
+    assert store.loose and q.position > first.position > store.durable
+    store.await_durable(first)
+    assert not store.loose and store.durable >= q.position
+    store.log.blobs.meter.reset()
+    store.await_durable(q)  # already is
+    assert "fsync" not in store.log.blobs.meter.reset()
+    store.append_lazy("q", ANY, events("q1"))
+    store.append("r", ANY, events("r0"))  # a durable commit makes those before it durable
+    assert not store.loose
+
+
+def test_time_seeks_see_the_index_not_the_guards(spark):
+    now = [0]
     store = EventStore.open_in_memory(spark, clock=lambda: now[0])
-    for ms in (100, 90, 200, 300):
+    for ms, body in ((50, "a"), (40, "b"), (70, "c"), (95, "d")):
         now[0] = ms
-        store.append("t", ANY, raw("t", ms))
-    assert [r["ts_ms"] for r in store.read_stream("t").collect()] == [100, 100, 200, 300]
-    store.trim_below("t", 3)
-    assert store.seek_timestamp("t", 150) == 2 and store.seek_visible("t", 150) == 3
-    assert store.check_tail("t") == (3, 300)
+        store.append("clock", ANY, events(body))
+    assert [r["ts_ms"] for r in store.read_stream("clock").collect()] == [50, 50, 70, 95]  # time never runs back in a stream
+    store.trim_below("clock", 3)
+    assert [store.seek_timestamp("clock", t) for t in (0, 51, 71, 96)] == [0, 2, 3, None]
+    assert store.seek_visible("clock", 0) == 3 and store.check_tail("clock") == (3, 95)
+    store.append_with_token_lazy("dark", ANY, events("x"), None, index_ts=False)
+    assert store.seek_timestamp("dark", 0) is None
+    store.append("dark", ANY, events("y"))
+    assert store.seek_timestamp("dark", 0) == 1
+
+
+def test_pages_follow_cursors(store):
+    rng = random.Random(0)
+    bodies = ["z" * rng.randint(1, 40) for _ in range(23)]
+    store.append("book", ANY, events(*bodies))
+    for count, size in ((1, 10), (4, 60), (100, 100), (7, 10**6)):
+        seen, at = [], 0
+        while at is not None:
+            rows, cursor = store.read_page("book", at, S.PageLimit(count, size))
+            assert rows and len(rows) <= count and (len(rows) == 1 or sum(len(r["data"]) for r in rows) <= size)
+            seen += [(r["version"], bytes(r["data"]).decode()) for r in rows]
+            at = cursor
+        assert seen == list(enumerate(bodies))
+    assert store.read_page("book", 23, S.PageLimit(5, 5)) == ([], None)
+    assert store.read_tail("book", 0).count() == 0 and store.read_tail("book", 99).count() == 23
+
+
+class Words:
+    """An aggregate: how often each word came."""
+
+    def __init__(self, seen=None):
+        self.seen = seen or {}
 
+    def apply(self, event):
+        word = bytes(event["data"]).decode()
+        self.seen[word] = self.seen.get(word, 0) + 1
 
-def test_readers_hide_system_events_and_refresh(store, spark):
-    store.append("r", ANY, [NewEvent("$sys", b"1"), NewEvent("e", b"2")])
-    reader = EventStoreReader(spark, store.log.root)
-    assert [r["event_type"] for r in reader.read_history("r").collect()] == ["e"]
-    assert reader.stream_version("r") == 1
-    store.fork("r", 1, "fresh")
-    assert reader.refresh() == 2 and reader.stream_version("fresh") is None and store.stream_version("fresh") == 1
+    def snapshot(self):
+        return repr(self.seen).encode()
+
+    @classmethod
+    def restore(cls, data):
+        import ast
+
+        return cls(ast.literal_eval(data.decode()))
+
+
+def test_snapshots_shorten_a_rehydration(store):
+    rng, said = random.Random(7), []
+    assert store.compaction_backlog("talk") == 0 and store.latest_snapshot("talk") is None
+    for _ in range(6):
+        more = rng.choices(["hey", "ho", "hum"], k=5)
+        store.append("talk", ANY, events(*more))
+        said += more
+        want = {w: said.count(w) for w in set(said)}
+        state, last = store.rehydrate(Words, "talk")
+        assert (state.seen, last) == (want, len(said) - 1)
+        if rng.random() < 0.5:
+            record = store.compact(Words, "talk")
+            assert (record["through_version"], record["events_compacted"]) == (len(said) - 1, len(said)) and store.compaction_backlog("talk") == 0
+    store.compact(Words, "talk")
+    store.purge_below("talk", len(said))
+    assert store.rehydrate(Words, "talk")[0].seen == want and store.compact_with is not None
+    store.append("talk", ANY, events("hey"))
+    assert store.compact(Words, "talk")["events_compacted"] == 1  # from the snapshot on, where a purge has left a gap
+    assert store.rehydrate(Words, "talk")[0].seen == want | {"hey": want["hey"] + 1}
+    store.publish_snapshot("talk", 2, 3, b"{}")
+    assert bytes.fromhex(store.latest_snapshot("talk")["state"]) == b"{}"  # the last published, not the furthest
+    store.append("sum", ANY, events("3", "4"))
+    store.compact_with("sum", lambda rows: str(sum(int(bytes(r["data"])) for r in rows)).encode())
+    assert bytes.fromhex(store.latest_snapshot("sum")["state"]) == b"7"
+    with pytest.raises(S.InvalidInput):
+        store.compact(Words, "silence")
+    assert [c["stream"] for c in store.compaction_records()][-1] == "sum"
 
 
-def test_concurrent_writers_do_not_conflict_across_streams(spark, store):
+def test_jobs_go_through_their_states(store):
+    store.append("work", ANY, events("w"))
+    assert store.job_status("no such") is None
+    a, b, c = (store.request_compaction("work") for _ in range(3))
+    store.claim_compaction(a, "anna")
+    with pytest.raises(S.InvalidInput):
+        store.claim_compaction(a, "otto")
+    with pytest.raises(S.InvalidInput):
+        store.claim_compaction("no such", "otto")
+    store.fail_compaction(b, "no room")
+    assert [store.job_status(j) for j in (a, b, c)] == [{"status": "claimed", "worker": "anna"}, {"status": "failed", "error": "no room"}, {"status": "pending"}]
+    store.compact_job(a, Words, "work")
+    assert store.job_status(a) == {"status": "completed"}
+
+
+def test_readers_lag_by_their_interval_and_hide_system_events(spark, store):
+    store.append("r", ANY, [NewEvent("$mark", b"1"), NewEvent("note", b"2")])
+    slow = EventStoreReader(spark, store.log.root, Settings(poll_ms=3_600_000))
+    quick = EventStoreReader(spark, store.log.root, Settings(poll_ms=0))
+    assert [r["event_type"] for r in slow.read_history("r").collect()] == ["note"] and store.read_history("r").count() == 2
+    store.append("r", ANY, events("3"))
+    store.fork("r", 2, "fresh")
+    assert (slow.stream_version("r"), quick.stream_version("r")) == (1, 2)
+    assert slow.refresh() == 3 and slow.stream_version("r") == 2
+    assert quick.stream_version("fresh") is None and store.stream_version("fresh") == 2
+
+
+def test_writers_of_other_streams_do_not_conflict(spark, store):
     errors = []
 
     def write(i):
         mine = EventStore(spark, store.log.root)
         try:
-            for _ in range(4):
-                mine.append(f"w{i}", ANY, raw("w", 0))
+            for k in range(5):
+                mine.append(f"lane{i}", NO_STREAM if k == 0 else exact(k - 1), events(str(k)))
         except S.StoreError as e:
             errors.append(e)
 
     threads = [threading.Thread(target=write, args=(i,)) for i in range(3)]
     [t.start() for t in threads]
     [t.join() for t in threads]
-    assert not errors
-    assert [store.stream_version(f"w{i}") for i in range(3)] == [3] * 3
-    seqs = [r["global_seq"] for r in store.events_df().collect()]
-    assert len(seqs) == len(set(seqs)) == 12
-
-
-def test_bulk_append(store, spark):
-    store.append("s1", ANY, raw("s", 0))
-    df = spark.createDataFrame([(f"s{i % 3}", "e", f"d{i}".encode(), i) for i in range(30)], "stream string, event_type string, data binary, ord long")
-    assert store.append_many(df) == 30
-    assert [store.stream_version(f"s{i}") for i in range(3)] == [9, 10, 9]
-    assert [r["version"] for r in store.read_stream("s1").collect()] == list(range(11))
-    seqs = [r["global_seq"] for r in store.events_df().collect()]
-    assert sorted(seqs) == list(range(1, 32))
-
-
-def test_merging_vacuum_and_kept_control_tables(store, spark, monkeypatch):
-    monkeypatch.setattr("tidelog.sources.store.CHECKPOINT_EVERY", 4)
-    for i in range(6):
-        store.append(f"m{i % 2}", ANY, raw("m", i))
-    store.append_at("m0", 1, ANY, raw("z", 1))
+    assert not errors and [store.stream_version(f"lane{i}") for i in range(3)] == [4] * 3
+    assert sorted(r["global_seq"] for r in store.events_df().collect()) == list(range(1, 16))
+
+
+def test_bulk_appends_go_on_from_the_tails(store, spark):
+    store.append("k1", ANY, events("first"))
+    rows = [(f"k{i % 50}", "note", f"d{i}".encode(), -i) for i in range(400)]
+    assert store.append_many(spark.createDataFrame(rows, "stream string, event_type string, data binary, ord long")) == 400
+    for k in (0, 1, 49):
+        want = (["first"] if k == 1 else []) + [f"d{i}" for i in reversed(range(400)) if i % 50 == k]
+        assert pairs(store.read_stream(f"k{k}")) == list(enumerate(want))
+    found = store.events_df().select("stream", "version", "global_seq").collect()
+    assert sorted(r["global_seq"] for r in found) == list(range(1, 402))
+    by = sorted((r["stream"], r["version"], r["global_seq"]) for r in found)
+    assert all(a[2] < b[2] for a, b in zip(by, by[1:]) if a[0] == b[0])
+    assert store.append("k0", exact(7), events("next")).start_seq == 402
+
+
+def test_kept_control_tables_and_the_hadoop_form(spark, tmp_path):
+    settings = Settings(checkpoint_every=4, compression="snappy")
+    store = EventStore(spark, str(tmp_path / "s"), settings=settings)
+    for i in range(9):
+        store.append(f"m{i % 2}", ANY, events(str(i)))
+    store.append_at("m0", 1, ANY, events("z"))
     store.fork("m0", 1, "mf")
     store.trim("m1", 2, 0)
-    before = texts(store.read_stream("m0"))
-    assert store.merge_files() == 7 and store.merge_files() == 0
-    assert texts(store.read_stream("m0")) == before == ["m-0", "z-1", "m-4"]
-    assert store.purge_below("m1", 1) == 1
-    assert store.vacuum() == 8 and store.vacuum() == 0
-    assert store.log.load().position >= 8
+    assert store.merge_files() == 10 and store.merge_files() == 0
+    assert store.purge_below("m1", 1) == 1 and store.vacuum() == 11 and store.vacuum() == 0
+    assert store.log.load().position == 12
     again = EventStore(spark, store.log.root)
-    assert again.state == store.state
-    assert texts(again.read_history("mf")) == ["m-0", "z-1"] and texts(again.read_stream("m1")) == ["m-3"]
+    assert again.state == store.state and pairs(again.read_history("mf")) == [(0, "0"), (1, "z")] and pairs(again.read_stream("m1")) == [(1, "3")]
+    far = CommitLog(spark, f"file://{tmp_path}/s", hadoop=True)  # the same folder through Hadoop's file system
+    assert far.refresh(far.load()) == store.state
+    assert far.publish(store.state.position, {"seq": store.state.seq}) and not far.publish(store.state.position, {"seq": 0})
+    assert far.read(store.state.position) is not None and far.read(99) is None
+    blobs = far.blobs
+    blobs.put("blocks/x", b"\x00\xff" * 3)
+    blobs.put("blocks/x", b"new")
+    assert blobs.read("blocks/x") == b"new" and blobs.exists("blocks/x") and blobs.names("blocks") == ["x"] and blobs.names("none") == []
+    blobs.delete("blocks/x")
+    assert blobs.read("blocks/x") is None and not blobs.exists("blocks/x")
+    figures = blobs.meter.reset()
+    assert figures["put"][:2] == (2, 9) and figures["create"][0] == 2 and blobs.meter.reset() == {}
+    name = far.write_rows([{"stream": "m0", "version": 9, "global_seq": 99, "id": "i", "event_type": "note", "data": b"far", "metadata": [], "ts_ms": 1, "ts_indexed": True, "commit_pos": 1}])
+    assert spark.read.parquet(f"{far.root}/{name}").count() == 1 and far.vacuum(store.state) == 1
+
+
+def test_closing_stops_queries(spark, store, tmp_path):
+    store.append("s", ANY, events("a"))
+    seen = []
+    q = store.follow(str(tmp_path / "c"), lambda df, _: seen.extend(r["version"] for r in df.collect()), ["s"])
+    q.processAllAvailable()
+    store.append_lazy("s", ANY, events("b"))
+    store.close()
+    assert not q.isActive and seen[:1] == [0] and not store.loose

@@ -71,7 +71,27 @@ def test_cycles_and_transitive_pins(spark):
     assert {r["stream"]: r["ceiling"] for r in visible.pins(forks, gone, transitive=True).collect()} == {"b": 2, "a": 2}
     loop = spark.createDataFrame([("x", "y", 1), ("y", "x", 1)], "child string, parent string, at_version long")
     with pytest.raises(InvalidInput):
-        visible.lineage(loop, spark.createDataFrame([("x",)], "root string"), max_depth=5)
+        visible.lineage(loop, spark.createDataFrame([("x",)], "root string"))
+
+
+def test_lineage_of_any_depth(spark):
+    """A chain of 150 forks, a bush beside it and a lone stream, against walking up."""
+    rng = random.Random(3)
+    forks = {f"c{i}": (f"c{i - 1}", rng.randint(0, 400)) for i in range(1, 151)} | {f"b{i}": (f"c{rng.randrange(150)}", i) for i in range(20)}
+    df = spark.createDataFrame([(c, p, a) for c, (p, a) in forks.items()], "child string, parent string, at_version long")
+    roots = ["c0", "c1", "c77", "c150", "b3", "b19", "lone"]
+    got = {(r["root"], r["seg"], r["hi"], r["depth"]) for r in visible.lineage(df, spark.createDataFrame([(x,) for x in roots], "root string")).collect()}
+    want = set()
+    for root in roots:
+        seg, hi, depth = root, 2**63 - 1, 0
+        while True:
+            want.add((root, seg, hi, depth))
+            if seg not in forks:
+                break
+            seg, at = forks[seg]
+            hi, depth = min(hi, at + 1), depth + 1
+    assert got == want
+    assert visible.lineage(df.limit(0), spark.createDataFrame([("x",)], "root string")).count() == 1
 
 
 def test_bounds():

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import errno
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+import os
+from dataclasses import asdict, dataclass, field, replace
 
 from tidelog.schema import FILE_BLOCK, Encoding
 
@@ -64,13 +66,18 @@ def decode(data: bytes) -> dict:
 
 
 class FsImage:
-    """path -> Node; `changed` collects touched paths (None value: tombstone) for the next segment."""
+    """path -> Node; `changed` collects touched paths (None value: tombstone) for the next segment. Nodes are never changed in place, so a copy of an image shares them."""
 
     def __init__(self, blocks=None) -> None:
         self.nodes: dict[str, Node] = {}
         self.changed: dict[str, Node | None] = {}
         self.fetch = blocks  # how to read a block, for extents written into a block-backed file
 
+    def copy(self) -> FsImage:
+        other = FsImage(self.fetch)
+        other.nodes = dict(self.nodes)
+        return other
+
     def below(self, path: str) -> list[str]:
         return [p for p in self.nodes if p.startswith(path.rstrip("/") + "/")]
 
@@ -97,7 +104,7 @@ class FsImage:
             if d.get("blocks") is not None:
                 node.blocks = [tuple(b) for b in d["blocks"]]
             else:
-                node.inline = splice(self.content(old) if is_file else b"", d.get("offset", 0), d["inline"])
+                node.inline = splice(self.content(old) if is_file and not d.get("whole") else b"", d.get("offset", 0), d["inline"])
             self._set(path, node)
         elif op == "mkdir":
             if old is None:
@@ -116,17 +123,47 @@ class FsImage:
             self._set(path, Node("symlink", LINK_MODE, ts_ms, target=d["target"]))
         elif op == "set_attr":
             if old is not None:
-                for k in ("mode", "uid", "gid", "mtime_ms"):
-                    if d.get(k) is not None:
-                        setattr(old, k, d[k])
-                self._set(path, old)
+                self._set(path, replace(old, **{k: d[k] for k in ("mode", "uid", "gid", "mtime_ms") if d.get(k) is not None}))
         elif op == "set_xattr":
             if old is not None:
-                if d.get("value") is None:
-                    old.xattrs.pop(d["name"], None)
-                else:
-                    old.xattrs[d["name"]] = d["value"]
-                self._set(path, old)
+                kept = {k: v for k, v in old.xattrs.items() if k != d["name"]}
+                self._set(path, replace(old, xattrs=kept if d.get("value") is None else kept | {d["name"]: d["value"]}))
+
+    def check(self, d: dict) -> None:
+        """Raise the POSIX error that a file system gives for the operation; a path's folder must be there."""
+        kind = lambda p: "dir" if p == "/" else getattr(self.nodes.get(p), "kind", None)
+        parent = lambda p: p.rpartition("/")[0] or "/"
+
+        def need(bad: bool, code: int, at: str) -> None:
+            if bad:
+                raise OSError(code, os.strerror(code), at)
+
+        op, path = d["op"], d.get("path") or d.get("to") or ""
+        if op in ("write", "mkdir", "symlink", "rename"):
+            need(kind(parent(path)) is None, errno.ENOENT, path)
+            need(kind(parent(path)) != "dir", errno.ENOTDIR, path)
+        if op == "write":
+            need(kind(path) == "dir", errno.EISDIR, path)
+            need(kind(path) == "symlink", errno.EEXIST, path)
+            need(d.get("offset", 0) < 0, errno.EINVAL, path)
+        elif op in ("mkdir", "symlink"):
+            need(kind(path) is not None, errno.EEXIST, path)
+        elif op in ("remove", "unlink", "rmdir"):
+            need(kind(path) is None, errno.ENOENT, path)
+            need(op == "unlink" and kind(path) == "dir", errno.EISDIR, path)
+            need(op == "rmdir" and kind(path) != "dir", errno.ENOTDIR, path)
+            need(op == "rmdir" and bool(self.below(path)), errno.ENOTEMPTY, path)
+        elif op == "rename":
+            a, b = kind(d["from"]), kind(path)
+            need(a is None, errno.ENOENT, d["from"])
+            need(a != "dir" and b == "dir", errno.EISDIR, path)
+            need(a == "dir" and b not in (None, "dir"), errno.ENOTDIR, path)
+            need(a == b == "dir" and path != d["from"] and bool(self.below(path)), errno.ENOTEMPTY, path)
+            need(path.startswith(d["from"] + "/"), errno.EINVAL, path)
+        elif op in ("set_attr", "set_xattr", "truncate"):
+            need(kind(path) is None, errno.ENOENT, path)
+            need(op == "truncate" and kind(path) != "file", errno.EINVAL, path)
+            need(op == "set_xattr" and d.get("value") is None and d["name"] not in getattr(self.nodes.get(path), "xattrs", {}), errno.ENODATA, path)
 
     def merge(self, entries: list[tuple[str, Node | None]]) -> None:
         """A segment: whole nodes, and tombstones that take what is below them. Tombstones come first."""

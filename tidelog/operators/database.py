@@ -5,6 +5,7 @@ Images are DataFrames (newest page wins, see functions.pages); the database file
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import sqlite3
@@ -14,6 +15,7 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame
 
 from tidelog.functions import pages
@@ -22,26 +24,40 @@ from tidelog.sources.store import EventStore
 from tidelog.sources.wal import Cursor, Delta, tail
 
 CHUNK = 512 << 10
+#: Fixed value: how a zstd frame begins.
+ZSTD = b"\x28\xb5\x2f\xfd"
 _PAGES = pa.schema([("db", pa.string()), ("txid", pa.int64()), ("frame_idx", pa.int32()), ("pgno", pa.int64()), ("data", pa.binary())])
 LOG = "db string, txid long, frame_idx int, pgno long, data binary"
 
 
+def pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpack(data: bytes) -> bytes:
+    """zstd, or the zlib of stores written before it."""
+    try:
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data) if data[:4] == ZSTD else zlib.decompress(data)
+    except (zstandard.ZstdError, zlib.error) as e:
+        raise Encoding(str(e)) from e
+
+
 def encode(deltas: list[tuple[int, Delta]]) -> list[bytes]:
     """Transactions in chunks of about CHUNK bytes before compression; one is never split."""
     out, parts, size = [], [], 0
     for txid, d in deltas:
         raw = struct.pack(">QIII", txid, d.page_size, d.db_size, len(d.frames)) + b"".join(struct.pack(">I", p) + data for p, data in d.frames)
         if parts and size + len(raw) > CHUNK:
-            out.append(zlib.compress(b"".join(parts), 3))
+            out.append(pack(b"".join(parts)))
             parts, size = [], 0
         parts.append(raw)
         size += len(raw)
-    return [*out, zlib.compress(b"".join(parts), 3)] if parts else out
+    return [*out, pack(b"".join(parts))] if parts else out
 
 
 def decode(data: bytes) -> list[tuple[int, Delta]]:
     try:
-        raw, at, out = zlib.decompress(data), 0, []
+        raw, at, out = unpack(data), 0, []
         while at < len(raw):
             txid, size, db_size, n = struct.unpack(">QIII", raw[at : at + 20])
             at += 20
@@ -51,10 +67,23 @@ def decode(data: bytes) -> list[tuple[int, Delta]]:
                 at += 4 + size
             out.append((txid, Delta(size, db_size, tuple(frames))))
         return out
-    except (zlib.error, struct.error) as e:
+    except struct.error as e:
         raise Encoding(str(e)) from e
 
 
+def delta_events(event_type: str, data: bytes) -> list[tuple[int, Delta]]:
+    """The transactions that an event carries: all of a packed batch, one of an old JSON event (type tx; a damaged one has none), none of other types."""
+    if event_type == "txb":
+        return decode(data)
+    if event_type != "tx":
+        return []
+    try:
+        d = json.loads(data)
+        return [(int(d["txid"]), Delta(int(d["page_size"]), int(d["db_size"]), tuple((int(f["pgno"]), base64.b64decode(f["data"])) for f in d["pages"])))]
+    except (ValueError, KeyError, TypeError):
+        return []
+
+
 def folded(deltas: list[Delta]) -> Delta:
     """One transaction with the newest copy of each page and the last one's sizes."""
     newest = {p: data for d in deltas for p, data in d.frames}
@@ -106,7 +135,7 @@ class Database:
         rows, last, sizes, version = [], 0, (0, 0), None
         for e in self.store.read_history(self.name, lo).toLocalIterator():
             version = e["version"]
-            for txid, d in decode(bytes(e["data"])) if e["event_type"] == "txb" else []:
+            for txid, d in delta_events(e["event_type"], bytes(e["data"])):
                 if hi is None or txid <= hi:
                     rows += [(self.name, txid, i, p, data) for i, (p, data) in enumerate(d.frames)]
                     last, sizes = txid, (d.page_size, d.db_size)
@@ -163,10 +192,9 @@ class Database:
             merged = self._seal(whole, m["segments"][0]["txid_start"], last, sizes)
             m["retire"] = [s["path"] for s in m["segments"]]
             m["segments"] = [merged]
-        for name in old_retire:
-            if os.path.exists(f"{self.store.log.root}/{name}"):
-                os.unlink(f"{self.store.log.root}/{name}")
         record = self.store.publish_snapshot(self.name, version, version - start + 1, json.dumps(m).encode())
+        for name in old_retire:  # only now, for the manifest before this one still named what it retired
+            self.store.log.blobs.delete(name)
         if purge:
             self.store.purge_below(self.name, version + 1)
         self.connection.execute("pragma wal_checkpoint(truncate)")
@@ -174,10 +202,10 @@ class Database:
         return record
 
     def _seal(self, image: DataFrame, first: int, last: int, sizes: tuple[int, int]) -> dict:
-        os.makedirs(f"{self.store.log.root}/segments", exist_ok=True)
-        name = f"segments/{uuid.uuid4().hex}.parquet"
+        name, out = f"segments/{uuid.uuid4().hex}.parquet", pa.BufferOutputStream()
         rows = [{"db": self.name, "txid": r["txid"], "frame_idx": 0, "pgno": r["pgno"], "data": bytes(r["data"])} for r in image.orderBy("pgno").toLocalIterator()]
-        pq.write_table(pa.Table.from_pylist(rows, _PAGES), f"{self.store.log.root}/{name}", compression="zstd")
+        pq.write_table(pa.Table.from_pylist(rows, _PAGES), out, compression="zstd")
+        self.store.log.blobs.put(name, out.getvalue().to_pybytes())
         return {"path": name, "txid_start": first, "txid_end": last, "page_size": sizes[0], "db_size": sizes[1]}
 
     def close(self) -> None:

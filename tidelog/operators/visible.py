@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.schema import TAIL, InvalidInput
+from tidelog.session import settle
 
 
 def bounds(lo: int | None = None, hi: int | None = None, lo_open: bool = False, hi_closed: bool = False) -> tuple[int, int]:
@@ -66,28 +67,32 @@ def guarded(events: DataFrame, trims: DataFrame, rollbacks: DataFrame, deletes:
     return not_deleted(not_rolled_back(trimmed(events, trims), rollbacks), deletes, forks)
 
 
-def fork_depth(forks: DataFrame, max_depth: int = 64) -> int:
-    """How many forks the longest chain has; a chain beyond max_depth is taken for a cycle. Reads the control table only."""
-    up = forks.select(F.col("child").alias("__at"), F.col("parent").alias("__next"))
-    level = forks.select(F.col("parent").alias("__at"))
-    for depth in range(max_depth + 1):
-        if level.isEmpty():
-            return depth
-        level = level.join(up, "__at").select(F.col("__next").alias("__at")).distinct()
-    raise InvalidInput("the fork chain is a cycle")
+def ancestors(forks: DataFrame) -> DataFrame:
+    """child, seg, at, steps: every ancestor of each fork, the versions up to `at` that it still sees there, and how many forks lie between.
 
-
-def lineage(forks: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """root, seg, hi, depth: the streams whose events make up each root's history, with the versions below hi that count.
-
-    One join per level of forking; how many levels there are is found from the forks alone, so the plan over the roots runs once.
+    Paths are doubled: round k joins paths of up to 2^k forks with those of just 2^k, so a chain of n forks takes log2(n) rounds. The rounds'
+    tables are written and read again; they hold the control table's closure, not events. A chain that is longer than there are forks is a cycle.
     """
-    level = roots.select("root", F.col("root").alias("seg"), F.lit(TAIL).alias("hi"), F.lit(0).alias("depth"))
-    out, up = level, forks.select(F.col("child").alias("seg"), F.col("parent").alias("__parent"), F.col("at_version").alias("__at"))
-    for _ in range(fork_depth(forks, max_depth)):
-        level = level.join(up, "seg").select("root", F.col("__parent").alias("seg"), F.least("hi", F.col("__at") + 1).alias("hi"), (F.col("depth") + 1).alias("depth"))
-        out = out.unionAll(level)
-    return out
+    known = settle(forks.select("child", F.col("parent").alias("seg"), F.col("at_version").cast("long").alias("at"), F.lit(1).cast("long").alias("steps")), "lineage-forks")
+    step, size, length = known, known.count(), 1
+    join = lambda left: left.join(
+        step.select(F.col("child").alias("seg"), F.col("seg").alias("__to"), F.col("at").alias("__at"), F.col("steps").alias("__steps")), "seg"
+    ).select("child", F.col("__to").alias("seg"), F.least("at", "__at").alias("at"), (F.col("steps") + F.col("__steps")).alias("steps"))
+    while size:
+        longer = settle(join(known), "lineage-paths")
+        if longer.isEmpty():
+            return known
+        if length >= size:  # paths of more forks than there are
+            raise InvalidInput("the fork chain is a cycle")
+        known, step, length = known.unionAll(longer), longer.where(F.col("steps") == 2 * length), 2 * length
+    return known
+
+
+def lineage(forks: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, seg, hi, depth: the streams whose events make up each root's history, with the versions below hi that count."""
+    own = roots.select("root", F.col("root").alias("seg"), F.lit(TAIL).alias("hi"), F.lit(0).cast("long").alias("depth"))
+    up = ancestors(forks).select(F.col("child").alias("root"), "seg", (F.col("at") + 1).alias("hi"), F.col("steps").alias("depth"))
+    return own.unionAll(roots.select("root").join(up, "root"))
 
 
 def history(guarded_events: DataFrame, chain: DataFrame, lo: int = 0, hi: int = TAIL) -> DataFrame:

@@ -87,8 +87,20 @@ class CommitInfo:
 
 @dataclass(frozen=True)
 class CommitTicket:
+    """A lazy append that is published; position: the commit whose durability await_durable waits for."""
+
     info: CommitInfo
     seq: int
+    position: int
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How a store writes: commits between kept control tables, codec of data files, and how old a reader's view may get."""
+
+    checkpoint_every: int = 256
+    compression: str = "zstd"
+    poll_ms: int = 10_000
 
 
 @dataclass(frozen=True)

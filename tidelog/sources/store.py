@@ -6,7 +6,6 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable
-from copy import copy
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +15,8 @@ from tidelog.operators import visible
 from tidelog.sources.commitlog import CommitLog, State
 
 
-#: Commits between kept copies of the control tables.
-CHECKPOINT_EVERY = 256
+#: Parts that streams are dealt over when a bulk append numbers its rows.
+PARTS = 1024
 
 
 def _id(ms: int) -> str:
@@ -40,9 +39,12 @@ class _Reads:
         names = [n for n, held in state.files.items() if streams is None or held is None or not set(held).isdisjoint(streams)]
         if not names:
             return self.spark.createDataFrame([], S.EVENTS)
-        df = self.spark.read.schema(S.EVENTS).parquet(*[f"{self.log.root}/{n}" for n in names])
+        df = self._files(names)
         return df if streams is None else df.where(F.col("stream").isin(streams))
 
+    def _files(self, names: Iterable[str]) -> DataFrame:
+        return self.spark.read.schema(S.EVENTS).parquet(*[f"{self.log.root}/{n}" for n in names])
+
     def control_df(self, name: str) -> DataFrame:
         s = self._sync()
         rows, ddl = {
@@ -107,17 +109,20 @@ class _Reads:
 
 
 class EventStoreReader(_Reads):
-    """A read-only handle: it sees the commits there were at open or at the last refresh."""
+    """A read-only handle: it sees the commits there were at open or at the last refresh, which is at most settings.poll_ms ago."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.log = spark, CommitLog(spark, root)
+    def __init__(self, spark: SparkSession, root: str, settings: S.Settings = S.Settings()):  # noqa: B008
+        self.spark, self.log, self.settings = spark, CommitLog(spark, root), settings
         self.state = self.log.load()
         self.refresh()
 
     def _sync(self) -> State:
+        if (time.monotonic() - self.seen) * 1000 >= self.settings.poll_ms:
+            self.refresh()
         return self.state
 
     def refresh(self) -> int:
+        self.seen = time.monotonic()
         return self.log.refresh(self.state).position
 
     def read_history(self, stream: str, lo: int = 0, hi: int = S.TAIL) -> DataFrame:
@@ -145,56 +150,54 @@ class Transaction:
 
 
 class EventStore(_Reads):
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None):
-        self.spark, self.log = spark, CommitLog(spark, root)
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None, settings: S.Settings = S.Settings()):  # noqa: B008
+        self.spark, self.log, self.settings = spark, CommitLog(spark, root), settings
         self.state = self.log.load()
         self.clock = clock or (lambda: int(time.time() * 1000))
-        self.pending: list[tuple] = []
-        self.overlay: State | None = None
-        super()._sync()
+        self.loose: list[str] = []  # files of lazy appends that are not yet durable
+        self.durable = 0  # commits before this one are durable
+        self.queries: list = []
+        self._sync()
 
     @staticmethod
     def open_in_memory(spark: SparkSession, clock: Callable[[], int] | None = None) -> EventStore:
         """A store in a temporary folder, for tests on one machine."""
         return EventStore(spark, tempfile.mkdtemp(prefix="tidelog-store-"), clock)
 
-    def _sync(self) -> State:
-        self.flush()
-        return super()._sync()
-
     # -- writing ---------------------------------------------------------------------------------
 
-    def _commit(self, build: Callable[[State], tuple[dict, object]]) -> object:
+    def _commit(self, build: Callable[[State], tuple[dict, object]], durable: bool = True) -> object:
         """Publish what build makes of the current state; on a collision read the winner and build again."""
-        stream = "the log"
+        if durable:
+            self.flush()  # a commit is not durable before those it stands on
         for _ in range(S.MAX_RETRIES + 1):
-            state = super()._sync()
+            state = self._sync()
             commit, result = build(state)
-            if self.log.publish(state.position, commit):
-                if super()._sync().position % CHECKPOINT_EVERY == 0:
+            position = state.position
+            if self.log.publish(position, commit, durable):
+                if not durable:
+                    self.loose += [f"_commits/{position:020}.json", *[n for n, _ in commit.get("files", [])]]
+                if self._sync().position // self.settings.checkpoint_every > position // self.settings.checkpoint_every:
                     self.log.save(self.state)
                 return result
-        raise S.VersionConflict(stream, "no other writer", state.position)
+        raise S.VersionConflict("the log", "no other writer", state.position)
 
     def _plan(self, state: State, ops: list[tuple]) -> tuple[list[dict], dict, list[S.CommitInfo]]:
         """Rows, the commit's control part and the results of ops in order; later ops see earlier ones."""
-        tails, fences, seq = dict(state.tails), dict(state.fences), state.seq
+        seq = state.seq
         rows, infos, touched, cleared = [], [], {}, {}
         for op in ops:
             if op[0] == "fence":
                 _, stream, token = op
                 cleared[stream] = token or ""
-                if token:
-                    fences[stream] = token
-                else:
-                    fences.pop(stream, None)
                 continue
             _, stream, start, expected, events, token, index = op
             if len(events) > S.MAX_RECORDS or any(len(e.data) > S.MAX_RECORD_BYTES for e in events):
                 raise S.InvalidInput(f"at most {S.MAX_RECORDS} records of {S.MAX_RECORD_BYTES} bytes")
-            if token is not None and fences.get(stream) not in (None, token):
-                raise S.FenceMismatch(stream, fences.get(stream))
-            tail = tails.get(stream)
+            fence = cleared[stream] or None if stream in cleared else state.fences.get(stream)
+            if token is not None and fence not in (None, token):
+                raise S.FenceMismatch(stream, fence)
+            tail = touched.get(stream) or state.tails.get(stream)
             if not expected.holds(tail[0] if tail else None):
                 raise S.VersionConflict(stream, expected, tail[0] if tail else None)
             if not events:
@@ -205,19 +208,17 @@ class EventStore(_Reads):
                 rows.append({"stream": stream, "version": first + i, "global_seq": seq + i + 1, "id": _id(ts), "event_type": e.event_type, "data": e.data, "metadata": [{"name": n, "value": v} for n, v in e.metadata], "ts_ms": ts, "ts_indexed": index, "commit_pos": state.position})
             infos.append(S.CommitInfo(first, first + len(events) - 1, seq + 1))
             seq += len(events)
-            tails[stream] = touched[stream] = (max(tail[0] if tail else -1, first + len(events) - 1), ts)
+            touched[stream] = (max(tail[0] if tail else -1, first + len(events) - 1), ts)
         return rows, {"seq": seq, "tails": touched, "fences": cleared}, infos
 
-    def _append(self, ops: list[tuple]) -> list[S.CommitInfo]:
-        self.flush()
-
+    def _append(self, ops: list[tuple], durable: bool = True) -> list[S.CommitInfo]:
         def build(state: State) -> tuple[dict, object]:
             rows, commit, infos = self._plan(state, ops)
             if rows:
-                commit["files"] = [[self.log.write_rows(rows), sorted({r["stream"] for r in rows})]]
+                commit["files"] = [[self.log.write_rows(rows, durable, self.settings.compression), sorted({r["stream"] for r in rows})]]
             return commit, infos
 
-        return self._commit(build)
+        return self._commit(build, durable)
 
     def append(self, stream: str, expected: S.Expected, events: list[S.NewEvent]) -> S.CommitInfo:
         return self._append([("append", stream, None, expected, events, None, True)])[0]
@@ -236,24 +237,20 @@ class EventStore(_Reads):
         return self.append_with_token_lazy(stream, expected, events, None)
 
     def append_with_token_lazy(self, stream: str, expected: S.Expected, events: list[S.NewEvent], token: str | None, index_ts: bool = True) -> S.CommitTicket:
-        """Checked now, published with others by the next flush, read or waiting call: one data file and one commit for all."""
-        if self.overlay is None:
-            self.overlay = copy(super()._sync())
-            self.overlay.tails, self.overlay.fences = dict(self.overlay.tails), dict(self.overlay.fences)
-        op = ("append", stream, None, expected, events, token, index_ts)
-        _, commit, infos = self._plan(self.overlay, [op])
-        self.overlay.tails |= commit["tails"]
-        self.overlay.seq = commit["seq"]
-        self.pending.append(op)
-        return S.CommitTicket(infos[0], commit["seq"])
+        """Published at once as a commit of its own, seen by every handle; flush, await_durable or the next durable commit makes it and all before it durable."""
+        info = self._append([("append", stream, None, expected, events, token, index_ts)], durable=False)[0]
+        return S.CommitTicket(info, self.state.seq, self.state.position)
 
     def flush(self) -> None:
-        if self.pending:
-            ops, self.pending, self.overlay = self.pending, [], None
-            self._append(ops)
+        """Make every commit of this handle durable: one barrier for all lazy appends since the last one."""
+        loose, self.loose = self.loose, []
+        if loose:
+            self.log.blobs.fsync(loose)
+        self.durable = self.state.position
 
     def await_durable(self, ticket: S.CommitTicket) -> None:
-        self.flush()
+        if ticket.position > self.durable:
+            self.flush()
 
     def append_many(self, df: DataFrame) -> int:
         """Append a DataFrame (stream, event_type, data and a column `ord` that orders a stream's rows) as one commit; returns the number of rows.
@@ -268,8 +265,11 @@ class EventStore(_Reads):
             now = self.clock()
             order = Window.partitionBy("stream").orderBy("ord")
             numbered = rows.join(tails, "stream", "left").withColumn("version", F.coalesce(F.col("__tail"), F.lit(-1)) + F.row_number().over(order))
-            sizes = rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
-            first = sizes.select("stream", (F.sum("n").over(Window.orderBy("stream")) - F.col("n")).alias("__first"))
+            sizes = rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS)))
+            parts = sizes.groupBy("part").agg(F.sum("n").alias("all"))
+            before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))  # PARTS rows at most
+            inside = F.sum("n").over(Window.partitionBy("part").orderBy("stream")) - F.col("n")
+            first = sizes.withColumn("inside", inside).join(F.broadcast(before), "part").select("stream", (F.col("before") + F.col("inside")).alias("__first"))
             full = numbered.join(first, "stream").select(
                 "stream",
                 F.col("version").cast("long").alias("version"),
@@ -283,11 +283,10 @@ class EventStore(_Reads):
                 F.lit(state.position).cast("long").alias("commit_pos"),
             )
             name = f"data/{uuid.uuid4().hex}.parquet"
-            full.repartitionByRange("stream").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{name}", compression="zstd")
+            full.repartitionByRange("stream").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{name}", compression=self.settings.compression)
             ends = self.spark.read.parquet(f"{self.log.root}/{name}").groupBy("stream").agg(F.max("version"), F.max("ts_ms"))
             return {"seq": state.seq + n, "tails": {r[0]: (r[1], r[2]) for r in ends.toLocalIterator()}, "files": [[name, None]]}, n
 
-        self.flush()
         return self._commit(build)
 
     def transaction(self) -> Transaction:
@@ -307,12 +306,10 @@ class EventStore(_Reads):
                 raise S.VersionConflict(child, S.NO_STREAM, state.tails[child][0])
             return {"forks": [[child, parent, at_version]], "tails": {child: (at_version, tail[1])}}, None
 
-        self.flush()
         self._commit(build)
 
     def trim(self, stream: str, from_version: int, txn: int) -> None:
         """Hide versions from from_version on that were written after txn."""
-        self.flush()
         self._commit(lambda state: ({"rollbacks": [[stream, from_version, txn]]}, None))
 
     def trim_below(self, stream: str, floor: int) -> int:
@@ -321,7 +318,6 @@ class EventStore(_Reads):
             new = max(state.trims.get(stream, 0), min(floor, most, S.TAIL))
             return {"trims": {stream: new}}, new
 
-        self.flush()
         return self._commit(build)
 
     def purge_below(self, stream: str, floor: int) -> int:
@@ -329,21 +325,21 @@ class EventStore(_Reads):
 
         def build(state: State) -> tuple[dict, object]:
             lo = state.pins().get(stream, -1) + 1
-            names = [n for n, held in state.files.items() if held is None or stream in held]
+            names = {n: held for n, held in state.files.items() if held is None or stream in held}
+            if not names or lo >= floor:
+                return {}, 0
             gone = (F.col("stream") == stream) & (F.col("version") >= lo) & (F.col("version") < floor)
-            added, removed, count = [], [], 0
-            for n in names:
-                df = self.spark.read.schema(S.EVENTS).parquet(f"{self.log.root}/{n}")
-                hit = df.where(gone).select("version").distinct().count()
-                if hit:
-                    count += hit
-                    kept = f"data/{uuid.uuid4().hex}.parquet"
-                    df.where(~gone).sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{kept}")
-                    removed.append(n)
-                    added.append([kept, state.files[n]])
-            return {"files": added, "removed": removed}, count
+            hit = self._files(names).where(gone)
+            paths = [r[0] for r in hit.select(F.col("_metadata.file_path")).distinct().toLocalIterator()]
+            old = [n for n in names if any(n in p for p in paths)]
+            if not old:
+                return {}, 0
+            count = hit.select("version").distinct().count()
+            kept = f"data/{uuid.uuid4().hex}.parquet"
+            self._files(old).where(~gone).sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{kept}", compression=self.settings.compression)
+            held = None if any(names[n] is None for n in old) else sorted({x for n in old for x in names[n]})
+            return {"files": [[kept, held]], "removed": old, "replaces": {kept: old}}, count
 
-        self.flush()
         return self._commit(build)
 
     def merge_files(self, least: int = 2) -> int:
@@ -354,20 +350,17 @@ class EventStore(_Reads):
             if len(names) < least:
                 return {}, 0
             name = f"data/{uuid.uuid4().hex}.parquet"
-            df = self.spark.read.schema(S.EVENTS).parquet(*[f"{self.log.root}/{n}" for n in names])
-            df.repartitionByRange("stream", "version").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{name}", compression="zstd")
-            return {"files": [[name, None]], "removed": names}, len(names)
+            self._files(names).repartitionByRange("stream", "version").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{name}", compression=self.settings.compression)
+            return {"files": [[name, None]], "removed": names, "replaces": {name: names}}, len(names)
 
-        self.flush()
         return self._commit(build)
 
     def vacuum(self) -> int:
-        """Delete data files that purges and merges have replaced."""
+        """Delete data files that purges and merges have replaced; followers find merged events in the files that replace them."""
         return self.log.vacuum(self._sync())
 
     def delete_stream(self, stream: str) -> None:
-        self.flush()
-        if stream in super()._sync().tails:
+        if stream in self._sync().tails:
             self._commit(lambda state: ({"deletes": [stream]}, None))
 
     # -- reading ---------------------------------------------------------------------------------
@@ -403,8 +396,19 @@ class EventStore(_Reads):
     def durable_sequence(self) -> int:
         return self._sync().seq
 
+    def follow(self, checkpoint: str, each: Callable[[DataFrame, int], None], streams: list[str] | None = None, start: int = 0, poll_ms: int = 500):
+        """Follow streams (all if none are named) until the query or the store is stopped."""
+        from tidelog.streaming import follow
+
+        self.queries.append(follow.run(follow.follow_streams(self.spark, self.log.root, streams, start), checkpoint, each, poll_ms))
+        return self.queries[-1]
+
     def close(self) -> None:
+        """Make all commits durable and stop the queries that this handle has started."""
         self.flush()
+        for q in self.queries:
+            q.stop()
+        self.queries = []
 
     # -- folds, snapshots, jobs ------------------------------------------------------------------
 
@@ -468,7 +472,6 @@ class EventStore(_Reads):
     def publish_snapshot(self, stream: str, through_version: int, events_compacted: int, state: bytes, job_id: str | None = None) -> dict:
         """The snapshot and its announcement, in one commit."""
         record = {"stream": stream, "through_version": through_version, "events_compacted": events_compacted, "job_id": job_id, "ts_ms": self.clock()}
-        self.flush()
         self._commit(lambda s: ({"seq": s.seq + 1, "snapshots": [{"stream": stream, "through_version": through_version, "ts_ms": record["ts_ms"], "state": state.hex()}], "compactions": [record]}, None))
         return record
 
@@ -481,7 +484,6 @@ class EventStore(_Reads):
             check(state)
             return {"jobs": [event | {"ts_ms": self.clock()}]}, None
 
-        self.flush()
         self._commit(build)
 
     @staticmethod

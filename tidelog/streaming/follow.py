@@ -8,21 +8,26 @@ already behind the cursor is not shown again, and no guard applies.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.schema import COMPACTIONS, EVENTS
+from tidelog.sources.commitlog import ARROW
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """The events of some commits in a file that holds them now."""
+
+    def __init__(self, path: str, positions: list[int]):
+        self.path, self.positions = path, positions
 
 
 class _Commit(InputPartition):
@@ -31,36 +36,67 @@ class _Commit(InputPartition):
 
 
 class _LogReader(DataSourceStreamReader):
+    """Offsets count commits. A commit's events are read from where they are now: merges and purges say which file replaces which, so nothing that was not purged is missed."""
+
     def __init__(self, root: str, compactions: bool):
         self.root, self.compactions = root, compactions
+        self.read_to, self.moved = 0, {}  # commits looked through for replaced files, and by which file each was replaced
+
+    def _fs(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
 
     def initialOffset(self) -> dict:
         return {"commit": 0}
 
     def latestOffset(self) -> dict:
-        n = 0
-        names = [x for x in os.listdir(f"{self.root}/_commits") if x.endswith(".json")]
-        if names:
-            n = int(max(names).split(".")[0]) + 1
-        return {"commit": n}
+        files, root = self._fs()
+        found = files.get_file_info(fs.FileSelector(f"{root}/_commits", allow_not_found=True))
+        names = [f.base_name for f in found if f.base_name.endswith(".json")]
+        return {"commit": int(max(names).split(".")[0]) + 1 if names else 0}
 
-    def _commits(self, start: dict, end: dict) -> Iterator[tuple[int, str]]:
-        for n in range(start["commit"], end["commit"]):
-            with open(f"{self.root}/_commits/{n:020}.json", encoding="utf-8") as f:
-                yield n, f.read()
+    def _commits(self, start: int, end: int) -> Iterator[tuple[int, str]]:
+        files, root = self._fs()
+        for n in range(start, end):
+            with files.open_input_file(f"{root}/_commits/{n:020}.json") as f:
+                yield n, f.read().decode()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        wanted = list(self._commits(start["commit"], end["commit"]))
         if self.compactions:
-            return [_Commit(n, raw) for n, raw in self._commits(start, end) if json.loads(raw).get("compactions")]
-        names = [(name, bool(json.loads(raw).get("removed"))) for _, raw in self._commits(start, end) for name, _ in json.loads(raw).get("files", [])]
-        return [_File(f"{self.root}/{name}") for name, rewritten in names if not rewritten and os.path.exists(f"{self.root}/{name}")]
+            return [_Commit(n, raw) for n, raw in wanted if json.loads(raw).get("compactions")]
+        now = self.latestOffset()["commit"]
+        for _, raw in self._commits(self.read_to, now):
+            for new, old in json.loads(raw).get("replaces", {}).items():
+                self.moved |= dict.fromkeys(old, new)
+        self.read_to = now
+        places: dict[str, list[int]] = {}
+        for n, raw in wanted:
+            commit = json.loads(raw)
+            for name, _ in commit.get("files", []) if not commit.get("replaces") else ():
+                while name in self.moved:
+                    name = self.moved[name]
+                places.setdefault(name, []).append(n)
+        files, root = self._fs()
+        out: list[InputPartition] = []
+        for name, positions in places.items():
+            info = files.get_file_info(f"{root}/{name}")
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(f"{name}, which holds events of the commits {positions[:5]}, is gone")
+            parts = [f.path for f in files.get_file_info(fs.FileSelector(f"{root}/{name}")) if f.path.endswith(".parquet")] if info.type == fs.FileType.Directory else [info.path]
+            out += [_File(p, positions) for p in parts]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator:
         if isinstance(partition, _Commit):
             for c in json.loads(partition.raw)["compactions"]:
                 yield (partition.position + 1, c["stream"], c["through_version"], c["events_compacted"], c.get("job_id"), c["ts_ms"])
-        else:
-            yield from pq.read_table(partition.path).to_batches()
+            return
+        files, _ = self._fs()
+        positions = pa.array(partition.positions, pa.int64())
+        with files.open_input_file(partition.path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=10_000):
+                rows = pa.Table.from_batches([batch]).select(ARROW.names).cast(ARROW)
+                yield from rows.filter(pc.is_in(rows["commit_pos"], positions)).to_batches()
 
 
 class LogSource(DataSource):
@@ -158,7 +194,9 @@ class WalSource(DataSource):
 
 class _WalReader(DataSourceStreamReader):
     def __init__(self, path: str):
-        self.path = path
+        from tidelog.sources.wal import Cursor
+
+        self.path, self.cursor = path, Cursor()  # a poll reads what lies past the cursor only
 
     def _head(self) -> tuple[int, tuple[int, int]] | None:
         from tidelog.sources.wal import HEADER, header
@@ -173,14 +211,12 @@ class _WalReader(DataSourceStreamReader):
         return {"salt1": 0, "salt2": 0, "frame": 0}
 
     def latestOffset(self) -> dict:
-        from tidelog.sources.wal import Cursor, transactions
+        from tidelog.sources.wal import tail
 
-        head = self._head()
-        if head is None:
+        if self._head() is None:
             return self.initialOffset()
-        with open(self.path, "rb") as f:
-            _, end = transactions(f.read(), Cursor())
-        return {"salt1": head[1][0], "salt2": head[1][1], "frame": end.frame}
+        _, self.cursor = tail(self.path, self.cursor)
+        return {"salt1": self.cursor.salts[0], "salt2": self.cursor.salts[1], "frame": self.cursor.frame}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         same = (start["salt1"], start["salt2"]) == (end["salt1"], end["salt2"])
