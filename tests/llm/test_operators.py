@@ -330,6 +330,43 @@ def test_edited_texts_take_from_the_next(spark):
         assert got[k] == t[: len(t) - n] + after[:n]
 
 
+def test_edited_sums_are_those_of_the_edited_text(spark):
+    """Own and edited sums come from a shared head and two tails; they must be those of the whole texts. Null ids and one hot id are dealt over ranges."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["alpha", "beta.", "gamma,", "delta\n", "\n\n", "eins", "漢字。", "x"])
+    rows = [(rng.choice([None, None, 5, i]), " ".join(word() for _ in range(rng.randint(0, 60))), None, None) for i in range(300)] + [(None, None, None, None), (5, "w " * 500, None, None)]
+    out = fingerprint.edited_pairs(docs(spark, rows), bucket_rows=9)
+    whole = out.select("*", fingerprint.lanes(F.col("text")).alias("l"), fingerprint.sketch(F.col("text")).alias("s"), fingerprint.lanes(F.col("edited")).alias("el"), fingerprint.sketch(F.col("edited")).alias("es")).collect()
+    assert len(whole) == len(rows)
+    for r in whole:
+        assert (r["l"], r["s"], r["el"], r["es"]) == (r["lanes"], r["sketch"], r["edited_lanes"], r["edited_sketch"])
+    want = sorted(((i is not None, i or 0, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)), t or "") for i, t, *_ in rows)
+    edits = []
+    for k, (_, t) in enumerate(want):
+        q, after = len(t) // 4, want[(k + 1) % len(want)][1]
+        edits.append(t[: len(t) - q] + after[:q])
+    assert sorted(r["edited"] for r in whole) == sorted(edits)
+    sizes = fingerprint._ranges(spark.createDataFrame([(7 if i % 3 else i, i * 2**60 // 900) for i in range(900)], "k long, h long"), 50, 100)
+    assert sum(k == 7 for k, _ in sizes) >= 8
+
+
+def test_sketch_counts_any_number_of_clauses(spark, monkeypatch):
+    d = spark.createDataFrame([(";".join(f"c{i % 50}" for i in range(1000)),), ("",), ("a.b",)], "text string")
+    want = [r[0] for r in d.select(fingerprint.sketch(F.col("text"))).collect()]
+    monkeypatch.setattr(fingerprint, "_TOGETHER", 7)
+    assert [r[0] for r in d.select(fingerprint.sketch(F.col("text"))).collect()] == want
+    counts, hashes = want[0], [int(hashlib.md5(f"c{i}".encode()).hexdigest()[:15], 16) for i in range(50)]
+    assert counts == [20 * sum(h >> k & 1 for h in hashes) for k in range(60)] + [1000]
+
+
+def test_texts_without_marks_have_likeness(spark):
+    rng = random.Random(1)
+    text = " ".join(rng.choices(["house", "river", "stone", "cloud", "green", "train", "paper", "light", "music", "glass"], k=2000))
+    d = spark.createDataFrame([(text, text[: len(text) * 3 // 4], " ".join(rng.choices(["up", "down", "over", "under"], k=2000)))], "a string, b string, c string")
+    near, far = d.select(fingerprint.likeness(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))), fingerprint.likeness(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("c")))).first()
+    assert near > 0.6 > far
+
+
 # -- packing -------------------------------------------------------------------------------------
 
 

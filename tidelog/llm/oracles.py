@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm.fingerprint import GROUPS, LANES
+from tidelog.llm.fingerprint import BITS, CUT, LANES, LONG, MARKS
 
 OP8 = r"""
 with rows as (
@@ -39,25 +39,27 @@ select doc_id, size, source_size, target,
 from summing
 """
 
-_UNITS = "list_filter(list_transform(string_split_regex({text}, '{pattern}'), lambda x: trim(x)), lambda x: x <> '')"
+_UNITS = "list_filter(list_transform({parts}, lambda x: trim(x)), lambda x: x <> '')"
 
 
 def _fingerprint(text: str) -> str:
-    parts = _UNITS.format(text=text, pattern=r"\n+")
-    clauses = _UNITS.format(text=text, pattern=r"[.,;:!?\n]+")
+    parts = _UNITS.format(parts=rf"string_split_regex({text}, '\n+')")
+    runs = rf"string_split_regex({text}, '[{MARKS}\n]+')"
+    clauses = _UNITS.format(parts=f"flatten(list_transform({runs}, lambda x: case when length(x) > {LONG} then string_split_regex(x, '{CUT}') else [x] end))")
     digests = f"list_transform({parts}, lambda p: sha256(p) || sha256('+' || p))"
     lane = lambda k: f"coalesce(list_sum(list_transform(d, lambda h: cast('0x' || substr(h, {8 * k + 1}, 8) as bigint))), 0) % 4294967296"
-    weak = lambda k: f"coalesce(list_sum(list_transform(c, lambda h: (h >> {k}) & 1099512676353)), 0)"
+    weak = lambda k: f"coalesce(list_sum(list_transform(c, lambda h: (h >> {k}) & 1)), 0)"
     strong = " || ".join(f"lpad(lower(to_hex(cast({lane(k)} as bigint))), 8, '0')" for k in range(LANES))
-    sketch = ", ".join(f"cast({weak(k)} as bigint)" for k in range(GROUPS))
+    # bit 20 j + i is lane 20 j + i of the sketch
+    sketch = ", ".join(f"cast({weak(k)} as bigint)" for k in range(BITS))
     return (
         f"(select struct_pack(strong := {strong}, sk := [{sketch}, cast(len(c) as bigint)]) from (select {digests} as d, "
         f"list_transform({clauses}, lambda x: cast('0x' || substr(md5(x), 1, 15) as bigint)) as c))"
     )
 
 
-_HEX = "array_to_string(list_transform({f}.sk, lambda v: lpad(lower(to_hex(v)), 16, '0')), '')"
-_LANES = "list_concat(list_transform({f}.sk[1:20], lambda v: (v & 1048575) * 2 - {f}.sk[21]), list_transform({f}.sk[1:20], lambda v: ((v >> 20) & 1048575) * 2 - {f}.sk[21]), list_transform({f}.sk[1:20], lambda v: ((v >> 40) & 1048575) * 2 - {f}.sk[21]))"
+_HEX = "array_to_string(list_transform({f}.sk, lambda v: lpad(lower(to_hex(v)), 8, '0')), '')"
+_LANES = f"list_transform({{f}}.sk[1:{BITS}], lambda v: v * 2 - {{f}}.sk[{BITS + 1}])"
 
 
 def _near(a: str, b: str) -> str:
@@ -69,9 +71,10 @@ def _near(a: str, b: str) -> str:
 OP5 = f"""
 with base as (select doc_id, coalesce(text, '') as text from documents),
 pairs as (
-  select doc_id, text, coalesce(lead(text) over (order by doc_id, text), first_value(text) over (order by doc_id, text)) as next_text,
+  select doc_id, text, coalesce(lead(text) over o, first_value(text) over o) as next_text,
          cast(length(text) as bigint) as n_chars
-  from base),
+  from base
+  window o as (order by doc_id nulls first, md5(text))),
 edits as (
   select doc_id, text, next_text, n_chars,
          substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) as edited
