@@ -1,12 +1,12 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-language   rows whose text has no letter to tell a language by go
+language   rows go whose text has no letter, or on whose language the machines hardly do better than tossing (see language.keep_identified)
 jaccard    of each component of near-duplicate rows the one with the smallest id stays
 secrets    secrets found in a text are masked; every row stays, n_chars follows the text
 mix        rows are taken as often as their source's target weight asks
 pack       what is left is tokenised and packed into sequences
 
-All stages but the last return the columns of their input. No stage needs an id, text, language or source to be there: null
+All stages but the last return the columns of their input. Without labels, or with one language, all rows with a letter pass the first stage. No stage needs an id, text, language or source to be there: null
 texts go with the first stage, rows without an id are kept by the second, a null source is a source.
 """
 
