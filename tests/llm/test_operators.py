@@ -161,7 +161,8 @@ def test_language_hierarchy(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
     odd = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs(spark, ODD), m).collect()}
     assert odd[1] == odd[2] == odd[3] == odd[7] == "und" and odd[4] != "und"
-    assert language.keep_identified(docs(spark, ODD), m).count() == 6
+    kept = {r["doc_id"] for r in language.keep_identified(docs(spark, [*ODD, (20, LANGS["de"], None, None), (21, "qzx vkw jjx pqz " * 20, None, None)]), m).collect()}
+    assert 20 in kept and 21 not in kept and not kept & {1, 2, 3, 7}
     assert {r["h"] for r in d.select((language.held_out() == (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)).alias("h")).collect()} == {True}
 
 
@@ -223,6 +224,28 @@ def test_jaccard_against_all_pairs(spark, seed):
     assert jaccard.keep_one(docs(spark, [*rows, rows[0]])).count() == len(kept)
 
 
+@pytest.mark.parametrize("group_rows", [1, 3])
+def test_jaccard_grid_of_small_cells(spark, group_rows):
+    """Many unlike rows around a shared passage: groups with outer rows in grids of many cells."""
+    rng = random.Random(group_rows)
+    words = [f"w{i}" for i in range(300)]
+    passage = rng.choices(words, k=12)
+    rows = []
+    for i in range(90):
+        own = rng.choices(words, k=rng.choice([2, 3, 5, 9]))
+        rows.append((i, " ".join(passage[rng.randint(0, 2) :] + own), None, None))
+    found = jaccard.JaccardJoin(docs(spark, rows), group_rows=group_rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.result().collect()} == _components(rows)
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    """Each text of an id has its own component; what stays of an id is each text that no smaller id is like."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (2, b + " end"), (9, a + " end"), (9, c), (7, c + " x"), (None, a), (8, ""), (8, ""), (8, c[:100])]
+    kept = jaccard.keep_one(docs(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("5", a), ("2", b + " end"), ("7", c + " x"), ("None", a), ("8", ""), ("8", c[:100])])
+
+
 # -- secrets -------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import LANGS, ODD, _components, _targets, bpe
 
 import corpus_pipeline
-from tidelog.llm import secrets
+from tidelog.llm import language, secrets
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,6 +24,7 @@ def corpus(seed=0):
         if i % 7 == 5:
             text = rows[-1][1] + " end"
         rows.append((i, text, lang, f"src{rng.choice([0, 0, 0, 1, 2])}"))
+    rows += [(2000 + i, "".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=300)), None, "src1") for i in range(3)]
     return rows + [(i and i + 1000, t, lang, s) for i, t, lang, s in ODD]
 
 
@@ -54,9 +55,18 @@ def stages(spark, tmp_path_factory):
     return seen
 
 
-def test_language_drops_what_has_no_letter(stages):
-    want = [r for r in stages["input"] if r[1] and any(c.isalpha() for c in r[1])]
-    assert sorted(stages["language"], key=str) == sorted(want, key=str)
+def test_language_drops_what_is_like_no_language(spark, stages):
+    """By the machines of the same labels, a text at a time; texts of words stay, runs of consonants and texts without a letter go."""
+    m = language.fit(frame(spark, stages["input"]).where(~language.held_out()).select("text", "lang"))
+
+    def stays(text):
+        if not text or not any(c.isalpha() for c in text):
+            return False
+        return m.judge([text.encode()])[0][3] >= 1.2
+
+    assert sorted(stages["language"], key=str) == sorted([r for r in stages["input"] if stays(r[1])], key=str)
+    kept = {r[0] for r in stages["language"]}
+    assert set(range(150)) <= kept and 2001 not in kept
 
 
 def test_one_of_each_component_stays(stages):

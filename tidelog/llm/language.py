@@ -84,24 +84,31 @@ class Machines:
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
         """(language, score, family) of texts that have a letter."""
+        return [x[:3] for x in self.judge(texts)]
+
+    def judge(self, texts: list[bytes]) -> list[tuple[str, float, str, float]]:
+        """The same, and the evidence: how much surer the machines that decided are, family and worst pair together, than if each had tossed."""
         margin = self.margins(texts)
         sure = 1 / (1 + np.exp(-3 * np.clip(margin, -20, 20)))
         names = list(self.families)
         if not names:
-            return [(UNDETERMINED, 0.0, UNDETERMINED)] * len(texts)
+            return [(UNDETERMINED, 0.0, UNDETERMINED, 0.0)] * len(texts)
         columns = [self.families[f][0] for f in names]
         if len(names) == 1:
             pick, trust = np.zeros(len(texts), int), np.ones(len(texts))
+            own = trust
         elif len(names) == 2:
             pick = (margin[:, columns[0]] < 0).astype(int)
             trust = np.where(pick == 0, sure[:, columns[0]], 1 - sure[:, columns[0]])
+            own = 2 * trust
         else:
             pick = np.argmax(margin[:, columns], axis=1)
             all_sure = sure[:, columns]
-            trust = all_sure[np.arange(len(texts)), pick] / np.maximum(all_sure.sum(axis=1), 1e-12)
-        return [self._within(names[f], margin[i], sure[i], float(trust[i])) for i, f in enumerate(pick)]
+            own = 2 * all_sure[np.arange(len(texts)), pick]
+            trust = own / 2 / np.maximum(all_sure.sum(axis=1), 1e-12)
+        return [self._within(names[f], margin[i], sure[i], float(trust[i]), float(own[i])) for i, f in enumerate(pick)]
 
-    def _within(self, family: str, margin: np.ndarray, sure: np.ndarray, trust: float) -> tuple[str, float, str]:
+    def _within(self, family: str, margin: np.ndarray, sure: np.ndarray, trust: float, own: float) -> tuple[str, float, str, float]:
         langs = self.families[family][1]
         votes = {x: [0, 0.0] for x in langs}
         for a, b in combinations(langs, 2):
@@ -111,7 +118,7 @@ class Machines:
             votes[b][1] -= m
         best = max(langs, key=lambda x: (*votes[x], x))
         worst = min((sure[k] if a == best else 1 - sure[k] for (a, b), k in self.pairs.items() if best in (a, b)), default=1.0)
-        return best, round(trust * float(worst), 6), family
+        return best, round(trust * float(worst), 6), family, own * float(worst) * (2 if len(langs) > 1 else 1)
 
 
 def svm(gram: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 400) -> np.ndarray:
@@ -207,32 +214,38 @@ def predict(docs: DataFrame, machines: Machines, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(held.value, batch.column(1))], ["doc_id", "lang_pred", "score", "family"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(held.value, batch.column(1))[:3]], ["doc_id", "lang_pred", "score", "family"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(streamed(run), "doc_id long, lang_pred string, score double, family string")
 
 
 def _judged(machines: Machines, column: pa.Array) -> list[pa.Array]:
+    """lang_pred, score, family and evidence."""
     texts, out = column_bytes(column), []
     for lo, hi in pieces(texts):
         lettered = [bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts[lo:hi]]
-        found = iter(machines.predict([t for t, x in zip(texts[lo:hi], lettered, strict=True) if x]))
-        out += [next(found) if x else (UNDETERMINED, 0.0, UNDETERMINED) for x in lettered]
-    return [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
+        found = iter(machines.judge([t for t, x in zip(texts[lo:hi], lettered, strict=True) if x]))
+        out += [next(found) if x else (UNDETERMINED, 0.0, UNDETERMINED, 0.0) for x in lettered]
+    return [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
+
 
+def keep_identified(docs: DataFrame, machines: Machines, text_col: str = "text", above: float = 1.2) -> DataFrame:
+    """All columns of the rows whose language is determined with an evidence of at least `above` (1 is a toss; runs of consonants, base64 or
+    an unlearned script get about 1.1).
 
-def keep_identified(docs: DataFrame, machines: Machines, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """All columns of the rows whose language is determined with at least min_score; without machines (no labelled row), of those with a letter."""
+    Without machines (no labelled row) or with one language, nothing can be told apart, and rows with a letter stay.
+    """
     held = docs.sparkSession.sparkContext.broadcast(machines)
+    learned = sum(len(x) for _, x in machines.families.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            if not held.value.families:
+            if learned < 2:
                 yield batch.filter(pa.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in column_bytes(texts)], pa.bool_()))
                 continue
-            lang, score, _ = _judged(held.value, texts)
-            yield batch.filter(pa.array([a != UNDETERMINED and b >= min_score for a, b in zip(lang.to_pylist(), score.to_pylist(), strict=True)]))
+            lang, _, _, evidence = (x.to_pylist() for x in _judged(held.value, texts))
+            yield batch.filter(pa.array([a != UNDETERMINED and e >= above for a, e in zip(lang, evidence, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(streamed(run), docs.schema)
 
