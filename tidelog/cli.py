@@ -20,14 +20,18 @@ from tidelog.session import local_session
 from tidelog.sources.store import EventStore, EventStoreReader
 
 
-def main(argv: list[str] | None = None) -> int:
+def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tidelog", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=["mirror", "checkpoint", "verify", "streams"])
     parser.add_argument("root")
     parser.add_argument("rest", nargs="*")
     parser.add_argument("--follow", action="store_true")
     parser.add_argument("--interval-ms", type=int, default=int(os.environ.get("TIDELOG_POLL_MS", "2000")))
-    args = parser.parse_args(argv)
+    return parser.parse_args(argv)
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = arguments(argv)
     root = os.environ["TIDELOG_ROOT"] if args.root == "-" else args.root
     spark = local_session()
     if args.command == "streams":

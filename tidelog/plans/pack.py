@@ -3,42 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import files, pages
 from tidelog.operators import fold, visible
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tidelog.plans.registry import query, table
+from tidelog.session import settle
 
 class Log:
     """The event log read from `events`, and control tables by formula on the user's number."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         e = table(spark, sf_dir, "events")
-        from pyspark.sql import Window
-
         order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        self.users = e.select(F.col("user_id").alias("u")).distinct()
-        self.ev = e.select(
+        # every use reads the numbered events, so the window over them runs once
+        self.ev = settle(e.select(
             F.concat(F.lit("user-"), F.col("user_id")).alias("stream"),
             (F.row_number().over(order) - 1).cast("long").alias("version"),
             (F.col("event_id") + 1).alias("global_seq"),
@@ -47,7 +28,8 @@ class Log:
             F.round(F.col("value") * 100).cast("long").alias("cents"),
             F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts_ms"),
             F.col("user_id").alias("u"),
-        )
+        ), "pack-events")
+        self.users = self.ev.select("u").distinct()
         name = lambda prefix: F.concat(F.lit(prefix), F.col("u"))
         self.trims = self.users.where("u % 5 = 0").select(name("user-").alias("stream"), F.lit(5).cast("long").alias("floor"))
         self.deletes = self.users.where("u % 11 = 0").select(name("user-").alias("stream")).unionAll(self.users.where("u % 33 = 0").select(name("fork-").alias("stream")))
@@ -402,10 +384,13 @@ def segment_coalesce(spark, d):
     return pages.coalesce(pages.seal(_page_log(spark, d), 1000), 12)
 
 
-@query("logical_equal", "select true as equal, 0::bigint as missing, 0::bigint as extra")
+@query("logical_equal", f"with {LOGS}, image as (select db, pgno, arg_max(data, txid) as data from log group by db, pgno), other as (select db, pgno, case when pgno % 5 = 0 then data || '!' else data end as data from image where pgno % 7 > 0) select (select count(*) from image) = 0 as equal, (select count(*) from image where pgno % 5 = 0 or pgno % 7 = 0) as missing, (select count(*) from other where pgno % 5 = 0) as extra")
 def logical_equal(spark, d):
+    """The newest image against one from sealed segments in which some pages are changed and some left out."""
     log = _page_log(spark, d)
-    return pages.logical_equal(pages.newest(log), pages.newest(pages.seal(log, 1000).select("db", "txid", "pgno", F.lit(0).alias("frame_idx"), "data")))
+    sealed = pages.newest(pages.seal(log, 1000).select("db", "txid", "pgno", F.lit(0).alias("frame_idx"), "data"))
+    other = sealed.where("pgno % 7 > 0").withColumn("data", F.when(F.col("pgno") % 5 == 0, F.concat("data", F.lit("!"))).otherwise(F.col("data")))
+    return pages.logical_equal(pages.newest(log), other)
 
 
 @query("churn_report", "select event_type as phase, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, max(value) as max from events group by event_type")

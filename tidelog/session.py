@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +29,52 @@ def local_session(cores: int | str = "*", app: str = "tidelog", memory: str = "8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode a temporary one where it is unset, deleted at exit; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix=f"tidelog-{os.getpid()}-")
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        folder = tempfile.mkdtemp(prefix=f"tidelog-{os.getpid()}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no recomputation of what stands before."""
+    executor costs no recomputation of what stands before. It stays until drop or the end of a scratch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    _scratches[-1].append(path) if _scratches else None
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "settled_at", None):
+            _delete(df.sparkSession, path)
+
+
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at the end: write what you want to keep before it."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            _delete(spark, path)
