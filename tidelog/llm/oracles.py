@@ -112,4 +112,38 @@ select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n,
 from words w left join kept k on k.doc_id = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_jaccard": OP3, "op5_fingerprints": OP5, "op7_substrings": OP7, "op8_mix_sources": OP8}
+PAYLOADS = """
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+sized as (select *, octet_length(b) as n, greatest(192, (octet_length(b) + 191) // 192 * 192) as m from raw)
+select doc_id, cast(n as bigint) as n_bytes, cast(m as bigint) as payload_bytes, sha256(b || encode(repeat(' ', m - n))) as payload_sha256 from sized
+"""
+
+
+def _either(word: str) -> str:
+    """The word in either case, for ASCII letters alone."""
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
+_NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
+
+COUNTS = rf"""
+select doc_id,
+       cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) as bigint) as n_assign,
+       cast(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as bigint) as n_access,
+       cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) as bigint) as n_hex
+from documents
+"""
+
+SITE_RULES = r"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then url[strpos(url, '://') + 3:] end as rest from pages),
+hosts as (select page_id, rest, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from cut),
+parts as (select page_id, host, regexp_extract(coalesce(rest[length(host) + 1:], ''), '^[^?#]*') as path from hosts),
+rules as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) as t(verdict, h, p)),
+fits as (select page_id, h || p as rule, verdict from parts join rules on (host = h or host like '%.' || h) and starts_with(path, p)),
+best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from fits group by page_id)
+select page_id, host, path, rule, verdict from parts left join best using (page_id)
+"""
+
+LAYOUT = "select doc_id, true as \"right\" from documents"
+
+ORACLES: dict[str, str] = {"op3_jaccard": OP3, "op5_fingerprints": OP5, "op7_substrings": OP7, "op8_mix_sources": OP8, "media_payloads": PAYLOADS, "secret_counts": COUNTS, "url_site_rules": SITE_RULES, "packing_layout": LAYOUT}

@@ -75,6 +75,35 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages, urlrules.mine(bad))
 
 
+# -- parts of the above that SQL can express -----------------------------------------------------
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 reads back of each stored text."""
+    return op1_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's base matches of each text."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's host, path and rule of each page, and its verdict where a rule decides."""
+    rows = op10_urls(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def packing_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 by document: pieces that follow each other, none but the first shorter than full; and no sequence with a gap or an overlap, or above 1024."""
+    rows = op6_packing(spark, sf_dir)
+    ends = rows.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count(F.lit(1)).alias("n"))
+    bad = ends.where("length <> end or places <> n or end > 1024").count()
+    per = rows.groupBy("doc_id").agg(F.max("piece").alias("last"), F.count(F.lit(1)).alias("n"), F.max_by("start", "piece").alias("start"), F.sum("length").alias("ids"), F.max_by("length", "piece").alias("length"))
+    right = (F.col("last") == F.col("n") - 1) & (F.col("start") + F.col("length") == F.col("ids")) & (F.col("n") == F.ceil(F.col("ids") / 1024)) & F.lit(bad == 0)
+    return per.select("doc_id", right.alias("right"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_languages": op2_languages,
@@ -86,4 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html": op9_html,
     "op10_urls": op10_urls,
+    "media_payloads": media_payloads,
+    "secret_counts": secret_counts,
+    "url_site_rules": url_site_rules,
+    "packing_layout": packing_layout,
 }
