@@ -60,6 +60,26 @@ def test_odd_and_empty_tables(spark, name):
     assert ALL[name](docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("name", list(ALL))
+def test_tables_without_ids(spark, name):
+    rows = ALL[name](docs(spark, [(None, *r[1:]) for r in ODD])).collect()
+    assert {r["doc_id"] for r in rows} == {None} and (name == "packing" or len(rows) == len(ODD))
+
+
+def test_pieces_with_clashing_names_and_without_ids(spark):
+    rows = [(None, 0, 5 + i % 3, "x", i) for i in range(400)] + [(1, 0, 7, "x", 0)] * 20
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, __placerank string, __bucket int")
+    out = packing.place(pieces, 20, bucket_rows=30)
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"]
+    found, bins = out.collect(), {}
+    assert sorted(r["__bucket"] for r in found) == sorted(r[4] for r in rows)
+    for r in found:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        ends = [0, *(o + n for o, n in sorted(b))]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 20
+
+
 # -- media ---------------------------------------------------------------------------------------
 
 

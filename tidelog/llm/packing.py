@@ -338,11 +338,17 @@ def place(pieces: DataFrame, size: int = 1024, bucket_rows: int = 20_000, budget
         raise ValueError(f"lengths lie between 1 and {size}")
     slots = _slots(solve(histogram, size, budget).patterns)
     buckets = max(1, -(-sum(histogram.values()) // bucket_rows))
-    rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
-    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("__inside", F.row_number().over(inside) - 1).join(ahead, ["length", "__bucket"]).select(*pieces.columns, (F.col("__ahead") + F.col("__inside")).alias("__rank"))
+    mark = "__place"
+    while any(c.startswith(mark) for c in pieces.columns):
+        mark += "_"
+    bucket, ahead, inside, rank = (f"{mark}{c}" for c in ("bucket", "ahead", "inside", "rank"))
+    # by all plain columns, so that pieces without an id are dealt too and a rerun numbers them alike
+    plain = [f.name for f in pieces.schema.fields if isinstance(f.dataType, (T.AtomicType, T.NumericType))]
+    rows = pieces.withColumn(bucket, F.pmod(F.xxhash64(*plain), F.lit(buckets)))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")).select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy("length", bucket).orderBy("doc_id", "piece", *[c for c in plain if c not in ("doc_id", "piece")])
+    ranked = rows.withColumn(inside, F.row_number().over(within) - 1).join(sums, ["length", bucket]).select(*pieces.columns, (F.col(ahead) + F.col(inside)).alias(rank))
     held = pieces.sparkSession.sparkContext.broadcast(slots)  # five numbers a slot, bounded by the square of size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,12 +356,12 @@ def place(pieces: DataFrame, size: int = 1024, bucket_rows: int = 20_000, budget
         keys = plan["length"] << 44 | plan["rank"]
         for batch in batches:
             n = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            rank = batch.column(batch.schema.get_field_index("__rank")).to_numpy()
-            at = np.searchsorted(keys, n << 44 | rank, "right") - 1
-            inside = rank - plan["rank"][at]
-            sequence = plan["first"][at] + inside // plan["per"][at]
-            offset = plan["offset"][at] + inside % plan["per"][at] * n
-            rest = [c for c in batch.schema.names if c != "__rank"]
+            nth = batch.column(batch.schema.get_field_index(rank)).to_numpy()
+            at = np.searchsorted(keys, n << 44 | nth, "right") - 1
+            later = nth - plan["rank"][at]
+            sequence = plan["first"][at] + later // plan["per"][at]
+            offset = plan["offset"][at] + later % plan["per"][at] * n
+            rest = [c for c in batch.schema.names if c != rank]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(sequence), pa.array(offset)], [*rest, "sequence_id", "offset"])
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
