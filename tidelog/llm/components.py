@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import settle
+from tidelog.session import drop, settle
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("lo < hi")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select("m", F.explode(F.array("hi", "lo")).alias("v")).where("v > m")
-        edges = settle(small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "components-edges")
+        old, edges = edges, settle(small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "components-edges")
+        drop(old)
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
