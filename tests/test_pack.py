@@ -12,7 +12,7 @@ import __spark_entry__ as driver
 from tidelog.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents pages conversations nation customer".split()
+TABLES = "events documents pages conversations nation region customer".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 

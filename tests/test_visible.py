@@ -150,3 +150,7 @@ def test_restore_needs_the_transaction(spark):
     assert [r["data"] for r in pages.restore_at(pages.seal(log, 1).where("txid = 1"), log, 2).collect()] == ["b"]
     with pytest.raises(InvalidInput):
         pages.restore_at(pages.seal(log, 1), log, 3)
+    gap = spark.createDataFrame([(1, t, 0, 1, str(t)) for t in (1, 2, 4, 5)], "db long, txid long, frame_idx int, pgno long, data string")
+    with pytest.raises(InvalidInput, match="missing"):
+        pages.restore_at(pages.seal(gap, 1).where("txid <= 2"), gap, 5)
+    assert [r["data"] for r in pages.restore_at(pages.seal(gap, 1).where("txid <= 4"), gap, 5).collect()] == ["5"]

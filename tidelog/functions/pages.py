@@ -29,11 +29,15 @@ def coalesce(segments: DataFrame, db_size: int | None = None) -> DataFrame:
     return rows.groupBy("db", "pgno").agg(F.max("txid").alias("txid"), F.max_by("data", "txid").alias("data"), F.count(F.lit(1)).alias("merged"))
 
 
-def restore_at(segments: DataFrame, log: DataFrame, target: int) -> DataFrame:
-    """The image at a transaction: segments that end at or before it, then the log from there to it."""
+def restore_at(segments: DataFrame, log: DataFrame, target: int, first: int = 1) -> DataFrame:
+    """The image at a transaction: segments that end at or before it, then the log from there to it, which must have every transaction between (they count from `first` on)."""
     if log.where(F.col("txid") >= target).isEmpty() and segments.where(F.col("txid_end") >= target).isEmpty():
         raise InvalidInput(f"transaction {target} is not reconstructable")
     whole = segments.where(F.col("txid_end") <= target)
+    reached = whole.agg(F.coalesce(F.max("txid_end"), F.lit(0))).first()[0]
+    between = log.where((F.col("txid") > reached) & (F.col("txid") <= target)).agg(F.count_distinct("txid")).first()[0]
+    if between < target - max(reached, first - 1):
+        raise InvalidInput(f"transactions between {reached} and {target} are missing")
     base = whole.groupBy("db").agg(F.max("txid_end").alias("__base"))
     tail = log.where(F.col("txid") <= target).join(base, "db", "left").where(F.col("txid") > F.coalesce("__base", F.lit(0)))
     both = whole.select("db", "pgno", "txid", F.lit(0).alias("frame_idx"), "data").unionByName(tail.select("db", "pgno", "txid", "frame_idx", "data"))
