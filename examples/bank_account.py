@@ -1,56 +1,67 @@
-"""A bank account as a stream: append, rehydrate, an optimistic append that loses, compaction, rehydration from the snapshot."""
+"""A current account as a stream: entries booked together, a booking that comes too late, statements as snapshots, and a follower that prints what is booked."""
 
 from __future__ import annotations
 
 import json
 import os
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.sql import functions as F
+
 from tidelog.schema import NO_STREAM, NewEvent, VersionConflict, exact
 from tidelog.sources.store import EventStore
+from tidelog.streaming.follow import drain, follow_compactions, follow_streams
+
+
+def entry(amount: int, memo: str) -> NewEvent:
+    """An amount in pence, negative if it leaves the account."""
+    return NewEvent.json("entry", {"amount": amount, "memo": memo})
+
 
+class Statement:
+    """Balance, and the lowest it has been."""
 
-class Account:
-    def __init__(self) -> None:
-        self.owner, self.cents = "", 0
+    def __init__(self, balance: int = 0, lowest: int = 0):
+        self.balance, self.lowest = balance, lowest
 
     def apply(self, event) -> None:
-        ((kind, body),) = json.loads(bytes(event["data"])).items()
-        if kind == "Opened":
-            self.owner = body["owner"]
-        else:
-            self.cents += body["cents"] if kind == "Deposited" else -body["cents"]
+        self.balance += json.loads(bytes(event["data"]))["amount"]
+        self.lowest = min(self.lowest, self.balance)
 
     def snapshot(self) -> bytes:
-        return json.dumps([self.owner, self.cents]).encode()
+        return f"{self.balance} {self.lowest}".encode()
 
     @classmethod
-    def restore(cls, data: bytes) -> Account:
-        new = cls()
-        new.owner, new.cents = json.loads(data)
-        return new
-
-
-def main(spark) -> list[int]:
-    store, seen = EventStore.open_in_memory(spark), []
-    event = lambda kind, **body: NewEvent.json(kind.lower(), {kind: body})
-    store.append("account-1", NO_STREAM, [event("Opened", owner="ada"), event("Deposited", cents=10_000)])
-    state, version = store.rehydrate(Account, "account-1")
-    seen.append(state.cents)
-    store.append("account-1", exact(version), [event("Withdrawn", cents=2_500)])
+    def restore(cls, data: bytes) -> Statement:
+        return cls(*map(int, data.split()))
+
+
+def main(spark) -> dict:
+    store, iban = EventStore.open_in_memory(spark), "GB-0001"
+    info = store.append(iban, NO_STREAM, [entry(120_00, "salary"), entry(-45_50, "rent"), entry(-80_00, "bicycle")])
+    first, version = store.rehydrate(Statement, iban)
+    late = None
+    store.append(iban, exact(version), [entry(-3_20, "coffee")])
     try:
-        store.append("account-1", exact(version), [event("Withdrawn", cents=9_999)])
+        store.append(iban, exact(version), [entry(-999_00, "a booking made from an old view")])
     except VersionConflict as e:
-        seen.append(e.actual)
-    store.compact(Account, "account-1")
-    store.append("account-1", exact(2), [event("Deposited", cents=1)])
-    seen += [store.compaction_backlog("account-1"), store.rehydrate(Account, "account-1")[0].cents]
-    return seen
+        late = e.actual
+    statement = store.compact(Statement, iban)
+    store.append(iban, exact(3), [entry(20_00, "refund")])
+    last, _ = store.rehydrate(Statement, iban)
+
+    booked, announced = [], []
+    with tempfile.TemporaryDirectory() as d:
+        memo = F.get_json_object(F.col("data").cast("string"), "$.memo")
+        drain(follow_streams(spark, store.log.root, [iban]), f"{d}/a", lambda df, _: booked.extend(r[0] for r in df.orderBy("version").select(memo).collect()))
+        drain(follow_compactions(spark, store.log.root), f"{d}/b", lambda df, _: announced.extend(r["through_version"] for r in df.collect()))
+    return {"booked": booked, "first": first.balance, "lowest": last.lowest, "late": late, "statement": (statement["through_version"], announced), "balance": last.balance, "versions": (info.first_version, info.last_version), "backlog": store.compaction_backlog(iban)}
 
 
 if __name__ == "__main__":
     from tidelog.session import local_session
 
-    print(main(local_session()))
+    print(json.dumps(main(local_session()), indent=1))

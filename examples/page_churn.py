@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import sys
 import tempfile
 import time
@@ -14,17 +15,8 @@ from tidelog.operators.database import Database, logical_rows
 from tidelog.sources.store import EventStore
 
 
-def xorshift(seed: int):
-    x = seed
-    while True:
-        x ^= x << 13 & (1 << 64) - 1
-        x ^= x >> 7
-        x ^= x << 17 & (1 << 64) - 1
-        yield x
-
-
-def main(spark, rounds: int = 4, per_round: int = 150, keys: int = 500, checkpoint_every: int = 2) -> list[tuple]:
-    samples, draw = [], xorshift(88172645463325252)
+def main(spark, rounds: int = 4, per_round: int = 200, notes: int = 400, seal_every: int = 2, seed: int = 5) -> list[tuple]:
+    samples, draw = [], random.Random(seed)
 
     def phase(name: str, f) -> None:
         t = time.perf_counter()
@@ -34,12 +26,21 @@ def main(spark, rounds: int = 4, per_round: int = 150, keys: int = 500, checkpoi
     with tempfile.TemporaryDirectory() as d:
         store = EventStore(spark, f"{d}/store")
         db = Database(store, "churn", f"{d}/live.db")
-        db.connection.execute("create table kv(k integer primary key, v text not null)")
-        upsert = lambda: [db.connection.execute("insert or replace into kv values (?, ?)", (next(draw) % keys, f"{next(draw):016x}" * 13)) for _ in range(per_round)]
+        db.connection.execute("create table note(id integer primary key, words text)")
+
+        def edit() -> None:
+            """One transaction an edit: a note gets new words, some notes go."""
+            for _ in range(per_round):
+                at = draw.randrange(notes)
+                if draw.random() < 0.1:
+                    db.connection.execute("delete from note where id = ?", (at,))
+                else:
+                    db.connection.execute("replace into note values (?, ?)", (at, " ".join(draw.choices(["tide", "log", "page", "frame"], k=40))))
+
         for i in range(rounds):
-            phase("write", upsert)
+            phase("write", edit)
             phase("sync", db.sync)
-            if (i + 1) % checkpoint_every == 0:
+            if (i + 1) % seal_every == 0:
                 phase("checkpoint", lambda: db.checkpoint(coalesce_at=3, purge=True))
         want = logical_rows(f"{d}/live.db")
         db.close()

@@ -2,7 +2,7 @@ from examples import bank_account, fs_snapshots, page_churn
 
 
 def test_bank_account(spark):
-    assert bank_account.main(spark) == [10_000, 2, 1, 7_501]
+    assert bank_account.main(spark) == {"booked": ["salary", "rent", "bicycle", "coffee", "refund"], "first": -5_50, "lowest": -8_70, "late": 3, "statement": (3, [3]), "balance": 11_30, "versions": (0, 2), "backlog": 1}
 
 
 def test_snapshots_keep_the_backlog_short(spark):
