@@ -15,32 +15,32 @@ def store(spark):
     return EventStore.open_in_memory(spark)
 
 
-def kv(db, n, lo=0):
+def facts(db, n, lo=0):
     for i in range(lo, lo + n):
-        db.connection.execute("insert or replace into kv values (?, ?)", (f"k{i % 50}", f"v{i}"))
+        db.connection.execute("insert or replace into facts values (?, ?)", (f"fact {i % 37}", f"it is {i}"))
 
 
 def test_round_trip_and_point_in_time(store, tmp_path):
     db = Database(store, "db", str(tmp_path / "a.db"))
-    db.connection.execute("create table kv(k text primary key, v text not null)")
-    kv(db, 6)
+    db.connection.execute("create table facts(k text primary key, v text not null)")
+    facts(db, 6)
     assert db.sync() == 1 and db.txid == 7 and db.sync() == 0
     db.connection.execute(f"vacuum into '{tmp_path}/copy.db'")
     target = db.txid
-    kv(db, 4, 3)
+    facts(db, 4, 3)
     db.sync(coalesce=True)
     assert db.txid == 11 and store.stream_version("db") == 1
     assert db.restore_at(target, str(tmp_path / "old.db")) == target
     assert logical_rows(str(tmp_path / "old.db")) == logical_rows(str(tmp_path / "copy.db"))
     db.checkpoint()
-    kv(db, 1, 90)
+    facts(db, 1, 90)
     db.sync()
-    kv(db, 1, 91)  # committed, never synced: lost in the crash
+    facts(db, 1, 91)  # committed, never synced: lost in the crash
     want = logical_rows(str(tmp_path / "a.db"))
     db.close()
     again = Database(store, "db", str(tmp_path / "b.db"))
     got = logical_rows(str(tmp_path / "b.db"))
-    assert ("k40", "v90") in got["kv"] and ("k41", "v91") not in got["kv"] and ("k41", "v91") in want["kv"]
+    assert ("fact 16", "it is 90") in got["facts"] and ("fact 17", "it is 91") not in got["facts"] and ("fact 17", "it is 91") in want["facts"]
     with pytest.raises(S.InvalidInput):
         again.restore_at(99, str(tmp_path / "x.db"))
     again.close()
@@ -48,9 +48,9 @@ def test_round_trip_and_point_in_time(store, tmp_path):
 
 def test_coalescing_retirement_and_purge(store, tmp_path):
     db = Database(store, "c", str(tmp_path / "c.db"))
-    db.connection.execute("create table kv(k text primary key, v text not null)")
+    db.connection.execute("create table facts(k text primary key, v text not null)")
     for i in range(5):
-        kv(db, 2, 2 * i)
+        facts(db, 2, 2 * i)
         db.checkpoint(coalesce_at=3, purge=True)
         assert len(db.manifest()["segments"]) <= 3
     txid = db.txid
