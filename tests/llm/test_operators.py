@@ -539,8 +539,9 @@ def test_repeats_against_brute_force(spark, seed):
         rows.append((i, " ".join(t), None, None))
     rows += [(500, "same " * 50, None, None), (501, "same " * 50, None, None), (502, "same " * 12, None, None)]
     rng.shuffle(rows)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(docs(spark, rows)).collect()}
-    assert got == _removed(rows)
+    for hot_docs in (2, 5, 10**6):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(docs(spark, rows), hot_docs=hot_docs, block_rows=20).collect()}
+        assert got == _removed(rows), hot_docs
 
 
 def test_automaton_matches_brute_force():
