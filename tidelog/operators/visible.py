@@ -90,8 +90,8 @@ def ancestors(forks: DataFrame) -> DataFrame:
 
 def lineage(forks: DataFrame, roots: DataFrame) -> DataFrame:
     """root, seg, hi, depth: the streams whose events make up each root's history, with the versions below hi that count."""
-    own = roots.select("root", F.col("root").alias("seg"), F.lit(TAIL).alias("hi"), F.lit(0).cast("long").alias("depth"))
-    up = ancestors(forks).select(F.col("child").alias("root"), "seg", (F.col("at") + 1).alias("hi"), F.col("steps").alias("depth"))
+    own = roots.select("root", F.col("root").alias("seg"), F.lit(TAIL).alias("hi"), F.lit(0).alias("depth"))
+    up = ancestors(forks).select(F.col("child").alias("root"), "seg", (F.col("at") + 1).alias("hi"), F.col("steps").cast("int").alias("depth"))
     return own.unionAll(roots.select("root").join(up, "root"))
 
 

@@ -87,7 +87,7 @@ def ruled(spark: SparkSession, d: str) -> EventStore:
 
 RULED = """ev as (select 'user-' || user_id as stream, row_number() over (partition by user_id order by ts, event_id) - 1 as version, event_type, props as data, user_id as u from events),
 users as (select user_id as u, count(*) as n from events group by user_id),
-forks as (select 'fork-' || u as child, 'user-' || u as parent, 10 as at_version from users where u % 3 = 0 and n > 10
+forks as (select 'fork-' || u as child, 'user-' || u as parent, 10::bigint as at_version from users where u % 3 = 0 and n > 10
   union all select 'fork2-' || u, 'fork-' || u, 12 from users where u % 9 = 0 and n > 31),
 alls as (select stream, version, event_type, data from ev
   union all select 'fork-' || u, version - 30 + 11, event_type, data from ev where version >= 30 and u % 3 = 0
@@ -273,7 +273,7 @@ def regions_store(spark: SparkSession, d: str, settings: S.Settings = S.Settings
     return store, nations
 
 
-NAT = "nat as (select 'region-' || n_regionkey as stream, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as version, n_nationkey as key, n_name as name, n_regionkey as region from nation), sizes as (select stream, count(*) as n from nat group by stream)"
+NAT = "nat as (select 'region-' || n_regionkey as stream, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as version, cast(n_nationkey as bigint) as key, n_name as name, n_regionkey as region from nation), sizes as (select stream, count(*) as n from nat group by stream)"
 
 
 def nat(body: str) -> str:
@@ -726,7 +726,7 @@ def new_events(spark, d):
     return store.events_df().select("stream", "version", "event_type", body.alias("name"), F.col("metadata")[0]["value"].cast("string").alias("note"))
 
 
-@query("now_ms", nat("select stream, n, 0 as off from sizes"))
+@query("now_ms", nat("select stream, n, 0::bigint as off from sizes"))
 def now_ms(spark, d):
     """Times come from the clock unless a stream's last is later."""
     now = [NOW]
