@@ -2,14 +2,15 @@
 
 Two entrances. `against` takes a bounded reference (licence lines, a benchmark): it is cut into shards, each shard becomes a suffix automaton, the
 automata are broadcast behind a check of their size, and documents are streamed through them for matching statistics. `remove_repeats` takes
-the corpus as its own reference. That has no size bound and cannot be broadcast, so here each shard stays with the task that owns it and the
+the corpus as its own reference. That has no size bound and cannot be broadcast (README: 5,400 CPU seconds a GB at half a GB, more with every GB), so here each shard stays with the task that owns it and the
 passages travel: every window of `words` words chooses an anchor (its smallest hashed 5-gram), anchors that one document
 alone has are out, and what lies around the others (its windows' words) goes to the anchor's shard. There the passages of documents in
 ascending id feed a suffix automaton that later ones are matched against: where the matching statistic reaches `words`, the words of the match are
 removed. Equal windows choose equal anchors, so no repeat is missed; a match is a run of equal words, so nothing else is removed.
 
 Copies are dealt with before the shuffle: of equal passages in a batch only that of the smallest id travels, and the others are known to
-be repeats, so an anchor that a third of all documents have costs a passage per batch.
+be repeats, so a passage that a third of all documents have costs one per batch. Where very many documents have an anchor, in whatever surroundings, their
+passages are cut into windows that meet by all their words.
 
 Defined results: a null text has no words; a row with a null id counts as the largest id; rows that share an id are one document as far as the
 order goes (none is smaller), and repeated rows are treated alike; whole texts are read. Words are compared by 32-bit hashes in runs of
@@ -132,6 +133,7 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 _ANCHOR = np.dtype([("anchor", "<u8"), ("rid", "<i8")])
+_COUNTED = np.dtype([*_ANCHOR.descr, ("docs", "<u4")])
 
 
 def _packed(keys: np.ndarray, rows: np.ndarray, blocks: int) -> tuple[list[int], list[bytes]]:
@@ -159,27 +161,46 @@ def _anchors(size: int, blocks: int):
             first = np.ones(len(rows), bool)
             first[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
             group = np.cumsum(first) - 1
-            shared = np.bincount(group)[group] > 1
-            keys, packs = _packed(rows["anchor"][first], rows[first], blocks)
+            docs = np.bincount(group)
+            shared = docs[group] > 1
+            heads = np.zeros(len(docs), _COUNTED)
+            heads["anchor"], heads["rid"], heads["docs"] = rows["anchor"][first], rows["rid"][first], docs
+            keys, packs = _packed(heads["anchor"], heads, blocks)
             local = rows[shared]  # known to be shared here: these need no meeting, only a way out
             more, most = _packed(local["rid"].view(_U), local, blocks) if len(local) else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(keys + more, pa.int64()), pa.array([False] * len(keys) + [True] * len(more)), pa.array(packs + most, pa.binary())], ["block", "known", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys + more, pa.int32()), pa.array([False] * len(keys) + [True] * len(more)), pa.array(packs + most, pa.binary())], ["block", "known", "rows"])
 
     return run
 
 
-def _shared_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), _ANCHOR)
-    if not key[1].as_py():
-        rows = np.unique(rows)
-        first = np.ones(len(rows), bool)
-        first[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
-        group = np.cumsum(first) - 1
-        rows = rows[np.bincount(group)[group] > 1]
-    rows = rows[np.argsort(rows["rid"], kind="stable")]
-    cut = _starts(rows["rid"])
-    ends = np.append(cut[1:], len(rows)) if len(rows) else cut
-    return pa.table({"rid": pa.array(rows["rid"][cut].copy(), pa.int64()), "anchors": pa.array([rows["anchor"][a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
+def _shared_anchors(hot_docs: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Documents and their anchors that other documents have too; and, in a row without a document, the anchors that at least hot_docs have."""
+        data, hot = b"".join(table.column("rows").to_pylist()), np.zeros(0, _U)
+        if key[1].as_py():
+            rows = np.frombuffer(data, _ANCHOR)
+        else:
+            heads = np.frombuffer(data, _COUNTED)
+            heads = heads[np.argsort(heads["anchor"], kind="stable")]
+            cut = _starts(heads["anchor"])
+            if len(cut):
+                hot = heads["anchor"][cut][np.add.reduceat(heads["docs"].astype(np.int64), cut) >= hot_docs]
+            rows = np.zeros(len(heads), _ANCHOR)
+            rows["anchor"], rows["rid"] = heads["anchor"], heads["rid"]
+            rows = np.unique(rows)
+            first = np.ones(len(rows), bool)
+            first[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
+            group = np.cumsum(first) - 1
+            rows = rows[np.bincount(group)[group] > 1]
+        rows = rows[np.argsort(rows["rid"], kind="stable")]
+        cut = _starts(rows["rid"])
+        ends = np.append(cut[1:], len(rows)) if len(rows) else cut
+        rids, lists = rows["rid"][cut].tolist(), [rows["anchor"][a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+        if len(hot):
+            rids, lists = [*rids, None], [*lists, hot.tobytes()]
+        return pa.table({"rid": pa.array(rids, pa.int64()), "anchors": pa.array(lists, pa.binary())})
+
+    return run
 
 
 def _entry(size: int) -> np.dtype:
@@ -189,8 +210,11 @@ def _entry(size: int) -> np.dtype:
 _SPAN = np.dtype([("rid", "<i8"), ("first", "<i8"), ("end", "<i8")])
 
 
-def _meetings(size: int, blocks: int):
-    """Passages around shared anchors, for their shards; of equal ones in a batch that of the smallest id, the others being repeats already."""
+def _meetings(size: int, blocks: int, hot):
+    """Passages around shared anchors, for their shards; of equal ones in a batch that of the smallest id, the others being repeats already.
+
+    A hot anchor (one of the broadcast, sorted ones) has passages in many surroundings: there each window is a passage of its own, filed under all its words, so only equal ones meet.
+    """
     kind = _entry(size)
     wide = 2 * size - GRAM
 
@@ -208,6 +232,11 @@ def _meetings(size: int, blocks: int):
                     continue
                 keep = np.concatenate([np.isin(anchor[a:b], lists[lo + d]) for d in range(hi - lo) if (a := np.searchsorted(doc, d)) <= (b := np.searchsorted(doc, d, "right"))])
                 anchor, doc, first, last = anchor[keep], doc[keep], first[keep], last[keep]
+                if len(hot.value) and (many := np.isin(anchor, hot.value)).any():
+                    times = (last - first + 1)[many]
+                    start = np.repeat(first[many], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    anchor = np.concatenate((anchor[~many], mix64(windows(h, size)[start])))
+                    doc, first, last = np.concatenate((doc[~many], np.repeat(doc[many], times))), np.concatenate((first[~many], start)), np.concatenate((last[~many], start))
                 rows = np.zeros(len(anchor), kind)
                 rows["anchor"], rows["doc"], rows["rid"] = anchor, ids[lo:hi][doc], rids[lo:hi][doc]
                 rows["first"], rows["n"] = first - w.first[doc], last - first + size
@@ -230,7 +259,7 @@ def _meetings(size: int, blocks: int):
             spans["rid"], spans["first"], spans["end"] = rows["rid"][repeat], rows["first"][repeat], rows["first"][repeat] + rows["n"][repeat]
             keys, packs = _packed(rows["anchor"][~repeat], rows[~repeat], blocks)
             more, most = _packed(spans["rid"].view(_U), spans, blocks) if len(spans) else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(keys + more, pa.int64()), pa.array([False] * len(keys) + [True] * len(more)), pa.array(packs + most, pa.binary())], ["block", "known", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys + more, pa.int32()), pa.array([False] * len(keys) + [True] * len(more)), pa.array(packs + most, pa.binary())], ["block", "known", "rows"])
 
     return run
 
@@ -314,20 +343,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", most: int = 1_000_000) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the remaining words joined by single spaces) of every row, against all rows of smaller id."""
-    spark = docs.sparkSession
+def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000, block_rows: int = 2_000, hot_docs: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the remaining words joined by single spaces) of every row, against all rows of smaller id.
+
+    A block holds the passages of about block_rows rows; anchors of hot_docs documents or more (2,000 or a 10,000th of all) are split by window; ids of documents that share something are broadcast up to `most` of them.
+    """
     base = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = base.mapInArrow(streamed(_anchors(words, blocks)), "block long, known boolean, rows binary")
-    shared = packed.groupBy("block", "known").applyInArrow(_shared_anchors, "rid long, anchors binary")
-    shared = settle(shared.groupBy("rid").agg(F.collect_list("anchors").alias("anchors")), "substrings-anchors")
+    rows = base.count()
+    hot_docs = hot_docs or max(2_000, rows // 10_000)
+    blocks = max(8, -(-rows // block_rows))  # a task each, as many as the input asks for, so none grows with it
+    packed = base.mapInArrow(streamed(_anchors(words, blocks)), "block int, known boolean, rows binary")
+    shared = packed.repartitionById(blocks, F.col("block")).groupBy("block", "known").applyInArrow(_shared_anchors(hot_docs), "rid long, anchors binary")
+    every = settle(shared.repartition(blocks, "rid").groupBy("rid").agg(F.collect_list("anchors").alias("anchors")), "substrings-anchors")
+    hot = every.where("rid is null").select("anchors").toArrow().column(0).to_pylist()  # one row: at most 10,000 times the anchors of a mean document, 8 bytes each
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(x for row in hot for x in row), _U)))
+    shared = every.where("rid is not null")
     few = shared.select("rid")
     n = few.count()
     held = base.join(F.broadcast(few), "rid", "left_semi") if n <= most else base
-    meeting = held.join(shared, "rid").select("rid", "doc_id", "text", "anchors").mapInArrow(streamed(_meetings(words, blocks)), "block long, known boolean, rows binary")
-    spans = meeting.groupBy("block", "known").applyInArrow(_resolved(words), "rid long, spans binary")
-    spans = settle(spans.groupBy("rid").agg(F.collect_list("spans").alias("spans")), "substrings-spans")
+    meeting = held.repartition(blocks, "rid").join(shared.repartition(blocks, "rid"), "rid").select("rid", "doc_id", "text", "anchors").mapInArrow(streamed(_meetings(words, blocks, hot)), "block int, known boolean, rows binary")
+    spans = meeting.repartitionById(blocks, F.col("block")).groupBy("block", "known").applyInArrow(_resolved(words), "rid long, spans binary")
+    spans = settle(spans.repartition(blocks, "rid").groupBy("rid").agg(F.collect_list("spans").alias("spans")), "substrings-spans")
     hit = spans.select("rid")
     schema = "doc_id long, n_words long, n_removed long, kept string"
     if hit.count() <= most:
@@ -338,10 +374,11 @@ def remove_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", tex
     return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(streamed(_cut), schema)
 
 
-def against(docs: DataFrame, reference: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", ref_col: str = "text", shard_words: int = 100_000, most_words: int = 2_000_000) -> DataFrame:
+def against(docs: DataFrame, reference: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", ref_col: str = "text", shard_words: int = 100_000, most_words: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept: words of maximal spans of at least `words` words that some reference text has are removed.
 
-    The reference may have most_words words at most (checked); its automata are broadcast shard by shard, shard_words words each.
+    The reference may have most_words words at most (checked): an automaton takes about 360 bytes a word in each Python worker, so 72 MB by
+    default. The automata are broadcast shard by shard, shard_words words each.
     """
     texts = [r[0] for r in reference.select(F.col(ref_col).cast("string")).where(F.col(ref_col).isNotNull()).limit(most_words + 1).toLocalIterator()]
     tokens = [t.encode().split() for t in texts]
