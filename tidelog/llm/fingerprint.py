@@ -123,7 +123,8 @@ def _ranges(ids: DataFrame, bucket_rows: int, most_ranges: int) -> list[tuple[in
     cuts = sorted((k, i * 2**60 // m) for k, m in times.items() for i in range(m))
     # a range begins with its least row; ranges that got none are left out
     hot = any(m > 1 for m in times.values())
-    rows = ids if hot else ids.where(F.col("k").isin(list(times)) if len(times) < 1_000 else F.array_contains(F.lit(sorted(times)).cast("array<bigint>"), F.col("k")))
+    held = ids.sparkSession.createDataFrame([(k,) for k in times], "k long")
+    rows = ids if hot else ids.join(F.broadcast(held), "k", "left_semi")  # most_ranges rows at most
     firsts = rows.groupBy(_last_at_most(cuts, F.col("k"), F.col("h")).alias("b")).agg(F.min(F.struct("k", "h")).alias("f"))
     return sorted((r["f"]["k"], r["f"]["h"]) for r in firsts.collect())
 
