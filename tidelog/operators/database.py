@@ -12,21 +12,22 @@ import sqlite3
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.functions import pages
 from tidelog.schema import ANY, Encoding, InvalidInput, NewEvent, exact
+from tidelog.session import settle
 from tidelog.sources.store import EventStore
 from tidelog.sources.wal import Cursor, Delta, tail
 
 CHUNK = 512 << 10
 #: Fixed value: how a zstd frame begins.
 ZSTD = b"\x28\xb5\x2f\xfd"
-_PAGES = pa.schema([("db", pa.string()), ("txid", pa.int64()), ("frame_idx", pa.int32()), ("pgno", pa.int64()), ("data", pa.binary())])
 LOG = "db string, txid long, frame_idx int, pgno long, data binary"
 
 
@@ -84,6 +85,18 @@ def delta_events(event_type: str, data: bytes) -> list[tuple[int, Delta]]:
         return []
 
 
+def _unpacked(db: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*(x.split()[0] for x in LOG.split(", ")), "page_size", "db_size"]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+        for batch in batches:
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows = [(db, txid, i, p, raw, d.page_size, d.db_size) for txid, d in delta_events(kind, data) for i, (p, raw) in enumerate(d.frames)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
+
+    return run
+
+
 def folded(deltas: list[Delta]) -> Delta:
     """One transaction with the newest copy of each page and the last one's sizes."""
     newest = {p: data for d in deltas for p, data in d.frames}
@@ -131,15 +144,13 @@ class Database:
         return len(chunks)
 
     def _backlog(self, lo: int, hi: int | None = None) -> tuple[DataFrame, int, tuple[int, int], int | None]:
-        """Page log of the events from lo on, transactions up to hi; the last txid, its sizes and the last event's version."""
-        rows, last, sizes, version = [], 0, (0, 0), None
-        for e in self.store.read_history(self.name, lo).toLocalIterator():
-            version = e["version"]
-            for txid, d in delta_events(e["event_type"], bytes(e["data"])):
-                if hi is None or txid <= hi:
-                    rows += [(self.name, txid, i, p, data) for i, (p, data) in enumerate(d.frames)]
-                    last, sizes = txid, (d.page_size, d.db_size)
-        return self.store.spark.createDataFrame(rows, LOG), last, sizes, version
+        """Page log of the events from lo on, transactions up to hi; the last txid, its sizes and the last event's version. Events are unpacked by executors, so no page passes the driver."""
+        events = self.store.read_history(self.name, lo).select("version", "event_type", "data")
+        version = events.agg(F.max("version")).first()[0]
+        found = settle(events.mapInArrow(_unpacked(self.name), f"{LOG}, page_size int, db_size long"), "database-backlog")
+        log = found if hi is None else found.where(F.col("txid") <= hi)
+        last = log.agg(F.max(F.struct("txid", "page_size", "db_size")).alias("l")).first()["l"]
+        return log.drop("page_size", "db_size"), last["txid"] if last else 0, (last["page_size"], last["db_size"]) if last else (0, 0), version
 
     def _image(self, target: int | None) -> tuple[DataFrame, int, tuple[int, int]]:
         m, snapshot = self.manifest(), self.store.latest_snapshot(self.name)
@@ -202,10 +213,9 @@ class Database:
         return record
 
     def _seal(self, image: DataFrame, first: int, last: int, sizes: tuple[int, int]) -> dict:
-        name, out = f"segments/{uuid.uuid4().hex}.parquet", pa.BufferOutputStream()
-        rows = [{"db": self.name, "txid": r["txid"], "frame_idx": 0, "pgno": r["pgno"], "data": bytes(r["data"])} for r in image.orderBy("pgno").toLocalIterator()]
-        pq.write_table(pa.Table.from_pylist(rows, _PAGES), out, compression="zstd")
-        self.store.log.blobs.put(name, out.getvalue().to_pybytes())
+        name = f"segments/{uuid.uuid4().hex}.parquet"
+        rows = image.select(F.lit(self.name).alias("db"), "txid", F.lit(0).alias("frame_idx"), "pgno", "data")
+        rows.repartitionByRange("pgno").sortWithinPartitions("pgno").write.parquet(f"{self.store.log.root}/{name}", compression="zstd")
         return {"path": name, "txid_start": first, "txid_end": last, "page_size": sizes[0], "db_size": sizes[1]}
 
     def close(self) -> None:
