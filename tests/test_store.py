@@ -301,16 +301,35 @@ def test_writers_of_other_streams_do_not_conflict(spark, store):
     def write(i):
         mine = EventStore(spark, store.log.root)
         try:
-            for k in range(5):
+            for k in range(12):
                 mine.append(f"lane{i}", NO_STREAM if k == 0 else exact(k - 1), events(str(k)))
         except S.StoreError as e:
             errors.append(e)
 
-    threads = [threading.Thread(target=write, args=(i,)) for i in range(3)]
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(6)]
     [t.start() for t in threads]
     [t.join() for t in threads]
-    assert not errors and [store.stream_version(f"lane{i}") for i in range(3)] == [4] * 3
-    assert sorted(r["global_seq"] for r in store.events_df().collect()) == list(range(1, 16))
+    assert not errors and [store.stream_version(f"lane{i}") for i in range(6)] == [11] * 6
+    assert sorted(r["global_seq"] for r in store.events_df().collect()) == list(range(1, 73))
+
+
+def test_a_writer_that_always_loses_gives_up(spark, store, monkeypatch):
+    """Every time it has read the log, another writer of its stream is quicker; one of another stream does not count."""
+    other = EventStore(spark, store.log.root)
+    stream, publish, n = ["busy"], store.log.publish, [0]
+
+    def late(position, commit, durable=True):
+        n[0] += 1
+        if n[0] <= 30:
+            other.append(stream[0], ANY, events("first"))
+        return publish(position, commit, durable)
+
+    monkeypatch.setattr(store.log, "publish", late)
+    with pytest.raises(S.VersionConflict) as e:
+        store.append("busy", ANY, events("late"))
+    assert n[0] == S.MAX_RETRIES + 1 and e.value.stream == "busy"
+    stream[0], n[0] = "elsewhere", 0
+    assert store.append("busy", ANY, events("late")).first_version == S.MAX_RETRIES + 1 and n[0] == 31
 
 
 def test_bulk_appends_go_on_from_the_tails(store, spark):

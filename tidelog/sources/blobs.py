@@ -6,7 +6,7 @@ import os
 import shutil
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -73,8 +73,7 @@ class Blobs:
 
     def _write(self, name: str, raw: bytes, durable: bool) -> None:
         if not self.hadoop:
-            os.makedirs(os.path.dirname(self.at(name)), exist_ok=True)
-            with open(self.at(name), "wb") as f:
+            with self._in_folder(name, lambda at: open(at, "wb")) as f:
                 f.write(raw)
                 if durable:
                     f.flush()
@@ -87,6 +86,14 @@ class Blobs:
         finally:
             out.close()
 
+    def _in_folder(self, name: str, do: Callable[[str], object]):
+        """do at the name's place; its folder is made if that is why it fails."""
+        try:
+            return do(self.at(name))
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(self.at(name)), exist_ok=True)
+            return do(self.at(name))
+
     def put(self, name: str, raw: bytes, durable: bool = True) -> None:
         """Readers see the old file or the whole new one."""
         with self.meter("put") as row:
@@ -94,8 +101,7 @@ class Blobs:
             temporary = f"_staging/{uuid.uuid4().hex}"
             self._write(temporary, raw, durable)
             if not self.hadoop:
-                os.makedirs(os.path.dirname(self.at(name)), exist_ok=True)
-                os.replace(self.at(temporary), self.at(name))
+                self._in_folder(name, lambda at: os.replace(self.at(temporary), at))
                 return
             self._rename(temporary, name, "OVERWRITE")
 
@@ -108,8 +114,7 @@ class Blobs:
             if self.hadoop:
                 return self._rename(temporary, name, "NONE")
             try:
-                os.makedirs(os.path.dirname(self.at(name)), exist_ok=True)
-                os.link(self.at(temporary), self.at(name))
+                self._in_folder(name, lambda at: os.link(self.at(temporary), at))
                 return True
             except FileExistsError:
                 return False

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import tempfile
 import time
 import uuid
@@ -166,21 +167,35 @@ class EventStore(_Reads):
 
     # -- writing ---------------------------------------------------------------------------------
 
-    def _commit(self, build: Callable[[State], tuple[dict, object]], durable: bool = True) -> object:
-        """Publish what build makes of the current state; on a collision read the winner and build again."""
+    def _commit(self, build: Callable[[State], tuple[dict, object]], durable: bool = True, patience: int = 10_000) -> object:
+        """Publish what build makes of the current state; on a collision read the winner and build again.
+
+        A winner that wrote other streams is no conflict: some writer gets on with each collision. Lost MAX_RETRIES times to writers of the same streams, or `patience` times to any (builds that run jobs have little), it gives up.
+        """
         if durable:
             self.flush()  # a commit is not durable before those it stands on
-        for _ in range(S.MAX_RETRIES + 1):
+        lost = tries = 0
+        while True:
             state = self._sync()
             commit, result = build(state)
-            position = state.position
+            position, seen = state.position, {s: state.tails.get(s) for s in commit.get("tails", {})}
             if self.log.publish(position, commit, durable):
-                if not durable:
-                    self.loose += [f"_commits/{position:020}.json", *[n for n, _ in commit.get("files", [])]]
-                if self._sync().position // self.settings.checkpoint_every > position // self.settings.checkpoint_every:
-                    self.log.save(self.state)
-                return result
-        raise S.VersionConflict("the log", "no other writer", state.position)
+                break
+            if any(self._sync().tails.get(s) != tail for s, tail in seen.items()):
+                lost += 1
+                if lost > S.MAX_RETRIES:
+                    stream = next(s for s, tail in seen.items() if state.tails.get(s) != tail)
+                    raise S.VersionConflict(stream, "no other writer", state.tails[stream][0])
+            tries += 1
+            if tries > patience:
+                raise S.VersionConflict("the log", "no other writer", position)
+            time.sleep(random.random() * 0.001 * min(32, 2**tries))
+        if not durable:
+            self.loose += [f"_commits/{position:020}.json", *[n for n, _ in commit.get("files", [])]]
+        state.apply(commit)  # as it is read back; what others add is seen by the next call
+        if state.position // self.settings.checkpoint_every > position // self.settings.checkpoint_every:
+            self.log.save(state)
+        return result
 
     def _plan(self, state: State, ops: list[tuple]) -> tuple[list[dict], dict, list[S.CommitInfo]]:
         """Rows, the commit's control part and the results of ops in order; later ops see earlier ones."""
@@ -287,7 +302,7 @@ class EventStore(_Reads):
             ends = self.spark.read.parquet(f"{self.log.root}/{name}").groupBy("stream").agg(F.max("version"), F.max("ts_ms"))
             return {"seq": state.seq + n, "tails": {r[0]: (r[1], r[2]) for r in ends.toLocalIterator()}, "files": [[name, None]]}, n
 
-        return self._commit(build)
+        return self._commit(build, patience=S.MAX_RETRIES)
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -340,7 +355,7 @@ class EventStore(_Reads):
             held = None if any(names[n] is None for n in old) else sorted({x for n in old for x in names[n]})
             return {"files": [[kept, held]], "removed": old, "replaces": {kept: old}}, count
 
-        return self._commit(build)
+        return self._commit(build, patience=S.MAX_RETRIES)
 
     def merge_files(self, least: int = 2) -> int:
         """Rewrite the files of single appends as one sorted table, as many small files make reads slow; how many were merged. Shadowed versions stay."""
@@ -353,7 +368,7 @@ class EventStore(_Reads):
             self._files(names).repartitionByRange("stream", "version").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{name}", compression=self.settings.compression)
             return {"files": [[name, None]], "removed": names, "replaces": {name: names}}, len(names)
 
-        return self._commit(build)
+        return self._commit(build, patience=S.MAX_RETRIES)
 
     def vacuum(self) -> int:
         """Delete data files that purges and merges have replaced; followers find merged events in the files that replace them."""
