@@ -12,7 +12,7 @@ import sqlite3
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import pages
-from tidelog.schema import ANY, Encoding, InvalidInput, NewEvent, exact
+from tidelog.schema import ANY, MAX_RECORDS, Encoding, InvalidInput, NewEvent, exact
 from tidelog.session import settle
 from tidelog.sources.store import EventStore
 from tidelog.sources.wal import Cursor, Delta, tail
@@ -43,17 +43,30 @@ def unpack(data: bytes) -> bytes:
         raise Encoding(str(e)) from e
 
 
-def encode(deltas: list[tuple[int, Delta]]) -> list[bytes]:
-    """Transactions in chunks of about CHUNK bytes before compression; one is never split."""
-    out, parts, size = [], [], 0
+def chunks(deltas: Iterable[tuple[int, Delta]]) -> Iterator[tuple[bytes, bool]]:
+    """Transactions in chunks of about CHUNK bytes before compression, and whether a transaction ends with the chunk.
+
+    One that is larger travels in parts under one txid, each a chunk of its own with other pages: of a page that it wrote again only the last copy, as no reader can see the ones before.
+    """
+    parts, size = [], 0
     for txid, d in deltas:
-        raw = struct.pack(">QIII", txid, d.page_size, d.db_size, len(d.frames)) + b"".join(struct.pack(">I", p) + data for p, data in d.frames)
-        if parts and size + len(raw) > CHUNK:
-            out.append(pack(b"".join(parts)))
-            parts, size = [], 0
-        parts.append(raw)
-        size += len(raw)
-    return [*out, pack(b"".join(parts))] if parts else out
+        frames, most = d.frames, max(1, CHUNK // (d.page_size + 4))
+        if len(frames) > most:
+            frames = folded([d]).frames
+        for lo in range(0, len(frames) or 1, most):
+            some = frames[lo : lo + most]
+            raw = struct.pack(">QIII", txid, d.page_size, d.db_size, len(some)) + b"".join(struct.pack(">I", p) + data for p, data in some)
+            if parts and size + len(raw) > CHUNK:
+                yield pack(b"".join(parts)), lo == 0
+                parts, size = [], 0
+            parts.append(raw)
+            size += len(raw)
+    if parts:
+        yield pack(b"".join(parts)), True
+
+
+def encode(deltas: Iterable[tuple[int, Delta]]) -> list[bytes]:
+    return [data for data, _ in chunks(deltas)]
 
 
 def decode(data: bytes) -> list[tuple[int, Delta]]:
@@ -135,13 +148,24 @@ class Database:
             return 0
         last = self.txid + len(found)
         numbered = [(last, folded(found))] if coalesce else list(enumerate(found, self.txid + 1))
-        chunks = encode(numbered)
-        expected = ANY if self.tail is None else exact(self.tail)
-        for lo in range(0, len(chunks), 1000):
-            info = self.store.append_with_token(self.name, expected, [NewEvent("txb", c) for c in chunks[lo : lo + 1000]], self.token)
-            expected, self.tail = exact(info.last_version), info.last_version
+        events, n = [], 0
+        for data, ends in chunks(numbered):
+            events.append(NewEvent("txb", data))
+            if ends and len(events) >= MAX_RECORDS:
+                n += self._ship(events)
+                events = []
+        n += self._ship(events)
         self.cursor, self.txid, self.header = cursor, last, (found[-1].page_size, found[-1].db_size)
-        return len(chunks)
+        return n
+
+    def _ship(self, events: list[NewEvent]) -> int:
+        """One commit, however many batches it takes, so that all parts of a transaction are there or none."""
+        if events:
+            expected, commit = ANY if self.tail is None else exact(self.tail), self.store.transaction()
+            for lo in range(0, len(events), MAX_RECORDS):
+                commit.append(self.name, expected if lo == 0 else ANY, events[lo : lo + MAX_RECORDS], self.token)
+            self.tail = commit.commit()[-1].last_version
+        return len(events)
 
     def _backlog(self, lo: int, hi: int | None = None) -> tuple[DataFrame, int, tuple[int, int], int | None]:
         """Page log of the events from lo on, transactions up to hi; the last txid, its sizes and the last event's version. Events are unpacked by executors, so no page passes the driver."""

@@ -7,8 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle_rows(spark: SparkSession, found: Iterable[tuple], ddl: str, name: str, n: int = 50_000) -> DataFrame:
+    """The driver's rows as a table in the shared folder, n of them a file, so that no more than that are held at once; it stays as one of settle's does."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from tidelog.sources.blobs import Blobs
+
+    schema, rest, k = to_arrow_schema(StructType.fromDDL(ddl)), iter(found), 0
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    blobs = Blobs(spark, path)
+    while (some := list(islice(rest, n))) or not k:
+        columns, out = zip(*some, strict=True) if some else [()] * len(schema), pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema), out, compression="zstd")
+        blobs.put(f"{k:08}.parquet", out.getvalue().to_pybytes(), durable=False)
+        k += 1
+    out = spark.read.schema(ddl).parquet(path)
+    out.settled_at = path
+    _scratches[-1].append(path) if _scratches else None
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -138,8 +138,8 @@ class Transaction:
     def __init__(self, store: EventStore):
         self.store, self.ops = store, []
 
-    def append(self, stream: str, expected: S.Expected, events: list[S.NewEvent]) -> Transaction:
-        self.ops.append(("append", stream, None, expected, events, None, True))
+    def append(self, stream: str, expected: S.Expected, events: list[S.NewEvent], token: str | None = None) -> Transaction:
+        self.ops.append(("append", stream, None, expected, events, token, True))
         return self
 
     def fence(self, stream: str, token: str | None) -> Transaction:
