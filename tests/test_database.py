@@ -93,7 +93,8 @@ def test_codec(deltas):
         decode(b"\x00")
 
 
-def test_a_transaction_larger_than_a_record(store, tmp_path, monkeypatch):
+@pytest.mark.parametrize("coalesce", [False, True])
+def test_a_transaction_larger_than_a_record(store, tmp_path, monkeypatch, coalesce):
     """Its parts, more than a batch takes, come in one commit under one number, between transactions that share chunks; points in time hold on both sides."""
     monkeypatch.setattr("tidelog.operators.database.MAX_RECORDS", 2)
     db = Database(store, "large", str(tmp_path / "a.db"))
@@ -103,7 +104,7 @@ def test_a_transaction_larger_than_a_record(store, tmp_path, monkeypatch):
     before, commits = db.txid, store.state.position
     db.connection.execute("with recursive n(i) as (values(1) union all select i + 1 from n where i < 40) insert into t select i, randomblob(90000) from n")
     db.connection.execute("insert into t values (99, x'01')")
-    assert db.sync() > 6 and store.state.position == commits + 1
+    assert db.sync(coalesce=coalesce) > 6 and store.state.position == commits + 1
     want = logical_rows(str(tmp_path / "a.db"))
     assert len(want["t"]) == 42
     assert db.restore_at(db.txid, str(tmp_path / "b.db")) == before + 2 and logical_rows(str(tmp_path / "b.db")) == want
