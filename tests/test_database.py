@@ -109,6 +109,12 @@ def test_a_transaction_larger_than_a_record(store, tmp_path, monkeypatch, coales
     assert len(want["t"]) == 42
     assert db.restore_at(db.txid, str(tmp_path / "b.db")) == before + 2 and logical_rows(str(tmp_path / "b.db")) == want
     assert db.restore_at(before, str(tmp_path / "c.db")) == before and len(logical_rows(str(tmp_path / "c.db"))["t"]) == 1
+    db.checkpoint()
+    first = db.manifest()["segments"][0]
+    db.connection.execute("update t set v = randomblob(90000)")
+    db.checkpoint()
+    want = logical_rows(str(tmp_path / "a.db"))
+    assert [(s["txid_start"], s["txid_end"]) for s in db.manifest()["segments"]] == [(1, first["txid_end"]), (before + 3, before + 3)]
     db.checkpoint(purge=True)
     db.close()
     Database(store, "large", str(tmp_path / "d.db")).close()
