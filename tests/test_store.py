@@ -383,3 +383,27 @@ def test_closing_stops_queries(spark, store, tmp_path):
     store.append_lazy("s", ANY, events("b"))
     store.close()
     assert not q.isActive and seen[:1] == [0] and not store.loose
+
+
+def test_many_streams_are_purged_by_one_rewrite(spark, monkeypatch):
+    """As one by one, with and without a broadcast: pins of living children, floors of zero, unknown streams and files of single appends; one new file, and followers find the rest."""
+    def filled():
+        store = EventStore.open_in_memory(spark, lambda: 5)
+        store.append_many(spark.range(600).selectExpr("concat('s-', id % 120) as stream", "'x' as event_type", "cast(id as string) as data", "id as ord"))
+        store.append("s-1", S.ANY, [S.NewEvent("x", b"late")])
+        store.append("other", S.ANY, [S.NewEvent("x", b"kept")])
+        store.fork("s-2", 1, "child")
+        return store
+
+    floors = {f"s-{k}": k % 4 for k in range(110)} | {"s-1": 6, "s-2": 3, "none": 9}
+    seen = lambda store: sorted((r["stream"], r["version"], bytes(r["data"]), r["global_seq"]) for r in store.events_df().collect())
+    for limit in (100_000, 3):
+        monkeypatch.setattr("tidelog.sources.store.BROADCAST_SPANS", limit)
+        store = filled()
+        before, position, n = seen(store), store.state.position, len(store.state.files)
+        gone = {(s, v) for s, v, _, _ in before if v < floors.get(s, 0) and not (s == "s-2" and v <= 1)}
+        assert store.purge_many(floors) == len(gone) and store.state.position == position + 1
+        assert seen(store) == [r for r in before if r[:2] not in gone] and len(store.state.files) == n - 1
+        assert seen(EventStore(spark, store.log.root)) == seen(store) and store.purge_many({}) == 0 and store.purge_many(floors) == 0
+    one = filled()
+    assert sum(one.purge_below(s, floors[s]) for s in ("s-1", "s-2", "s-3")) == 6 + 1 + 3

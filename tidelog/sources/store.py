@@ -18,6 +18,8 @@ from tidelog.sources.commitlog import CommitLog, State
 
 #: Parts that streams are dealt over when a bulk append numbers its rows.
 PARTS = 1024
+#: Streams whose floors a purge sends to every executor; beyond it the floors are joined by a shuffle.
+BROADCAST_SPANS = 100_000
 
 
 def _id(ms: int) -> str:
@@ -336,22 +338,31 @@ class EventStore(_Reads):
         return self._commit(build)
 
     def purge_below(self, stream: str, floor: int) -> int:
-        """Delete versions below floor that no living child pins, by rewriting the files that hold them; the time index keeps its entries."""
+        """Delete versions below floor that no living child pins; see purge_many."""
+        return self.purge_many({stream: floor})
+
+    def purge_many(self, floors: dict[str, int]) -> int:
+        """Delete of each stream the versions below its floor that no living child pins, by one rewrite of the files that hold them; how many. The time index keeps its entries."""
 
         def build(state: State) -> tuple[dict, object]:
-            lo = state.pins().get(stream, -1) + 1
-            names = {n: held for n, held in state.files.items() if held is None or stream in held}
-            if not names or lo >= floor:
+            pins = state.pins()
+            spans = [(s, lo, floor) for s, floor in floors.items() if (lo := pins.get(s, -1) + 1) < floor]
+            wanted = {s for s, _, _ in spans}
+            names = {n: held for n, held in state.files.items() if held is None or not wanted.isdisjoint(held)}
+            if not names or not spans:
                 return {}, 0
-            gone = (F.col("stream") == stream) & (F.col("version") >= lo) & (F.col("version") < floor)
-            hit = self._files(names).where(gone)
+            bounds = self.spark.createDataFrame(spans, "__stream string, __lo long, __floor long")
+            bounds = F.broadcast(bounds) if len(spans) <= BROADCAST_SPANS else bounds
+            gone = (F.col("stream") == F.col("__stream")) & (F.col("version") >= F.col("__lo")) & (F.col("version") < F.col("__floor"))
+            low = F.col("version") < max(floor for _, _, floor in spans)
+            hit = self._files(names).where(low & F.col("stream").isin(list(wanted)) if len(wanted) <= 100 else low).join(bounds, gone)
             paths = [r[0] for r in hit.select(F.col("_metadata.file_path")).distinct().toLocalIterator()]
-            old = [n for n in names if any(n in p for p in paths)]
+            old = sorted({"data/" + p.rpartition("/data/")[2].split("/")[0] for p in paths})
             if not old:
                 return {}, 0
-            count = hit.select("version").distinct().count()
+            count = hit.select("stream", "version").distinct().count()
             kept = f"data/{uuid.uuid4().hex}.parquet"
-            self._files(old).where(~gone).sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{kept}", compression=self.settings.compression)
+            self._files(old).join(bounds, gone, "left_anti").sortWithinPartitions("stream", "version").write.parquet(f"{self.log.root}/{kept}", compression=self.settings.compression)
             held = None if any(names[n] is None for n in old) else sorted({x for n in old for x in names[n]})
             return {"files": [[kept, held]], "removed": old, "replaces": {kept: old}}, count
 
