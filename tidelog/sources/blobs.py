@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 
 from tidelog.schema import Backend
 
+#: Bytes of a remote file that are read at a time.
+PIECE = 4 << 20
+
 
 @dataclass
 class Meter:
@@ -71,20 +76,49 @@ class Blobs:
             row[1] += len(raw or b"")
             return raw
 
-    def _write(self, name: str, raw: bytes, durable: bool) -> None:
+    @contextmanager
+    def opened(self, name: str) -> Iterator[BinaryIO]:
+        """The file, to be read in parts; a remote one is first copied to the driver's disk, a piece at a time."""
+        with self.meter("get") as row:
+            if not self.hadoop:
+                try:
+                    f = open(self.at(name), "rb")
+                except FileNotFoundError as e:
+                    raise Backend(f"{name} is missing") from e
+            else:
+                path, fs = self._fs()
+                if not fs.exists(path(self.at(name))):
+                    raise Backend(f"{name} is missing")
+                f, stream = tempfile.TemporaryFile(prefix="tidelog-"), fs.open(path(self.at(name)))
+                try:
+                    while raw := bytes(stream.readNBytes(PIECE)):
+                        f.write(raw)
+                finally:
+                    stream.close()
+            row[1] += f.seek(0, os.SEEK_END)
+            f.seek(0)
+        with f:
+            yield f
+
+    def _write(self, name: str, pieces: Iterable[bytes], durable: bool) -> int:
+        n = 0
         if not self.hadoop:
             with self._in_folder(name, lambda at: open(at, "wb")) as f:
-                f.write(raw)
+                for raw in pieces:
+                    n += f.write(raw)
                 if durable:
                     f.flush()
                     os.fsync(f.fileno())
-            return
+            return n
         path, fs = self._fs()
         out = fs.create(path(self.at(name)), True)
         try:
-            out.write(bytearray(raw))
+            for raw in pieces:
+                out.write(bytearray(raw))
+                n += len(raw)
         finally:
             out.close()
+        return n
 
     def _in_folder(self, name: str, do: Callable[[str], object]):
         """do at the name's place; its folder is made if that is why it fails."""
@@ -94,12 +128,11 @@ class Blobs:
             os.makedirs(os.path.dirname(self.at(name)), exist_ok=True)
             return do(self.at(name))
 
-    def put(self, name: str, raw: bytes, durable: bool = True) -> None:
-        """Readers see the old file or the whole new one."""
+    def put(self, name: str, raw: bytes | Iterable[bytes], durable: bool = True) -> None:
+        """The file's content, or pieces of it. Readers see the old file or the whole new one."""
         with self.meter("put") as row:
-            row[1] += len(raw)
             temporary = f"_staging/{uuid.uuid4().hex}"
-            self._write(temporary, raw, durable)
+            row[1] += self._write(temporary, [raw] if isinstance(raw, bytes) else raw, durable)
             if not self.hadoop:
                 self._in_folder(name, lambda at: os.replace(self.at(temporary), at))
                 return
@@ -110,7 +143,7 @@ class Blobs:
         with self.meter("create") as row:
             row[1] += len(raw)
             temporary = f"_staging/{uuid.uuid4().hex}"
-            self._write(temporary, raw, durable)
+            self._write(temporary, [raw], durable)
             if self.hadoop:
                 return self._rename(temporary, name, "NONE")
             try:

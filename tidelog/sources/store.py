@@ -63,11 +63,11 @@ class _Reads:
         }[name]
         return self.spark.createDataFrame(rows, ddl)
 
-    def _guarded(self, streams: list[str], lo: int, hi: int) -> DataFrame:
-        """Guards as literals: a call names few streams, so the tables need no join, and an absent guard costs nothing."""
+    def _guarded(self, streams: list[str], lo: int, hi: int, ordered: bool = False) -> DataFrame:
+        """Guards as literals: a call names few streams, so the tables need no join, and an absent guard costs nothing. Ordered: dealt by ranges of versions, so that an order by version moves no data again."""
         s = self._sync()
         df = visible.in_range(self.events_df(streams), lo, hi)
-        df = visible.lww(df)
+        df = visible.lww(df.repartitionByRange("version") if ordered else df)
         pins = s.pins()
         for name in streams:
             here = F.col("stream") == name
@@ -83,7 +83,7 @@ class _Reads:
         return df
 
     def read_stream(self, stream: str, lo: int = 0, hi: int = S.TAIL) -> DataFrame:
-        return self._guarded([stream], lo, hi).orderBy("version")
+        return self._guarded([stream], lo, hi, ordered=True).orderBy("version")
 
     def lineage(self, stream: str) -> list[tuple[str, int]]:
         """(segment stream, upper end) from the oldest ancestor to the stream itself."""
@@ -100,6 +100,8 @@ class _Reads:
     def read_history(self, stream: str, lo: int = 0, hi: int = S.TAIL) -> DataFrame:
         """The history through forks; each segment under its own guards; the parent's copy of a version first."""
         chain = self.lineage(stream)
+        if len(chain) == 1:
+            return self._guarded([stream], lo, hi, ordered=True).orderBy("version")
         df = self._guarded([name for name, _ in chain], lo, hi)
         keep, depth = F.lit(False), F.lit(0)
         for i, (name, end) in enumerate(chain):
