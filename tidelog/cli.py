@@ -15,6 +15,7 @@ import argparse
 import json
 import os
 import time
+from typing import TextIO
 
 from tidelog.operators.volume import Mirror, Replica, Volume, verify
 from tidelog.session import local_session
@@ -54,29 +55,30 @@ def churn(volume: Volume, rounds: int, files: int = 50) -> dict:
     return verify(again) | {"same": again.image.nodes == volume.image.nodes, "ms": {k: round(v, 1) for k, v in spent.items()}}
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, out: TextIO | None = None) -> int:
+    """out: where the answers go, standard output if it is not given."""
     args = arguments(argv)
     root = os.environ["TIDELOG_ROOT"] if args.root == "-" else args.root
     spark = local_session()
     if args.command == "streams":
-        print("\n".join(EventStore(spark, root).list_streams()))
+        print("\n".join(EventStore(spark, root).list_streams()), file=out)
     elif args.command == "churn":
-        print(json.dumps(churn(Volume(EventStore(spark, root), args.rest[0]), args.rounds)))
+        print(json.dumps(churn(Volume(EventStore(spark, root), args.rest[0]), args.rounds)), file=out)
     elif args.command == "checkpoint":
-        print(json.dumps(Volume(EventStore(spark, root), args.rest[0]).checkpoint()))
+        print(json.dumps(Volume(EventStore(spark, root), args.rest[0]).checkpoint()), file=out)
     elif args.command == "verify":
-        print(json.dumps(verify(Replica(EventStoreReader(spark, root), args.rest[0]))))
+        print(json.dumps(verify(Replica(EventStoreReader(spark, root), args.rest[0]))), file=out)
     else:
         replica = Replica(EventStoreReader(spark, root), args.rest[0])
         mirror = Mirror(replica, args.rest[1])
-        print(json.dumps(mirror.materialize()), flush=True)
+        print(json.dumps(mirror.materialize()), file=out, flush=True)
         while args.follow:
             time.sleep(args.interval_ms / 1000)
             try:
                 if replica.sync():
-                    print(json.dumps(mirror.materialize()), flush=True)
+                    print(json.dumps(mirror.materialize()), file=out, flush=True)
             except Exception as e:
-                print(f"sync failed, will retry: {e}", flush=True)
+                print(f"sync failed, will retry: {e}", file=out, flush=True)
     return 0
 
 
