@@ -79,6 +79,10 @@ class Blobs:
 
     @contextmanager
     def opened(self, name: str) -> Iterator[BinaryIO]:
+        with self.open(name) as f:
+            yield f
+
+    def open(self, name: str) -> BinaryIO:
         """The file, to be read in parts; a remote one is first copied to the driver's disk, a piece at a time."""
         with self.meter("get") as row:
             if not self.hadoop:
@@ -98,8 +102,7 @@ class Blobs:
                     stream.close()
             row[1] += f.seek(0, os.SEEK_END)
             f.seek(0)
-        with f:
-            yield f
+        return f
 
     def _write(self, name: str, pieces: Iterable[bytes], durable: bool) -> int:
         n = 0

@@ -203,7 +203,7 @@ class EventStore(_Reads):
 
     def _plan(self, state: State, ops: list[tuple]) -> tuple[list[dict], dict, list[S.CommitInfo]]:
         """Rows, the commit's control part and the results of ops in order; later ops see earlier ones."""
-        seq = state.seq
+        seq, now = state.seq, self.clock()
         rows, infos, touched, cleared = [], [], {}, {}
         for op in ops:
             if op[0] == "fence":
@@ -222,7 +222,7 @@ class EventStore(_Reads):
             if not events:
                 raise S.InvalidInput("an empty batch")
             first = start if start is not None else (tail[0] + 1 if tail else 0)
-            ts = max(self.clock(), tail[1] if tail else 0)
+            ts = max(now, tail[1] if tail else 0)
             for i, e in enumerate(events):
                 rows.append({"stream": stream, "version": first + i, "global_seq": seq + i + 1, "id": _id(ts), "event_type": e.event_type, "data": e.data, "metadata": [{"name": n, "value": v} for n, v in e.metadata], "ts_ms": ts, "ts_indexed": index, "commit_pos": state.position})
             infos.append(S.CommitInfo(first, first + len(events) - 1, seq + 1))
