@@ -20,6 +20,8 @@ from tidelog.sources.commitlog import CommitLog, State
 PARTS = 1024
 #: Streams whose floors a purge sends to every executor; beyond it the floors are joined by a shuffle.
 BROADCAST_SPANS = 100_000
+#: New files, each of an append or a few, that one task reads for a view that follows.
+FEW_FILES = 8
 
 
 def _id(ms: int) -> str:
@@ -109,6 +111,20 @@ class _Reads:
             depth = F.when(F.col("stream") == name, i).otherwise(depth)
         return df.where(keep).withColumn("__depth", depth).orderBy("__depth", "version").drop("__depth")
 
+    def read_since(self, stream: str, lo: int, seen: set[str]) -> tuple[DataFrame | None, set[str]]:
+        """read_history from lo on, for one who has read all versions below it from the files of `seen`, and the files there are now. Only others are opened (None: no other holds the stream),
+        and a few appends are read by one task; but forks and guards may show later what a seen file holds, so with them all files are read."""
+        s = self._sync()
+        files = set(s.files)
+        if stream in s.forks or stream in s.trims or stream in s.deletes or any(name == stream for name, _ in s.rollbacks):
+            return _Reads.read_history(self, stream, lo), files
+        new = {n: held for n, held in s.files.items() if n not in seen and (held is None or stream in held)}
+        if not new:
+            return None, files
+        df = visible.in_range(self._files(new).where(F.col("stream") == stream), lo)
+        few = len(new) <= FEW_FILES and None not in new.values() and s.tails[stream][0] - lo < FEW_FILES * S.MAX_RECORDS
+        return visible.lww(df.coalesce(1) if few else df.repartitionByRange("version")).orderBy("version"), files
+
     def compaction_records(self) -> list[dict]:
         return list(self._sync().compactions)
 
